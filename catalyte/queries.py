@@ -1,0 +1,10 @@
+"""Every query of the library over the driver's tables, with its SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").limit(10)
