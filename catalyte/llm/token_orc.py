@@ -1,0 +1,111 @@
+"""Token ids in ORC files.
+
+One row a document: its id and its token ids. The files lie in ascending document order
+(range partitioning, sorted inside), so row-group and stripe statistics on ``doc_id`` are
+narrow and a Bloom filter on it answers point look-ups; ORC's integer run-length encoding
+packs the ids, and stripes are the unit in which readers split a file.
+"""
+
+from __future__ import annotations
+
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ._shared import materialize, scratch, table, text_or_empty
+from .tokens import encoder, id_lists, pieces_of
+
+
+def tokenize(docs: DataFrame, vocabulary: str, end_id: int | None, *, key: str = "doc_id") -> DataFrame:
+    """(key, tokens) of every whole text; null texts are empty, so they hold the end id alone."""
+
+    def run(batches):
+        encode = encoder(vocabulary)
+        end = b"" if end_id is None else end_id.to_bytes(4, "little")
+        for batch in pieces_of(batches):
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), id_lists([encode(t) + end for t in texts])], names=[key, "tokens"])
+
+    return docs.select(key, text_or_empty().alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, tokens array<int>")
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, *, key: str = "doc_id", stripe_bytes: int = 64 << 20) -> None:
+    """Encode ``docs`` and write them in ascending order of ``key``.
+
+    The shuffle carries the texts (smaller than their ids) and Spark's own commit protocol
+    makes rewritten tasks harmless. Null keys come first; equal keys are all kept.
+    """
+    ordered = docs.select(key, text_or_empty().alias("text")).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
+    (
+        tokenize(ordered, vocabulary, end_id, key=key)
+        .write.option("orc.bloom.filter.columns", key)
+        .option("orc.bloom.filter.fpp", "0.01")
+        .option("orc.create.index", "true")
+        .option("orc.row.index.stride", "10000")
+        .option("orc.stripe.size", str(stripe_bytes))
+        .option("compression", "zstd")
+        .orc(path)
+    )
+
+
+def read_tokens(spark: SparkSession, path: str, *, key: str = "doc_id", lo: int | None = None, hi: int | None = None, ids: list[int] | None = None) -> DataFrame:
+    """Read (key, tokens); a range or a list of ids is pushed to the stripe and row-group
+    statistics and, for ids, to the Bloom filters."""
+    df = spark.read.orc(path)
+    if lo is not None:
+        df = df.filter(F.col(key) >= lo)
+    if hi is not None:
+        df = df.filter(F.col(key) <= hi)
+    return df if ids is None else df.filter(F.col(key).isin(ids))
+
+
+def token_index(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataFrame:
+    """What the files hold: per document its place in the whole id stream, count and crc32.
+
+    Files are in key order, so a document's start is the ids of all earlier files plus a
+    running sum inside its own file: no global sort, no window over the whole table.
+    """
+
+    def digest(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            if isinstance(lists, pa.ChunkedArray):
+                lists = lists.combine_chunks()
+            offsets = lists.offsets.to_pylist()
+            raw = memoryview(lists.values.cast(pa.int32()).buffers()[1] or b"")
+            base = lists.values.offset
+            crc = [zlib.crc32(raw[4 * (base + a) : 4 * (base + b)]) for a, b in zip(offsets, offsets[1:])]
+            count = [b - a for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(count, pa.int64()), pa.array(crc, pa.int64())], names=[key, "file", "n_tokens", "ids_crc32"])
+
+    files = spark.read.orc(path)
+    kind = files.schema[key].dataType.simpleString()
+    found = files.select(key, "tokens", F.col("_metadata.file_name").alias("file")).mapInArrow(digest, f"{key} {kind}, file string, n_tokens long, ids_crc32 long")
+    found = materialize(found, "token-index")
+    sums = sorted((r["file"], r["n"]) for r in found.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())  # one row a file
+    before, at = [], 0
+    for name, n in sums:
+        before.append((name, at))
+        at += n
+    starts = spark.createDataFrame(before, "__file string, __before long")
+    own = Window.partitionBy("file").orderBy(F.col(key).asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        found.withColumn("__own", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
+        .join(F.broadcast(starts), F.col("file") == F.col("__file"))
+        .select(key, (F.col("__before") + F.col("__own")).alias("start"), "n_tokens", "ids_crc32")
+    )
+
+
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' byte-level ids with end id 0, written to ORC and read back."""
+    import public_tokenizers
+
+    path = scratch(spark, "tokens-orc")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return token_index(spark, path)
+
+
+QUERIES = {"op3_token_orc": op3_token_orc}
+ORACLE_SQL: dict[str, str] = {}
