@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, token_orc
+from . import chat, packing, sharding, simhash, token_orc, topk, warc
 
-MODULES = (token_orc, packing, sharding)
+MODULES = (topk, token_orc, packing, chat, warc, sharding, simhash)
 
 
 def queries() -> dict:
