@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sharding, simhash, token_orc, topk, warc
+from . import chat, decontaminate, packing, quality, sharding, simhash, token_orc, topk, warc
 
-MODULES = (topk, token_orc, packing, chat, warc, sharding, simhash)
+MODULES = (topk, token_orc, packing, chat, warc, quality, decontaminate, sharding, simhash)
 
 
 def queries() -> dict:
