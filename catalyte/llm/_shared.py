@@ -39,12 +39,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+    return written(df, scratch(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet under ``path`` and read it back."""
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def columns_like(docs: DataFrame) -> list[str]:
-    return list(docs.columns)
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no later step reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
