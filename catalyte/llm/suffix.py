@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import discard, scratch, table, text_or_empty, written
 
@@ -388,30 +389,34 @@ def with_uid(docs: DataFrame, key: str) -> DataFrame:
     return docs.withColumn("uid", F.xxhash64(F.col(key), F.col("text")) if clash else F.col(key).cast("long"))
 
 
-def cut_repeats(docs: DataFrame, *, key: str = "doc_id", span: int = 200, hot: int = 200_000) -> DataFrame:
-    """(key, kept, n_bytes, n_spans): every text without its repeated bytes, as binary.
+def cut_repeats(docs: DataFrame, *, key: str = "doc_id", span: int = 200, hot: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *carry, kept, kept_text, n_bytes, n_spans): every text without its repeated bytes.
 
+    ``kept`` is binary; ``kept_text`` is the same without the halves of characters at cuts.
     All copies of a repeated string go, the first included. Null texts are empty; texts shorter
     than ``span`` stay as they are; equal rows are repeats of each other.
     """
-    slim = with_uid(docs.select(key, text_or_empty().alias("text")), key)
+    slim = with_uid(docs.select(key, *carry, text_or_empty().alias("text")), key)
     path = scratch(docs.sparkSession, "suffix-spans")
     spans = written(repeated_spans(slim.select("uid", "text"), span=span, hot=hot), path)
     _free(docs.sparkSession)
+    names = [key, *carry]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 raw = text.encode()
                 gaps = union_of([(s["start"], s["end"]) for s in found or ()])
                 bounds = [0, *(x for gap in gaps for x in gap), len(raw)]
-                rows.append((b"".join(raw[a:b] for a, b in list(pairwise(bounds))[::2]), len(raw), len(gaps)))
-            cols = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=[key, "kept", "n_bytes", "n_spans"])
+                parts = [raw[a:b] for a, b in list(pairwise(bounds))[::2]]
+                rows.append((b"".join(parts), "".join(p.decode("utf-8", "ignore") for p in parts), len(raw), len(gaps)))
+            cols = list(zip(*rows)) or [[]] * 4
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=[*names, "kept", "kept_text", "n_bytes", "n_spans"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return slim.join(spans, "uid", "left").select(key, "text", "spans").mapInArrow(run, f"{key} {kind}, kept binary, n_bytes long, n_spans long")
+    schema = T.StructType([*(docs.schema[n] for n in names), *(T.StructField(n, t) for n, t in (("kept", T.BinaryType()), ("kept_text", T.StringType()), ("n_bytes", T.LongType()), ("n_spans", T.LongType())))])
+    return slim.join(spans, "uid", "left").select(*names, "text", "spans").mapInArrow(run, schema)
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
