@@ -1,0 +1,224 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from catalyte.llm import chat, decontaminate, packing, quality, sharding, simhash, suffix, token_orc, topk, warc
+from catalyte.llm._shared import scratch
+from catalyte.llm.tokens import Encoder
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "some words that go on and on, " * 40_000
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "en", "a", 1), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "an id that is null", "en", "a", 3)]
+    rows += [(4, "same text twice", "en", "b", 5), (4, "same text twice", "en", "b", 5), (5, LONG, "en", "b", len(LONG)), (6, "ünï 漢字 😀 \x1c odd", "xx", "b", 9)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_sharding(spark, docs, none):
+    got = sharding.shard(docs.withColumns({"shard": F.lit("x"), "slot": F.lit("y")}), 3).collect()
+    assert len(got) == 8
+    sizes = sorted(sum(r.shard == s for r in got) for s in range(3))
+    assert sizes == [2, 3, 3]
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert sharding.shard(none, 3).count() == 0
+
+
+def test_sharding_hot_key_and_movement(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") < 10_000, 7).otherwise(F.col("id")).alias("doc_id"), "id")
+    counts = [r["count"] for r in sharding.shard(df, 40, order=("id",)).groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1
+    loose = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    a = {r.doc_id: r.shard for r in sharding.shard(loose, 20, slack=0.25).collect()}
+    b = {r.doc_id: r.shard for r in sharding.shard(loose, 21, slack=0.25).collect()}
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert max(np.bincount(list(a.values()))) <= 20_000 / 20 * 1.25 + 1 and moved < 0.25
+
+
+def test_tokens_equal_the_library(docs):
+    texts = [r.text or "" for r in docs.collect() if len(r.text or "") < 1000]
+    texts += ["a  b", " lead", "trail ", "x\n y", "don't I'LL 12345 3.5€", "tab\t\n\n  end \n", "ﬁ é É", "<|endoftext|>"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encode = Encoder(public_tokenizers.path(name), memo=3)
+        for text in texts:
+            assert list(np.frombuffer(encode(text), "<u4")) == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files(spark, docs, none):
+    path = scratch(spark, "test-orc")
+    token_orc.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 0)
+    got = sorted(token_orc.token_index(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 4, 5, 6]
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+    assert next(r for r in got if r.doc_id == 3).ids_crc32 == zlib.crc32(b"\0\0\0\0")
+    assert token_orc.read_tokens(spark, path, ids=[5]).count() == 1
+    empty = scratch(spark, "test-orc")
+    token_orc.write_tokens(none, empty, public_tokenizers.path("byte_bpe_50k.json"), 0)
+    assert token_orc.token_index(spark, empty).count() == 0
+
+
+def test_packing(spark, docs, none):
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1).collect()
+    by_window = {}
+    for r in rows:
+        assert len(r.ids) == r.length <= 2048
+        by_window.setdefault(r.sequence_id, []).append(r)
+    for pieces in by_window.values():
+        pieces.sort(key=lambda r: r.offset)
+        assert [p.offset for p in pieces] == list(np.cumsum([0] + [p.length for p in pieces])[:-1])
+    five = sorted((r for r in rows if r.doc_id == 5), key=lambda r: r.start)
+    assert sum(r.length for r in five) == five[0].doc_tokens and five[-1].ids[-1] == 1
+    assert sum(r.length for r in rows if r.doc_id == 4) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 4)
+    assert packing.pack(none, public_tokenizers.path("word_bpe_49k.json"), 1).count() == 0
+
+
+def test_tier_packer_fills_every_window_but_the_last():
+    packer, rng, total, windows = packing.TierPacker(pool_tokens=5000), np.random.default_rng(0), 0, []
+    for doc in range(500):
+        n = int(rng.integers(1, 6000))
+        total += n
+        windows += packer.add(doc, n)
+    windows += packer.finish()
+    sizes = [sum(n for _, _, n in w) for _, _, w in windows]
+    assert sum(sizes) == total
+    assert sum(s not in packing.TIERS for s in sizes) <= 1
+
+
+def test_simhash(spark, docs, none):
+    got = {}
+    for r in simhash.near_classes(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.fp, r.component_id))
+    assert got[2] == got[3] == [(0, 2)] and len(got[4]) == 2 and set(c for _, c in got[4]) == {4}
+    assert got[None] == [(got[None][0][0], None)]
+    assert simhash.near_classes(none).count() == 0
+
+
+def test_covering_masks_cover():
+    rng = np.random.default_rng(1)
+    masks = np.array(simhash.covering_masks(3), np.int64).view(np.uint64)
+    assert len(masks) == 15
+    for _ in range(2000):
+        difference = np.uint64(sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
+        assert ((masks & difference) == 0).any()
+
+
+def test_simhash_blocks_find_what_one_block_finds(spark):
+    rng = np.random.default_rng(2)
+    base = int(rng.integers(0, 2**63))
+    fps = {base} | {base ^ int(sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 5), replace=False))) for _ in range(300)}
+    df = spark.createDataFrame([(f, k) for k, f in enumerate(sorted(fps))], "fp long, rep long")
+
+    def classes(block):
+        links = simhash.near_links(df, 3, block=block)
+        from catalyte.llm.components import components
+
+        return {(r.node, r.component) for r in components(links).collect()}
+
+    assert classes(1024) == classes(16)
+
+
+def test_suffix(spark, docs, none):
+    passage = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(260))
+    rows = [(10, passage), (11, "x" * 50 + passage[:230] + "é" * 40), (12, "clean " * 10), (13, None), (14, "q" * 450)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)).withColumn("uid", F.lit(1))
+    got = {r.doc_id: r for r in suffix.cut_repeats(extra).collect()}
+    assert bytes(got[10].kept) == passage[230:].encode() and bytes(got[11].kept) == ("x" * 50 + "é" * 40).encode()
+    assert (got[12].n_spans, got[13].n_bytes, len(got[14].kept), got[14].n_spans) == (0, 0, 0, 1)
+    again = suffix.cut_repeats(extra, hot=0).collect()
+    assert {r.doc_id: bytes(r.kept) for r in again} == {k: bytes(r.kept) for k, r in got.items()}
+    assert len(suffix.cut_repeats(docs).collect()) == 8 and suffix.cut_repeats(none).count() == 0
+
+
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text = rng.integers(1, rng.integers(2, 6), rng.integers(0, 60)).tolist()
+        assert suffix.suffix_array(text) == sorted(range(len(text)), key=lambda k: text[k:])
+
+
+def test_anchors_do_not_depend_on_parts(monkeypatch):
+    text = np.random.default_rng(4).integers(97, 123, 5000, np.uint8).tobytes()
+    whole = suffix.anchors(text)[0].tolist()
+    monkeypatch.setattr(suffix, "PART", 300)
+    assert suffix.anchors(text)[0].tolist() == whole
+
+
+def test_topk(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.5, -0.25]), (100, [1.0, 0.0]), (1, None), (2, [nan, 0.0]), (3, [None, 1.0]), (4, [inf, 1.0]), (5, [0.5]), (6, [0.5, 0.0]), (7, [3e38, 0.0]), (7, [3e38, 0.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
+    got = topk.top_k(df, F.col("id") % 100 == 0, k=3).collect()
+    mine = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0]
+    assert mine == [(7, 512 * topk.LARGEST), (100, 512 * 1024), (5, 512 * 512)]
+    assert topk.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
+
+
+def test_topk_pruning_is_exact():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-500, 500, (640, 16))
+    ids, q, qid = np.arange(640), x[:5], np.arange(5)
+    forward = x.reshape(10, 64, 16)
+    score, best, done = topk.search_blocks(qid, q, ids.reshape(10, 64), forward, forward.max(1), forward.min(1), 10, np.full(5, topk.NONE + 1))
+    for k in range(5):
+        want = sorted(((-int(x[k] @ x[j]), j) for j in range(640) if j != k))[:10]
+        assert list(zip((-score[k]).tolist(), best[k].tolist())) == want
+    assert done <= 50
+
+
+def test_warc(spark):
+    rows = [(1, "http://a/x y", "<p>" + "z" * 200), (2, None, "<p>" + "z" * 200), (3, "http://b\r\nx", None), (None, "http://c", "<p>" + "z" * 200), (4, "http://d", "short"), (5, "http://e", "short"), (6, "http://f", "WARC/1.1\r\n\x1f " * 20_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    path = scratch(spark, "test-warc")
+    files = [(r.file, r.bytes) for r in warc.write_warc(pages, path, roll_bytes=500).collect()]
+    for split in (1 << 20, 97):
+        got = {r.page_id: r for r in warc.read_warc(spark, path, files, split_bytes=split).collect()}
+        assert len(got) == 7 and got[1].record_type == "response" and (got[2].record_type, got[2].refers_to) == ("revisit", 1)
+        assert got[4].record_type == got[5].record_type == "response" and got[3].payload_bytes == 0
+        assert bytes(got[6].payload) == rows[6][2].encode() and got[6].payload_digest == hashlib.sha256(rows[6][2].encode()).hexdigest()
+    assert warc.write_warc(pages.limit(0), scratch(spark, "test-warc")).count() == 0
+
+
+def test_quality(spark, docs, none):
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs.withColumns({"score": F.lit("x"), "predicted": F.lit("y")}), empty).collect()
+    assert len(got) == 8 and all(r.score == 1.0 and r.predicted == 1 for r in got)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(80)] + [(None, 1, 0), (1, None, 0), (2, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    texts = spark.createDataFrame([(k, "a plain line of words" if k % 2 else "### $$$ ### !!!") for k in range(100)], "doc_id long, text string")
+    scored = {r.doc_id: r for r in quality.classify(texts, labels).collect()}
+    assert all((r.predicted == 1) == bool(k % 2) for k, r in scored.items()) and all(0 <= r.score <= 1 for r in scored.values())
+    assert quality.classify(none, labels).count() == 0
+
+
+def test_decontaminate(spark, docs, none):
+    words = [f"w{k}" for k in range(30)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "Two, words"), (4, ""), (5, " ".join(words))], "item_id long, text string")
+    texts = [(1, "x " * 3000 + " ".join(words).upper()), (2, " ".join(words[:26])), (3, " ".join(words[:20])), (4, "so two words! here"), (5, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item", F.lit("clash"))
+    got = {(r.doc_id, r.item): (r.n_found, r.n_shingles) for r in decontaminate.contained(df, items).collect()}
+    assert got == {(1, 1): (26, 26), (1, 5): (26, 26), (2, 1): (22, 26), (2, 5): (22, 26), (4, 3): (1, 1)}
+    assert {(r.doc_id, r.item) for r in decontaminate.contained(df, items, part=10).collect()} == set(got)
+    assert decontaminate.contained(none, items).count() == 0 and decontaminate.contained(df, items.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    a = [("user", "hi"), ("assistant", "yo"), ("user", "more")]
+    rows = [(1, k, *t) for k, t in enumerate(a[:2])] + [(2, k, *t) for k, t in enumerate(a)] + [(3, k, *t) for k, t in enumerate(a)] + [(4, 0, None, None), (None, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("chat", F.lit("clash"))
+    got = {r.conv_id: (r.n_turns, r.copies, r.chat) for r in chat.format_chats(df).collect()}
+    assert set(got) == {2, 4, None} and got[2][:2] == (3, 2)
+    assert got[2][2] == "<|user|>\nhi\n<|end|>\n<|assistant|>\nyo\n<|end|>\n<|user|>\nmore\n<|end|>" and got[4][2] == "<||>\n\n<|end|>"
+    assert chat.format_chats(df.limit(0)).count() == 0
