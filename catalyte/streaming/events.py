@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
-    """New files of a folder as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
+    """New files of a folder as a stream; watermarks need ``ts`` as a timestamp with a zone."""
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,0 +1,119 @@
+"""Tag layers, search modes, CSV contract, versions and streams on small fixtures."""
+
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from catalyte.operators import ingest, ops, search, similar, tags
+from catalyte.sources import artifacts, csv_contract
+from catalyte.streaming import events
+
+
+@pytest.mark.parametrize("present", list(itertools.product([0, 1], repeat=4)))
+def test_layer_precedence(spark, present):
+    names = ["ai", "manual", "aggregated", "override"]
+    rows = [(1, f, n, 0.5, n) for n, p in zip(names, present) if p for f in ("pattern_family", "base_color")] + [(1, "pattern_family", " ", 0.9, "override"), (1, "base_color", None, 0.9, "override")]
+    df = spark.createDataFrame(rows, "entity_id long, field string, value string, confidence double, layer string")
+    got = {r.field: r.value for r in tags.resolve(df).collect()}
+    want = lambda order: next((n for n in order if present[names.index(n)]), None)
+    assert got.get("base_color") == want(["override", "aggregated", "manual", "ai"])
+    assert got.get("pattern_family") == want(["override", "manual", "aggregated", "ai"])
+
+
+@pytest.mark.parametrize(
+    "request_, mode",
+    [
+        (search.Request(base_colors=["red"], pattern_families=["linear"]), "sections"),
+        (search.Request(base_colors=["red"]), "browse"),
+        (search.Request(base_colors=["red"], query="x"), "default"),
+        (search.Request(dominant_hues=["red"], rescue=True), "buckets"),
+        (search.Request(), "default"),
+    ],
+)
+def test_modes(request_, mode):
+    assert request_.mode == mode
+
+
+def test_chips():
+    assert "gold" in search.Request(base_colors=["Yellow"]).chips and search.Request(pattern_families=["Bold Veined"]).patterns == ["bold_veined"]
+
+
+def test_vendor_cap(spark):
+    rows = [(k, "v" if k < 12 else f"w{k}", 100 - k) for k in range(20)]
+    df = spark.createDataFrame(rows, "item long, vendor string, score long")
+    out = search.vendor_cap(df, [F.col("score").desc()]).collect()
+    assert sorted(r.item for r in out if r.over_cap == 0 and r.vendor == "v") == [0, 1, 2]
+    few = search.vendor_cap(df.filter("item < 13"), [F.col("score").desc()]).collect()
+    assert all(r.over_cap == 0 for r in few)
+
+
+def test_csv_contract(spark, tmp_path):
+    good = tmp_path / "good.csv"
+    good.write_text("company_stone_id,packing_list_id,object_key,url,name,vendor name\ns1,b1,k1,http://a,Gray One 2cm,V\ns1,b1,k1,http://a,dup,V\ns2,,k2,ftp://b,Two,\n")
+    head = csv_contract.header(spark, str(good))
+    assert ingest.header_errors(head) == []
+    assert ingest.header_errors(["name", "name", "url"])[-1] == "repeated: name" and "suspicious: name.1" in ingest.header_errors(["name", "name.1"])
+    df = csv_contract.read_csv(spark, str(good))
+    assert {r.field: r.n_errors for r in ingest.row_contract(df, ["packing_list_id", "vendor name"]).collect()} == {"packing_list_id": 1, "vendor name": 1}
+    assert ingest.bad_urls(df, "url").count() == 1 and csv_contract.preview(df)[1] == 3
+    data = csv_contract.to_dataset(df, "d1")
+    rows = {r.image_asset_id: r for r in data.collect()}
+    assert set(rows) == {"k1", "k2"} and rows["k1"].canonical_family == "grey one" and rows["k2"].batch_id is None
+    root = str(tmp_path / "datasets")
+    csv_contract.write_dataset(data, root)
+    csv_contract.write_dataset(data.withColumn("dataset_id", F.lit("d2")), root)
+    assert csv_contract.read_dataset(spark, root, "d1").count() == 2 and csv_contract.manifest(data).columns[2] == "url"
+    meta = spark.createDataFrame([("d1", "2024", True, "validated", False), ("d2", "2025", False, "draft", False)], "dataset_id string, created_at string, is_active boolean, validation_status string, activation_blocked boolean")
+    after = {r.dataset_id: r for r in csv_contract.activate(meta, spark.read.parquet(root), "d2").collect()}
+    assert after["d2"].is_active and after["d1"].validation_status == "archived" and csv_contract.active_dataset(meta) == "d1"
+    with pytest.raises(ValueError):
+        csv_contract.delete_dataset(meta, "d1")
+    assert csv_contract.quirk_names(["name", "x", "name"]) == ["vendor name", "x", "name"]
+    assert csv_contract.batches_of(data).count() == 2
+
+
+def test_artifacts(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "run_meta.json").write_text('{"run_id": "r1",\n "mode": "apply"}')
+    (tmp_path / "ledger.jsonl").write_text('{"run_id": "r1", "track": "color", "event": "rollback"}\nbroken\n{"track": "color"}\n')
+    assert artifacts.read_runs(spark, f"{tmp_path}/*/run_meta.json", "run_id string, mode string").first().mode == "apply"
+    assert artifacts.read_ledger(spark, f"{tmp_path}/ledger.jsonl", "color").count() == 1
+    images = artifacts.read_images(spark, f"{tmp_path}/r1")
+    cache = images.select("content_md5", F.lit("v1").alias("version"))
+    assert artifacts.uncached(images, cache, "v1").count() == 0 and artifacts.uncached(images, cache, "v2").count() == 1
+    log = spark.createDataFrame([(1, "2024-01-01")], "a long, ts string")
+    artifacts.append(log, f"{tmp_path}/log")
+    artifacts.append(log, f"{tmp_path}/log")
+    assert artifacts.last_searches(spark.read.parquet(f"{tmp_path}/log"), 1).count() == 1
+    artifacts.append_json(log, f"{tmp_path}/j")
+    artifacts.export_csv(log, f"{tmp_path}/c")
+    assert artifacts.snapshot(log, f"{tmp_path}/s").count() == 1
+
+
+def test_votes_and_queue(spark):
+    rows = [("b", "a", 1, "t1", 1), ("a", "b", -1, "t2", 2), ("a", "a", 1, "t3", 3), ("a", "c", 0, "t4", 4)]
+    df = spark.createDataFrame(rows, "a string, b string, vote int, ts string, seq long")
+    (got,) = ops.merge_votes(df, "a", "b", "vote", "ts", "seq").collect()
+    assert (got.pair_key, got.vote, got.voted_at, got.updated_at) == ("a|b", -1, "t1", "t2")
+    assert [r.item for r in similar.neighbours(df, "b").collect()] == ["a"]
+    attempts = spark.createDataFrame([(1, True, 1), (1, False, 0), *[(2, False, k) for k in range(3)], (3, False, 1)], "key long, ok boolean, ts long")
+    assert {r.key: r.status for r in ops.queue_state(attempts, "key", F.col("ok"), "ts").collect()} == {1: "DONE", 2: "FAILED", 3: "PENDING"}
+
+
+def test_streams(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(300)
+    source.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = events.read_events(spark, f"{tmp_path}/in", source.schema)
+    events.enrich_stream(events.first_events(stream, ["event_id"]), lambda b: b.withColumn("done", F.lit(True)), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 300
+    seen = []
+    windows = events.tumbling(events.read_events(spark, f"{tmp_path}/in", source.schema))
+    events.run_available(windows, lambda b, k: seen.extend(b.collect()), f"{tmp_path}/cp2", "complete")
+    batch = {(r.start, r.event_type): r.n for r in events.tumbling(source).collect()}
+    assert {(r.start, r.event_type): r.n for r in seen} == batch
+
+
+def test_similar_without_vector(spark):
+    df = spark.createDataFrame([(1, [1.0])], "item long, vec array<double>")
+    assert similar.resolve(df, {"item": 2}).count() == 0

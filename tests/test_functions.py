@@ -1,0 +1,84 @@
+"""Text, fuzzy, colour and score functions on hand-made cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from catalyte.functions import colors, fuzzy, scores, text
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [("Gray Stone 2cm Polished", "grey stone"), ("  Bush Hammered  BASALT 10 mm ", "basalt"), (None, ""), ("Nero 3.5 inches", "nero")],
+)
+def test_normalize_stone_name(spark, raw, want):
+    assert one(spark, text.normalize_stone_name(F.lit(raw).cast("string"))) == want
+
+
+@pytest.mark.parametrize("raw, want", [("Verde, 20cm x 10", "verde"), ("The Stone É-Slab", "é"), ("", "")])
+def test_normalize_name(spark, raw, want):
+    assert one(spark, text.normalize_name(F.lit(raw))) == want
+
+
+def test_normalize_query(spark):
+    assert one(spark, text.normalize_query(F.lit("Crème  BRÛLÉE slab 12!"))) == "creme brulee" == text.parse_query("Crème  BRÛLÉE slab 12!").normalized
+
+
+def test_parse_query():
+    q = text.parse_query("Verde Onyx Guatemala")
+    assert (q.colour, q.material, q.identity, q.tone) == ("green", "onyx", ["guatemala"], "green")
+    assert text.parse_query(None).normalized == ""
+
+
+def test_fuzzy_vectors():
+    assert fuzzy.ratio("abcd", "abcd") == 100 and fuzzy.ratio("abcd", "wxyz") == 0
+    assert fuzzy.ratio("this is a test", "this is a test!") == pytest.approx(2800 / 29)
+    assert fuzzy.partial_ratio("test", "this is a test!") == 100
+    assert fuzzy.token_ratio("fuzzy wuzzy bear", "bear wuzzy fuzzy") == 100
+    assert fuzzy.weighted_ratio("bear", "") == 0 and 0 < fuzzy.weighted_ratio("kitten", "sitting") < 100
+
+
+def test_common_subsequence():
+    assert fuzzy._common("ABCBDAB", "BDCABA") == 4 and fuzzy._common("", "x") == 0
+
+
+def test_cdn_and_errors(spark):
+    assert one(spark, text.cdn_url(F.lit("https://c/cdn-cgi/image/w=1,q=2/https%3A%2F%2Fa%2Fb.jpg"))) == "https://a/b.jpg"
+    assert one(spark, text.cdn_url(F.lit("rel/path"))) == "rel/path"
+    assert one(spark, text.classify_error(F.lit(404), F.lit(None).cast("string"), F.lit(None).cast("string"))) == "http_404"
+    assert one(spark, text.failure_reason(F.lit("reason|detail"))) == "reason" and one(spark, text.failure_reason(F.lit("y" * 80))) == "y" * 50
+
+
+@pytest.mark.parametrize("mean, base, want", [(34.9, "red", "dark"), (35.0, "red", "mid"), (49.9, "black", "dark"), (50.0, "black", "mid"), (64.9, "", "mid"), (65.0, "", "light"), (None, "red", None)])
+def test_bands(spark, mean, base, want):
+    assert one(spark, colors.lightness_band(F.lit(mean).cast("double"), F.lit(base))) == want
+
+
+def test_families_and_vetoes(spark):
+    s, n = F.lit, F.lit(None).cast("string")
+    assert one(spark, colors.colour_family(s("Black"), s("red"), n)) == "DARK_WARM_CHROMATIC"
+    assert one(spark, colors.colour_family(s("teal"), n, s("light"))) == "LIGHT_COOL" and one(spark, colors.colour_family(n, n, n)) is None
+    assert one(spark, colors.family_veto(s("WHITE"), s("TRUE_DARK"))) and not one(spark, colors.family_veto(n, s("WHITE")))
+    assert one(spark, colors.bucket_veto(s("light"), s("dark"))) and not one(spark, colors.bucket_veto(s("blue"), s("green")))
+    assert one(spark, colors.family_tier(s("LIGHT_COOL"), s("DARK_COOL"), s(80.0), s(50.0))) == 3
+    assert one(spark, colors.family_tier(s("LIGHT_COOL"), s("DARK_COOL"), s(60.0), s(50.0))) == 2
+    assert one(spark, colors.effective_base_colour(s("Rose"), s("white"), n)) == "pink" and one(spark, colors.effective_base_colour(s("grey"), s(" "), s("navy"))) == "navy"
+
+
+def test_nearest_colour(spark):
+    centres = [("white", 95.0, 0.0, 0.0), ("black", 10.0, 0.0, 0.0)]
+    got = one(spark, colors.nearest_colour(F.lit(90.0), F.lit(0.0), F.lit(0.0), centres))
+    assert got.name == "white" and got.confidence == pytest.approx(0.95)
+
+
+def test_scores(spark):
+    s, n = F.lit, F.lit(None).cast("string")
+    assert one(spark, scores.base_colour_match(n, ["white"], s(0.9))) == 0.3 and one(spark, scores.base_colour_match(s("beige"), ["white"], s(0.1))) == 0.75
+    assert one(spark, scores.veining_score(s(0.9), 0.2, 0.5)) == pytest.approx(0.2) and one(spark, scores.veining_score(s(0.6), 0.2, 0.5)) == pytest.approx(0.8)
+    assert one(spark, scores.name_multiplier(s("WHITE"), "red", s(95.0))) == 0.5 and one(spark, scores.name_multiplier(n, "red", s(10.0))) == 0.65
+    v = F.array(*[F.lit(x) for x in (3.0, 4.0)])
+    assert one(spark, scores.similarity(v, v)) == 1.0 and one(spark, scores.cosine(v, F.array(F.lit(0.0), F.lit(0.0)))) is None
+    assert one(spark, scores.accent_score(F.array(s("gold")), ["gold", "red"])) == pytest.approx(0.65)
