@@ -1,0 +1,197 @@
+"""Per-image measurements: pixels are measured in an Arrow UDF, decisions are columns.
+
+An image is raw RGB (height, width, bytes); decoding files is the caller's choice of library.
+Pixel arrays never leave the task: what comes out is a small struct of numbers, from which
+the rules below make labels.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# --- fixed values: margins, thresholds, weights ----------------------------------------
+MARGIN, INNER = 0.15, 0.10
+GLARE = {"value": 0.92, "saturation": 0.20}
+REFLECTION = {"offset": 25.0, "saturation": 0.25, "variance_pct": 70}
+VEIN = {"delta_e": 10.0, "l_weight": 0.5, "edge_pct": 85}
+MEASURES = [
+    "blur_score", "exposure_score", "glare_ratio", "reflection_ratio", "stone_area_ratio", "median_l", "median_a", "median_b",
+    "vein_coverage", "spot_coverage", "spot_count", "low_freq_energy", "dominant_angle", "coherence", "entropy", "rel_width", "spot_cv",
+]
+
+
+def lab_of(rgb: np.ndarray) -> np.ndarray:
+    """CIE L*a*b* (D65) of 8-bit sRGB."""
+    c = rgb.astype(np.float64) / 255
+    c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    xyz = c @ np.array([[0.4124564, 0.2126729, 0.0193339], [0.3575761, 0.7151522, 0.1191920], [0.1804375, 0.0721750, 0.9503041]]) / np.array([0.95047, 1.0, 1.08883])
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+
+
+def box_mean(x: np.ndarray, size: int) -> np.ndarray:
+    """Mean over a square around each pixel, edges reflected."""
+    half = size // 2
+    s = np.pad(np.cumsum(np.cumsum(np.pad(x, half, mode="reflect" if min(x.shape) > half else "edge"), 0), 1), ((1, 0), (1, 0)))
+    return (s[size:, size:] - s[:-size, size:] - s[size:, :-size] + s[:-size, :-size]) / size**2
+
+
+def gradients(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = np.pad(gray, 1, mode="edge")
+    smooth_y, smooth_x = p[:-2] + 2 * p[1:-1] + p[2:], p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    return smooth_y[:, 2:] - smooth_y[:, :-2], smooth_x[2:] - smooth_x[:-2]
+
+
+def blobs(mask: np.ndarray) -> list[tuple[int, float, int]]:
+    """(area, bounding-box aspect, extent) of each 4-connected region, by merging row runs."""
+    parent: list[int] = []
+    stats: list[list[int]] = []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    above: list[tuple[int, int, int]] = []
+    for y, row in enumerate(mask):
+        steps = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
+        here = []
+        for a, b in zip(steps[::2].tolist(), steps[1::2].tolist()):
+            me = len(parent)
+            parent.append(me)
+            stats.append([b - a, a, b, y, y + 1])
+            for pa_, pb, k in above:
+                if pa_ < b and a < pb:
+                    r, m = root(k), root(me)
+                    if r != m:
+                        x, z = stats[r], stats[m]
+                        stats[r] = [x[0] + z[0], min(x[1], z[1]), max(x[2], z[2]), min(x[3], z[3]), max(x[4], z[4])]
+                        parent[m] = r
+            here.append((a, b, me))
+        above = here
+    out = []
+    for k, (area, x1, x2, y1, y2) in enumerate(stats):
+        if parent[k] == k:
+            w, h = x2 - x1, y2 - y1
+            out.append((area, max(w, h) / min(w, h), w * h))
+    return out
+
+
+def measure(rgb: np.ndarray) -> dict[str, float]:
+    """All measurements of one image; an image too small to have an inside gives zeros."""
+    h, w = rgb.shape[:2]
+    my, mx = int(h * MARGIN), int(w * MARGIN)
+    rgb_in = rgb[my : h - my, mx : w - mx]
+    if min(rgb_in.shape[:2]) < 4:
+        return dict.fromkeys(MEASURES, 0.0)
+    lab = lab_of(rgb_in)
+    value, least = rgb_in.max(-1) / 255.0, rgb_in.min(-1) / 255.0
+    saturation = np.where(value > 0, (value - least) / np.maximum(value, 1e-9), 0.0)
+    gray = rgb_in.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
+    sy, sx = int(gray.shape[0] * INNER), int(gray.shape[1] * INNER)
+    inner = np.zeros(gray.shape, bool)
+    inner[sy : gray.shape[0] - sy, sx : gray.shape[1] - sx] = True
+    glare = (value > GLARE["value"]) & (saturation < GLARE["saturation"])
+    variance = np.maximum(box_mean(gray * gray, 9) - box_mean(gray, 9) ** 2, 0)
+    middle = np.median(lab[inner][:, 0])
+    reflection = (lab[..., 0] > middle + REFLECTION["offset"] * 100 / 255) & (saturation < REFLECTION["saturation"]) & (variance > np.percentile(variance, REFLECTION["variance_pct"])) & ~glare
+    clean = inner & ~glare & ~reflection
+    ground = np.median(lab[clean], 0) if clean.sum() >= 50 else np.median(lab.reshape(-1, 3), 0)
+    away = np.sqrt(VEIN["l_weight"] * (lab[..., 0] - ground[0]) ** 2 + (lab[..., 1] - ground[1]) ** 2 + (lab[..., 2] - ground[2]) ** 2)
+    gx, gy = gradients(gray)
+    edges = np.hypot(gx, gy)
+    marks = (away > VEIN["delta_e"]) & (edges > np.percentile(edges, VEIN["edge_pct"])) & clean
+    found = [b for b in blobs(marks) if b[0] >= 30]
+    long_ = [b for b in found if b[1] > 2.5 or b[1] > 1.5 and b[0] < 0.5 * b[2]]
+    angles = (np.degrees(np.arctan2(gy, gx)) % 180)[marks]
+    bins = np.histogram(angles, 18, (0, 180))[0].astype(float)
+    share = bins / bins.sum() if bins.sum() else np.zeros(18)
+    cells = [c.mean() for row in np.array_split(marks, 4, 0) for c in np.array_split(row, 4, 1)]
+    laplace = np.pad(gray, 1, mode="edge")
+    laplace = laplace[:-2, 1:-1] + laplace[2:, 1:-1] + laplace[1:-1, :-2] + laplace[1:-1, 2:] - 4 * gray
+    area = float(gray.size)
+    return {
+        "blur_score": min(laplace.var() / 500, 1.0),
+        "exposure_score": max(0.0, 1 - abs(gray.mean() - 128) / 128),
+        "glare_ratio": glare.sum() / area,
+        "reflection_ratio": reflection.sum() / area,
+        "stone_area_ratio": area / (h * w),
+        "median_l": ground[0],
+        "median_a": ground[1],
+        "median_b": ground[2],
+        "vein_coverage": sum(b[0] for b in long_) / area,
+        "spot_coverage": sum(b[0] for b in found if b not in long_) / area,
+        "spot_count": float(sum(b not in long_ for b in found)),
+        "low_freq_energy": float(np.var(box_mean(gray, 51)[clean])) / 1000 if clean.any() else 0.0,
+        "dominant_angle": (share.argmax() + 0.5) * 10.0,
+        "coherence": float(share.max()),
+        "entropy": float(-(share[share > 0] * np.log2(share[share > 0])).sum()) if bins.sum() else 4.0,
+        "rel_width": float(np.median([b[0] / max(np.sqrt(b[2]), 1) for b in long_])) / w if long_ else 0.0,
+        "spot_cv": float(np.std(cells) / (np.mean(cells) + 1e-6)),
+    }
+
+
+def measured(images: DataFrame, *, pixels: str = "pixels", height: str = "height", width: str = "width") -> DataFrame:
+    """``images`` without their pixels, with all measurements and ``error``; a broken image is a row with an error."""
+    keep = [c for c in images.columns if c != pixels]
+    schema = ", ".join([f"`{c}` {images.schema[c].dataType.simpleString()}" for c in keep] + [f"{m} double" for m in MEASURES] + ["error string"])
+
+    def run(batches):
+        for batch in batches:
+            rows, errors = [], []
+            for raw, h, w in zip(*(batch.column(c).to_pylist() for c in (pixels, height, width))):
+                try:
+                    rows.append(measure(np.frombuffer(raw, np.uint8).reshape(h, w, 3)))
+                    errors.append(None)
+                except (TypeError, ValueError) as e:
+                    rows.append(dict.fromkeys(MEASURES))
+                    errors.append(f"{type(e).__name__}: {e}"[:2000])
+            cols = [pa.array([r[m] for r in rows], pa.float64()) for m in MEASURES]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols, pa.array(errors, pa.string())], names=[*keep, *MEASURES, "error"])
+
+    return images.mapInArrow(run, schema)
+
+
+# --- rules -----------------------------------------------------------------------------
+
+
+def image_weight() -> Column:
+    """How much an image counts in votes."""
+    glare = 1 - F.least(F.col("glare_ratio") * 2, F.lit(1.0))
+    w = 0.25 * (F.col("blur_score") + F.col("exposure_score") + glare + F.least(F.col("stone_area_ratio") / 0.5, F.lit(1.0)))
+    w = w * F.greatest(1 - F.col("glare_ratio") * 1.5, F.lit(0.2)) * F.greatest(1 - F.col("reflection_ratio"), F.lit(0.3))
+    return F.when(F.col("stone_area_ratio") < 0.25, w * 0.3).otherwise(w)
+
+
+def design() -> Column:
+    """struct(design, confidence): the best of four scores and its margin; nothing to see is plain."""
+    veins, spots = F.col("vein_coverage"), F.col("spot_coverage")
+    scores = {
+        "veiny": veins * 10 + F.when(veins > 0.02, 1.0).otherwise(0.0),
+        "spotty": spots * 10 + F.least(F.col("spot_count") * 0.05, F.lit(1.0)),
+        "cloudy": F.greatest(F.col("low_freq_energy") - (veins + spots) * 2, F.lit(0.0)),
+        "plain": F.greatest(1 - (veins + spots) * 5, F.lit(0.0)),
+    }
+    ranked = F.reverse(F.array_sort(F.array(*[F.struct(s.alias("s"), F.lit(n).alias("n")) for n, s in scores.items()])))
+    total = sum(scores.values(), F.lit(1e-6))
+    return F.when(ranked[0]["s"] < 0.1, F.struct(F.lit("plain").alias("design"), F.lit(0.8).alias("confidence"))).otherwise(F.struct(ranked[0]["n"].alias("design"), ((ranked[0]["s"] - ranked[1]["s"]) / total).alias("confidence")))
+
+
+def vein_traits() -> Column:
+    """struct(direction, distribution, thickness)."""
+    angle = F.col("dominant_angle")
+    direction = F.when((F.col("coherence") < 0.15) | (F.col("entropy") > 3.5), "spider").when((angle < 25) | (angle > 155), "horizontal").when((angle > 65) & (angle < 115), "vertical").otherwise("diagonal")
+    cover = F.col("vein_coverage")
+    amount = F.when(cover < 0.02, "light_vein").when(cover < 0.08, "medium_vein").otherwise("heavy_vein")
+    width = F.when(F.col("rel_width") < 0.005, "light").when(F.col("rel_width") < 0.015, "normal").otherwise("heavy")
+    return F.struct(direction.alias("direction"), amount.alias("distribution"), width.alias("thickness"))
+
+
+def spot_distribution() -> Column:
+    cover = F.col("spot_coverage")
+    level = F.when(cover < 0.02, "light").when(cover < 0.08, "medium").otherwise("heavy")
+    return F.when(F.col("spot_cv") > 0.8, "condensed").otherwise(F.concat(level, F.lit("_homogeneous")))
