@@ -87,3 +87,23 @@ def apply_rollbacks(runs: DataFrame, ledger: DataFrame) -> DataFrame:
 def coercion_errors(df: DataFrame, value: str) -> DataFrame:
     """Values that should be booleans and are not."""
     return df.filter(~F.lower(F.col(value)).isin("true", "false", "0", "1"))
+
+
+def irreversible_reason(status: Column, snapshot: Column) -> Column:
+    """Why a run cannot be rolled back; null if it can."""
+    return F.when(status == "rolled_back", "already rolled back").when(status.isin("preview", "aborted", "rejected"), F.concat(F.lit("nothing was applied: "), status)).when(snapshot.isNull(), "no snapshot was kept")
+
+
+def corrections_on(log: DataFrame, session: str, ts: str, day) -> DataFrame:
+    """Corrections per session on one day."""
+    return log.filter(F.to_date(ts) == F.to_date(F.lit(day))).groupBy(session).agg(F.count(F.lit(1)).alias("n"))
+
+
+def assets(df: DataFrame, group: str, asset: str) -> DataFrame:
+    """The sorted distinct assets of each group, as one text."""
+    return df.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(F.col(asset).cast("string"))), ",").alias("assets"))
+
+
+def dataset_listing(datasets: DataFrame, summary: str, schema: str) -> DataFrame:
+    """Dataset rows with their JSON summary unpacked; a malformed summary gives nulls."""
+    return datasets.withColumn("__s", F.from_json(summary, schema)).select(*datasets.columns, "__s.*")

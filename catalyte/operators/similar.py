@@ -54,3 +54,14 @@ def neighbours(votes: DataFrame, item) -> DataFrame:
 def edges(votes: DataFrame) -> DataFrame:
     """Both directions of an undirected edge list."""
     return votes.select("a", "b").union(votes.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def chips(anchor: dict) -> Column:
+    """Why a candidate is shown: the traits it shares with the anchor."""
+    shared = [F.when(F.col(t) == _anchor(anchor, t), F.lit(f"same {t.replace('_', ' ')}")) for t in ("main_color", *TIERS[:2], "stone_lightness")]
+    return F.array_compact(F.array(*shared))
+
+
+def projection(df: DataFrame, anchor: dict, *, key: str = "item") -> DataFrame:
+    """What a similar result shows: taxonomy, refinements, chips."""
+    return df.select(key, F.struct("family", "colour", "pattern").alias("taxonomy"), F.struct("tone", "stone_lightness", F.round("busyness", 4).alias("busyness")).alias("refinement"), chips(anchor).alias("chips"))

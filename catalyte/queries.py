@@ -854,3 +854,59 @@ def event_windows(spark, d):
 def event_sessions(spark, d):
     """Extension: session windows."""
     return stream.sessions(read(spark, d, "events"))
+
+
+# --- small operators -------------------------------------------------------------------
+
+_FETCHES = {"event_id": "event_id", "status": "CASE event_type WHEN 'click' THEN 404 WHEN 'view' THEN 200 WHEN 'signup' THEN 503 WHEN 'purchase' THEN 429 END", "error": "CASE WHEN event_type = 'error' THEN 'Read Timeout' END", "kind": "CASE WHEN user_id % 2 = 0 THEN 'text/html' ELSE 'image/png' END"}
+
+
+@query(f"""SELECT event_id, CASE WHEN status = 404 THEN 'http_404' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'server_error' WHEN error IS NOT NULL THEN 'timeout' WHEN kind = 'text/html' THEN 'not_an_image' END AS label FROM {derived('events', _FETCHES)}""")
+def error_labels(spark, d):
+    """STR11."""
+    return derive(read(spark, d, "events"), _FETCHES).select("event_id", text.classify_error(F.col("status"), F.col("error"), F.col("kind")).alias("label"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '[\"' || event_type || '\"]' AS as_array FROM events")
+def json_tags(spark, d):
+    """JSN1-3, STR12."""
+    from .functions import jsontags
+
+    e = read(spark, d, "events").withColumn("arr", F.to_json(F.array("event_type")))
+    both = jsontags.merged(F.lit('{"k": "old", "other": "x"}'), F.col("props"))
+    return e.filter(jsontags.scalar(F.col("arr")) == F.col("event_type")).select("event_id", F.get_json_object(both, "$.k").alias("k"), text.tag_text(F.array("event_type"), "array").alias("as_array"))
+
+
+@query("SELECT event_type AS session, count(*) AS n FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10' GROUP BY 1")
+def corrections_today(spark, d):
+    """AGG26."""
+    return ops.corrections_on(read(spark, d, "events"), "event_type", "ts", "2024-01-10").withColumnRenamed("event_type", "session")
+
+
+@query(f"SELECT vendor, string_agg(line, ',' ORDER BY line) AS assets FROM (SELECT DISTINCT vendor, CAST(line AS VARCHAR) AS line FROM {IMG}) GROUP BY 1")
+def asset_lists(spark, d):
+    """AGG27, X1."""
+    return ops.assets(images(spark, d), "vendor", "line")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'signup'")
+def dataset_listing(spark, d):
+    """AGG29."""
+    e = read(spark, d, "events").filter("event_type = 'signup'").select("event_id", "props")
+    return ops.dataset_listing(e, "props", "k bigint").drop("props")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'already rolled back' WHEN 'view' THEN 'nothing was applied: preview' ELSE CASE WHEN user_id % 2 = 0 THEN 'no snapshot was kept' END END AS reason FROM events")
+def irreversible_reasons(spark, d):
+    """STR16, X19."""
+    e = read(spark, d, "events")
+    status = F.when(F.col("event_type") == "click", "rolled_back").when(F.col("event_type") == "view", "preview").otherwise("applied")
+    return e.select("event_id", ops.irreversible_reason(status, F.when(F.col("user_id") % 2 != 0, F.lit("path"))).alias("reason"))
+
+
+@query(f"""WITH e AS {_EFFECTIVE} SELECT item, array_to_string(list_filter([CASE WHEN main_color = 'navy' THEN 'same main color' END, CASE WHEN pattern = 'webbed' THEN 'same pattern' END, CASE WHEN tone = 'cool' THEN 'same tone' END,
+    CASE WHEN stone_lightness = 'mid' THEN 'same stone lightness' END], lambda x: x IS NOT NULL), '; ') AS chips FROM e""")
+def similar_chips(spark, d):
+    """FLT14, ARR1."""
+    anchor = {"main_color": "navy", "pattern": "webbed", "tone": "cool", "stone_lightness": "mid"}
+    return similar.projection(search.effective(items(spark, d)), anchor).select("item", F.array_join("chips", "; ").alias("chips"))
