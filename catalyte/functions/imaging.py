@@ -12,14 +12,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .colors import nearest_colour, vein_colour
+
 # --- fixed values: margins, thresholds, weights ----------------------------------------
 MARGIN, INNER = 0.15, 0.10
-GLARE = {"value": 0.92, "saturation": 0.20}
-REFLECTION = {"offset": 25.0, "saturation": 0.25, "variance_pct": 70}
-VEIN = {"delta_e": 10.0, "l_weight": 0.5, "edge_pct": 85}
+GLARE = {"value": 0.92, "saturation": 0.08}
+REFLECTION = {"offset": 12.0, "saturation": 0.12, "variance_pct": 70}
+VEIN = {"delta_e": 10.0, "l_weight": 0.35, "edge_pct": 85, "chroma": 8.0}
+EXOTIC = {"second": 0.30, "delta_ab": 10.0, "cells": 6}
+NEUTRAL_CHROMA, NEUTRAL_LEAST, NEUTRAL_AT = 8.0, 4.0, 70.0
+#: Named colours in L*a*b*, and those a colour of low chroma may get.
+CENTRES = {
+    "white": (92, 0, 0),
+    "grey": (60, 0, 0),
+    "black": (15, 0, 0),
+    "beige": (80, 5, 15),
+    "brown": (45, 10, 20),
+    "yellow": (80, -5, 50),
+    "red": (45, 45, 20),
+    "rose": (70, 25, 10),
+    "pink": (75, 20, 5),
+    "green": (45, -25, 15),
+}
+NEUTRALS = ["white", "grey", "black", "beige"]
+#: Hue ranges of veins, in degrees; pink wraps around.
+HUES = {"gold": (25, 90), "green": (90, 165), "grey": (165, 250), "pink": (250, 385)}
 MEASURES = [
     "blur_score", "exposure_score", "glare_ratio", "reflection_ratio", "stone_area_ratio", "median_l", "median_a", "median_b",
     "vein_coverage", "spot_coverage", "spot_count", "low_freq_energy", "dominant_angle", "coherence", "entropy", "rel_width", "spot_cv",
+    "pixels", "vein_pixels", "hue_gold", "hue_green", "hue_grey", "hue_pink", "neutral_pixels", "neutral_l", "second_share", "delta_ab", "second_cells",
 ]
 
 
@@ -81,6 +102,30 @@ def blobs(mask: np.ndarray) -> list[tuple[int, float, int]]:
     return out
 
 
+def two_grounds(lab: np.ndarray, where: np.ndarray, most: int = 5000, rounds: int = 20) -> tuple[float, float, float]:
+    """Share of the second of three clusters of the ground, its distance in a*b* from the first, and the cells of a 4 x 4 grid it is in.
+
+    Every n-th pixel is taken and the first centres are lightness quantiles, so the same image gives the same numbers.
+    """
+    y, x = np.nonzero(where)
+    if len(y) < 200:
+        return 0.0, 0.0, 0.0
+    step = -(-len(y) // most)
+    y, x = y[::step], x[::step]
+    points = lab[y, x]
+    centre = points[np.argsort(points[:, 0], kind="stable")[[len(y) // 6, len(y) // 2, len(y) * 5 // 6]]].copy()
+    for _ in range(rounds):
+        own = ((points[:, None] - centre[None]) ** 2).sum(-1).argmin(1)
+        fresh = np.array([points[own == k].mean(0) if (own == k).any() else centre[k] for k in range(3)])
+        if np.allclose(fresh, centre):
+            break
+        centre = fresh
+    counts = np.bincount(own, minlength=3)
+    first, second = np.argsort(-counts, kind="stable")[:2]
+    cells = {(a * 4 // where.shape[0], b * 4 // where.shape[1]) for a, b in zip(y[own == second].tolist(), x[own == second].tolist())}
+    return float(counts[second] / len(y)), float(np.hypot(*(centre[first] - centre[second])[1:])), float(len(cells))
+
+
 def measure(rgb: np.ndarray) -> dict[str, float]:
     """All measurements of one image; an image too small to have an inside gives zeros."""
     h, w = rgb.shape[:2]
@@ -111,6 +156,10 @@ def measure(rgb: np.ndarray) -> dict[str, float]:
     bins = np.histogram(angles, 18, (0, 180))[0].astype(float)
     share = bins / bins.sum() if bins.sum() else np.zeros(18)
     cells = [c.mean() for row in np.array_split(marks, 4, 0) for c in np.array_split(row, 4, 1)]
+    chroma, hue = np.hypot(lab[..., 1], lab[..., 2])[marks], np.degrees(np.arctan2(lab[..., 2], lab[..., 1]))[marks] % 360
+    coloured = chroma >= VEIN["chroma"]
+    counts = {n: float((coloured & ((hue >= a) & (hue < b) | (hue + 360 < b))).sum()) for n, (a, b) in HUES.items()}
+    second, apart, spread = two_grounds(lab, clean & ~marks)
     laplace = np.pad(gray, 1, mode="edge")
     laplace = laplace[:-2, 1:-1] + laplace[2:, 1:-1] + laplace[1:-1, :-2] + laplace[1:-1, 2:] - 4 * gray
     area = float(gray.size)
@@ -132,6 +181,14 @@ def measure(rgb: np.ndarray) -> dict[str, float]:
         "entropy": float(-(share[share > 0] * np.log2(share[share > 0])).sum()) if bins.sum() else 4.0,
         "rel_width": float(np.median([b[0] / max(np.sqrt(b[2]), 1) for b in long_])) / w if long_ else 0.0,
         "spot_cv": float(np.std(cells) / (np.mean(cells) + 1e-6)),
+        "pixels": float(h * w),
+        "vein_pixels": float(marks.sum()),
+        **{f"hue_{n}": c for n, c in counts.items()},
+        "neutral_pixels": float((~coloured).sum()),
+        "neutral_l": float(lab[..., 0][marks][~coloured].mean()) if (~coloured).any() else 0.0,
+        "second_share": second,
+        "delta_ab": apart,
+        "second_cells": spread,
     }
 
 
@@ -195,3 +252,29 @@ def spot_distribution() -> Column:
     cover = F.col("spot_coverage")
     level = F.when(cover < 0.02, "light").when(cover < 0.08, "medium").otherwise("heavy")
     return F.when(F.col("spot_cv") > 0.8, "condensed").otherwise(F.concat(level, F.lit("_homogeneous")))
+
+
+def base_colour() -> Column:
+    """struct(name, confidence) of the ground; colours of low chroma get neutral names only."""
+    l, a, b = F.col("median_l"), F.col("median_a"), F.col("median_b")
+    faint = F.sqrt(a * a + b * b) < F.greatest(F.lit(NEUTRAL_LEAST), NEUTRAL_CHROMA * l / NEUTRAL_AT)
+    named = [nearest_colour(l, a, b, [(n, *c) for n, c in CENTRES.items() if n in only]) for only in (NEUTRALS, list(CENTRES))]
+    return F.when(faint, named[0]).otherwise(named[1])
+
+
+def exotic() -> Column:
+    """Two grounds of different colour that both cover much of the image."""
+    return (F.col("second_share") >= EXOTIC["second"]) & (F.col("delta_ab") >= EXOTIC["delta_ab"]) & (F.col("second_cells") >= EXOTIC["cells"])
+
+
+def vein_colours(measures: DataFrame, entity: str, *, least: int = 200) -> DataFrame:
+    """(entity, vein_colour): the images' vein pixels added up; images with few of them do not count."""
+    seen = F.col("vein_pixels") >= least
+
+    def total(c: str) -> Column:
+        return F.sum(F.when(seen, F.col(c)).otherwise(0.0))
+
+    hues = [f"hue_{n}" for n in HUES]
+    per = measures.groupBy(entity).agg(F.sum("pixels").alias("pixels"), *[total(c).alias(c) for c in ("vein_pixels", "neutral_pixels", *hues)], F.sum(F.when(seen, F.col("neutral_l") * F.col("neutral_pixels"))).alias("l"))
+    mean = F.col("l") / F.nullif(F.col("neutral_pixels"), F.lit(0.0))
+    return per.select(entity, vein_colour(F.col("vein_pixels"), F.col("pixels"), {n: F.col(f"hue_{n}") for n in HUES}, F.col("neutral_pixels"), mean).alias("vein_colour"))

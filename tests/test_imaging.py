@@ -33,3 +33,16 @@ def test_measured(spark):
     assert got[1].error is None and got[1].d.design == "plain" and got[1].exposure_score == pytest.approx(1.0)
     assert got[2].vein_coverage > 0 and got[2].d.design == "veiny" and 0 < got[2].weight <= 1
     assert got[3].error and got[4].error and got[5].error is None and got[5].blur_score == 0
+
+
+def test_colours_of_images(spark):
+    green, half = np.zeros((100, 100, 3), np.uint8), np.full((100, 100, 3), (200, 200, 200), np.uint8)
+    green[:] = (40, 110, 60)
+    half[:, 50:] = (150, 60, 60)
+    veined = np.full((200, 200, 3), 90, np.uint8)
+    veined[40::40] = veined[41::40] = veined[42::40] = (230, 180, 60)
+    rows = [(1, "a", green.tobytes(), 100, 100), (2, "b", half.tobytes(), 100, 100), (3, "c", veined.tobytes(), 200, 200), (4, "c", None, 1, 1)]
+    m = imaging.measured(spark.createDataFrame(rows, "id long, item string, pixels binary, height int, width int"))
+    got = {r.id: r for r in m.select("*", imaging.base_colour().alias("base"), imaging.exotic().alias("exotic")).collect()}
+    assert got[1].base["name"] == "green" and not got[1].exotic and got[2].exotic
+    assert {r["item"]: r.vein_colour for r in imaging.vein_colours(m, "item").collect()} == {"a": "none", "b": "none", "c": "gold"}
