@@ -9,14 +9,20 @@ STAGES = {"NEW": ["cv", "embeddings", "aggregation"], "CHANGED_IMAGE": ["cv", "e
 
 
 def signatures(df: DataFrame, entity: str, image: list[str], metadata: list[str], seq: list[str]) -> DataFrame:
-    """(entity, image_hash, metadata_hash, n_images): the set of images and the metadata of the first row."""
-    images = F.array_sort(F.collect_set(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in image])))
-    meta = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in metadata])
-    return df.groupBy(entity).agg(
-        F.substring(F.md5(F.array_join(images, ",").cast("binary")), 1, 16).alias("image_hash"),
-        F.substring(F.md5(F.min_by(meta, F.struct(*seq)).cast("binary")), 1, 16).alias("metadata_hash"),
-        F.count(F.lit(1)).alias("n_images"),
-    )
+    """(entity, image_hash, metadata_hash, n_images): the set of images and the metadata of the first row.
+
+    The set's hash is the exclusive-or of its members' hashes (two of 60 bits), so it is
+    aggregated on the map side and no entity's images meet in a list.
+    """
+    def joined(cols: list[str]):
+        return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+
+    def part(at: int):
+        return F.bit_xor(F.conv(F.substring("__m", at, 15), 16, 10).cast("long"))
+
+    images = df.select(entity, F.md5(joined(image).cast("binary")).alias("__m")).distinct().groupBy(entity).agg(F.concat_ws("-", part(1), part(17)).alias("image_hash"))
+    first = df.groupBy(entity).agg(F.substring(F.md5(F.min_by(joined(metadata), F.struct(*seq)).cast("binary")), 1, 16).alias("metadata_hash"), F.count(F.lit(1)).alias("n_images"))
+    return images.join(first, entity)
 
 
 def classify(incoming: DataFrame, baseline: DataFrame, entity: str) -> DataFrame:

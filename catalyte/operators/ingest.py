@@ -67,8 +67,10 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 def identity_collisions(df: DataFrame, entity: str, name: str) -> DataFrame:
     """Entities with more than one name; the first three names."""
     distinct = df.select(entity, F.lower(F.trim(name)).alias("__n")).filter("__n <> ''").distinct()
-    found = distinct.groupBy(entity).agg(F.count(F.lit(1)).alias("n_names"), F.array_sort(F.collect_list("__n")).alias("names")).filter("n_names > 1")
-    return found.select(entity, "n_names", F.array_join(F.slice("names", 1, 3), "|").alias("first_names"))
+    many = distinct.groupBy(entity).agg(F.count(F.lit(1)).alias("n_names")).filter("n_names > 1")
+    few = distinct.withColumn("__k", F.row_number().over(Window.partitionBy(entity).orderBy("__n"))).filter("__k <= 3")
+    named = few.groupBy(entity).agg(F.array_join(F.array_sort(F.collect_list("__n")), "|").alias("first_names"))
+    return many.join(named, entity)
 
 
 def collisions(df: DataFrame, group: str, member: str) -> DataFrame:

@@ -227,28 +227,39 @@ def filter_counts(candidates: DataFrame, request: Request) -> DataFrame:
 # --- diversity, page, facets -----------------------------------------------------------
 
 
-def vendor_cap(ranked: DataFrame, order: list[Column], vendor: str = "vendor") -> DataFrame:
-    """Add ``over_cap``: rows beyond a vendor's cap go to the end, in their order.
-
-    The cap is 3, relaxed to 5 if fewer than 8 rows are within 3; there is none with fewer than
-    5 vendors. The two facts come from one aggregation of per-vendor counts.
-    """
+def cap_facts(ranked: DataFrame, key: Column) -> DataFrame:
+    """One row: how many rows of a vendor are allowed. 3, relaxed to 5 if fewer than 8 rows are
+    within 3; all with fewer than 5 vendors. From per-vendor counts."""
     cap = vocab.VENDOR_CAP
-    key = F.coalesce(F.trim(vendor), F.lit(""))
     per = ranked.groupBy(key.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     facts = per.agg(F.count(F.when(F.col("v") != "", 1)).alias("vendors"), F.coalesce(F.sum(F.least("n", F.lit(cap["tight"]))), F.lit(0)).alias("within"))
-    allowed = F.when(F.col("vendors") < cap["min_vendors"], F.lit(2**31 - 1)).when(F.col("within") < cap["min_shown"], cap["relaxed"]).otherwise(cap["tight"])
+    return facts.select(F.when(F.col("vendors") < cap["min_vendors"], 2**31 - 1).when(F.col("within") < cap["min_shown"], cap["relaxed"]).otherwise(cap["tight"]).alias("allowed"))
+
+
+def vendor_cap(ranked: DataFrame, order: list[Column], vendor: str = "vendor") -> DataFrame:
+    """Add ``over_cap`` to all rows: those beyond their vendor's cap go to the end, in their order."""
+    key = F.coalesce(F.trim(vendor), F.lit(""))
     numbered = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return numbered.crossJoin(F.broadcast(facts)).withColumn("over_cap", (F.col("__n") > allowed).cast("int")).drop("__n", "vendors", "within")  # one row
+    return numbered.crossJoin(F.broadcast(cap_facts(ranked, key))).withColumn("over_cap", (F.col("__n") > F.col("allowed")).cast("int")).drop("__n", "allowed")  # one row
 
 
-def page(ranked: DataFrame, request: Request) -> DataFrame:
-    """One page with its positions: a bounded top-k, then an offset."""
-    order = rank_order(request)
+def page(ranked: DataFrame, request: Request, *, vendor: str = "vendor") -> DataFrame:
+    """One page with its positions.
+
+    A row of the page is among the few first of its vendor or among the first of all others, so
+    no vendor's rows are sorted whole: the row number is limited before the shuffle, and the
+    rest is a bounded top-k.
+    """
+    order, most = rank_order(request), request.offset + request.limit
     if request.sort == "best_match":
-        ranked = vendor_cap(ranked, order)
+        cap = vocab.VENDOR_CAP
+        key = F.coalesce(F.trim(vendor), F.lit(""))
+        first = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__n") <= cap["relaxed"])
+        rest = ranked.join(first.select(F.col("item").alias("__i")), F.col("item") == F.col("__i"), "left_anti").orderBy(*order).limit(most)
+        rows = first.unionByName(rest.withColumn("__n", F.lit(cap["relaxed"] + 1)))
+        ranked = rows.crossJoin(F.broadcast(cap_facts(ranked, key))).withColumn("over_cap", (F.col("__n") > F.col("allowed")).cast("int")).drop("__n", "allowed")  # one row
         order = [F.col("over_cap").asc(), *order]
-    top = ranked.orderBy(*order).limit(request.offset + request.limit)
+    top = ranked.orderBy(*order).limit(most)
     place = F.row_number().over(Window.orderBy(*order)) - 1  # over one page only
     return top.withColumn("position", place).filter(F.col("position") >= request.offset)
 

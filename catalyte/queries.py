@@ -261,8 +261,9 @@ def pre_import_analysis(spark, d):
 
 # --- incremental -----------------------------------------------------------------------
 
-_SIG = """SELECT entity, substr(md5(array_to_string(list_sort(list(DISTINCT image || '|' || vendor)), ',')), 1, 16) AS image_hash,
-    substr(md5(arg_min(label || '|' || tone, (image, vendor, price))), 1, 16) AS metadata_hash, count(*) AS n_images FROM {0} GROUP BY 1"""
+_SIG = """SELECT entity, image_hash, metadata_hash, n_images FROM (SELECT entity, CAST(bit_xor(CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS VARCHAR) || '-' || CAST(bit_xor(CAST('0x' || substr(m, 17, 15) AS BIGINT)) AS VARCHAR) AS image_hash
+    FROM (SELECT DISTINCT entity, md5(image || '|' || vendor) AS m FROM {0}) GROUP BY 1)
+    JOIN (SELECT entity, substr(md5(arg_min(label || '|' || tone, (image, vendor, price))), 1, 16) AS metadata_hash, count(*) AS n_images FROM {0} GROUP BY 1) USING (entity)"""
 
 
 def _signatures(df):
@@ -679,10 +680,10 @@ def search_sections(spark, d):
     return _page(spark, d, _SECTIONS)
 
 
-@query(f"SELECT item, CAST(row_number() OVER (ORDER BY ingest_seq DESC) - 1 AS INTEGER) AS position FROM {ITM} WHERE family IN ('', 'brass', 'steel') ORDER BY 2 LIMIT 30 OFFSET 10")
+@query(f"SELECT item, CAST(row_number() OVER (ORDER BY ingest_seq DESC) - 1 AS INTEGER) AS position FROM {ITM} WHERE family IN ('', 'promo', 'small') ORDER BY 2 LIMIT 30 OFFSET 10")
 def search_newest(spark, d):
     """SRT7, WIN10, FLT1e: any other sort is newest first."""
-    return _page(spark, d, search.Request(stone_types=["brass", "steel"], sort="newest", limit=30, offset=10)).drop("score")
+    return _page(spark, d, search.Request(stone_types=["promo", "small"], sort="newest", limit=30, offset=10)).drop("score")
 
 
 @query()
