@@ -11,7 +11,8 @@ from ._shared import materialize
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to the smallest of its neighbourhood."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that adaptive execution can split the join at the centre of a large star
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 

@@ -86,7 +86,8 @@ def near_links(distinct: DataFrame, radius: int, block: int = 1024) -> DataFrame
     """Links (u, v) that connect exactly what pairs within ``radius`` connect; ``distinct``: fp, rep."""
     masks = covering_masks(radius)
     rows = distinct.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("x")).select("x.t", "x.key", "fp", "rep")
-    shared = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that both sides of the join are dealt anew and adaptive execution can split a hot bucket
+    shared = materialize(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     placed = rows.join(shared, ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     blocks = placed.groupBy("t", "key", "blocks", "block").agg(F.collect_list(F.struct("fp", "rep")).alias("some"))  # about ``block`` rows at most
