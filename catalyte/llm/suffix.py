@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import discard, scratch, table, text_or_empty, written
+from ._shared import discard, materialize, scratch, table, text_or_empty, written
 
 ANCHOR = 100
 SYMBOL = 25
@@ -334,7 +334,7 @@ def _by_window(contexts: DataFrame, span: int) -> DataFrame:
 
     windows = contexts.mapInArrow(run, "w binary, times long, a int, found array<long>")
     # with ``a``, or a window that holds two anchors would count itself twice
-    twice = windows.groupBy("w", "a").agg(F.sum("times").alias("n")).filter("n > 1").select("w", "a")
+    twice = materialize(windows.groupBy("w", "a").agg(F.sum("times").alias("n")).filter("n > 1").select("w", "a"), "suffix-windows")
     hits = windows.join(twice, ["w", "a"])
     pairs = F.transform(F.sequence(F.lit(0), F.size("found") - 1, F.lit(2)), lambda k: F.struct(F.get("found", k.cast("int")).alias("uid"), (F.get("found", (k + 1).cast("int")) - F.col("a")).alias("start")))
     return hits.select(F.explode(pairs).alias("x")).select("x.uid", "x.start", (F.col("x.start") + span).alias("end"))
@@ -363,12 +363,14 @@ def _free(spark: SparkSession) -> None:
 def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 200_000) -> DataFrame:
     """(uid, spans): where the rows of ``docs`` (uid, text) have bytes in repeated strings of ``span`` bytes."""
     spark = docs.sparkSession
-    paths = [scratch(spark, f"suffix-{k}") for k in range(4)]
+    paths = [scratch(spark, f"suffix-{k}") for k in range(5)]
     long_enough = docs.filter(F.octet_length("text") >= span)
     found = written(long_enough.mapInArrow(_anchor_rows(span), "uid long, at long, h long"), paths[0])
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # written, so that both sides of the join are dealt anew and adaptive execution can split a hot anchor
+    twice = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), paths[4])
     places = written(found.join(twice, "h").groupBy("uid").agg(F.collect_set("at").alias("places")), paths[1])
     discard(spark, paths[0])
+    discard(spark, paths[4])
     _free(spark)
     contexts = written(long_enough.join(places, "uid").select("uid", "text", "places").mapInArrow(_context_rows(span), CONTEXTS), paths[2])
     discard(spark, paths[1])
@@ -385,8 +387,13 @@ def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 200_000) -> D
 
 def with_uid(docs: DataFrame, key: str) -> DataFrame:
     """Add ``uid``: the key where keys are unique, else a hash of key and text (equal rows share it)."""
-    clash = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).limit(1).count()
-    return docs.withColumn("uid", F.xxhash64(F.col(key), F.col("text")) if clash else F.col(key).cast("long"))
+    return docs.withColumn("uid", F.xxhash64(F.col(key), F.col("text")) if has_clash(docs, key) else F.col(key).cast("long"))
+
+
+def has_clash(docs: DataFrame, key: str) -> bool:
+    """Is a key null or used twice?"""
+    found = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
+    return found.limit(1).count() > 0
 
 
 def cut_repeats(docs: DataFrame, *, key: str = "doc_id", span: int = 200, hot: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
