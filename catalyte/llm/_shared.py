@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -53,3 +54,9 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later step reads."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

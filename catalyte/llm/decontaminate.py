@@ -170,4 +170,24 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_decontaminate": op8_decontaminate}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_decontaminate": """
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+        ), b AS (
+            SELECT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark
+        ), i AS (
+            SELECT item_id, w, least(5, len(w)) AS width FROM b WHERE len(w) > 0
+        ), ig AS (
+            SELECT DISTINCT item_id, width, array_to_string(w[k:k + width - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS k FROM i)
+        ), dg AS (
+            SELECT DISTINCT doc_id, width, array_to_string(w[k:k + width - 1], ' ') AS g
+            FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS k FROM d, (SELECT DISTINCT width FROM i) WHERE len(w) >= width)
+        ), n AS (
+            SELECT item_id, count(*) AS n FROM ig GROUP BY 1
+        )
+        SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_found, count(*) / n AS containment
+        FROM ig JOIN dg USING (width, g) JOIN n USING (item_id)
+        GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n - 1e-9
+    """
+}

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalyte.llm import decontaminate, packing, quality, simhash, suffix
+from catalyte.llm import decontaminate, packing, quality, similar_texts, simhash, suffix
 from catalyte.llm._shared import materialize, table
+from catalyte.llm.components import components
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` (with ``uid``) but for the ids in ``gone`` (uid)."""
-    gone = gone.select(F.col("uid").alias("__gone")).distinct()
-    return docs.join(gone, F.col("uid").eqNullSafe(F.col("__gone")), "left_anti").drop("uid")
+def _without(docs: DataFrame, gone: DataFrame, *, keep_uid: bool = False) -> DataFrame:
+    """``docs`` (with ``uid``, never null) but for the ids in ``gone`` (uid)."""
+    kept = docs.join(gone.select("uid").distinct(), "uid", "left_anti")
+    return kept if keep_uid else kept.drop("uid")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +23,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that SimHash links, the one with the smallest id stays."""
+    """Of each group of near copies the one with the smallest id stays.
+
+    Two texts are near copies if their SimHash fingerprints differ in three bits at most, or
+    if their 5-word shingle sets have a Jaccard similarity of 0.8 or more.
+    """
     named = suffix.with_uid(docs, "doc_id")
-    classes = simhash.near_classes(named, key="uid")
-    return _without(named, classes.filter(~F.col("uid").eqNullSafe(F.col("component_id"))))
+    close = simhash.near_classes(named, key="uid").filter("uid <> component_id").select(F.col("uid").alias("u"), F.col("component_id").alias("v"))
+    groups = components(close.union(similar_texts.links(named, key="uid")))
+    kept = _without(named, groups.select(F.col("node").alias("uid")), keep_uid=True)
+    if suffix.has_clash(docs, "doc_id"):  # equal rows share their uid
+        kept = kept.dropDuplicates(["uid"])
+    return kept.select(*docs.columns)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +52,7 @@ def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that contain a benchmark item go."""
     named = suffix.with_uid(docs, "doc_id")
     found = decontaminate.contained(named, table(spark, sf_dir, "benchmark"), key="uid")
-    return _without(named, found)
+    return _without(named, found).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

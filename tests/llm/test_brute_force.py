@@ -92,6 +92,25 @@ def classes(texts):
     return dict(zip(ids, fps.tolist())), label
 
 
+def near_copies(texts):
+    """Components of fingerprints within 3 bits or 5-word shingle sets at least 0.8 similar."""
+    _, label = classes(texts)
+    sets = {}
+    for k, t in texts.items():
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids, changed = sorted(texts), True
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in [*pairs, *label.items()]:
+            least = min(label[a], label[b])
+            if label[a] != least or label[b] != least:
+                label[a] = label[b] = least
+                changed = True
+    return label
+
+
 def shingles(text):
     w = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower())
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -188,7 +207,7 @@ def test_pipeline(spark, texts):
     kept = {r.doc_id: r.text for r in rows}
     assert all(texts[k] == t for k, t in kept.items()) and 0 < len(kept) < len(texts)
     docs, rows = step("SimHash near-dedup", docs)
-    _, label = classes(kept)
+    label = near_copies(kept)
     kept = {k: t for k, t in kept.items() if label[k] == k}
     assert {r.doc_id: r.text for r in rows} == kept
     docs, rows = step("suffix-array dedup", docs)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from catalyte.llm import chat, decontaminate, packing, quality, sharding, simhash, suffix, token_orc, topk, warc
+from catalyte.llm import chat, decontaminate, packing, quality, sharding, similar_texts, simhash, suffix, token_orc, topk, warc
 from catalyte.llm._shared import scratch
 from catalyte.llm.tokens import Encoder
 
@@ -222,3 +222,22 @@ def test_chat(spark):
     assert set(got) == {2, 4, None} and got[2][:2] == (3, 2)
     assert got[2][2] == "<|user|>\nhi\n<|end|>\n<|assistant|>\nyo\n<|end|>\n<|user|>\nmore\n<|end|>" and got[4][2] == "<||>\n\n<|end|>"
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_similar_texts(spark):
+    words = [f"w{k}" for k in range(100)]
+    other = list(words)
+    other[50] = "changed"
+    far = list(words)
+    for k in (10, 30, 50, 70, 90):
+        far[k] = "x"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far)), (4, ""), (5, None), (6, " ".join(words).upper()), (7, "short text"), (8, "short text"), (9, "another one")]
+    df = spark.createDataFrame(rows, "uid long, text string")
+    got = {frozenset((r.u, r.v)) for r in similar_texts.links(df).collect()}
+    assert got == {frozenset(p) for p in ((1, 2), (1, 6), (4, 5), (7, 8))}
+    many = spark.createDataFrame([(k, " ".join(words[:-1] + [f"end{k}"])) for k in range(60)], "uid long, text string")
+    from catalyte.llm.components import components
+
+    for block in (1024, 8):
+        assert {r.component for r in components(similar_texts.links(many, block=block)).collect()} == {0}
+    assert similar_texts.links(df.limit(0)).count() == 0
