@@ -11,7 +11,8 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyarrow import fs, orc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import materialize, scratch, table, text_or_empty
@@ -31,7 +32,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int | None, *, key: str =
     return docs.select(key, text_or_empty().alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, tokens array<int>")
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, *, key: str = "doc_id", stripe_bytes: int = 64 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, *, key: str = "doc_id", stripe_bytes: int = 64 << 20, compression: str = "lz4") -> None:
     """Encode ``docs`` and write them in ascending order of ``key``.
 
     The shuffle carries the texts (smaller than their ids) and Spark's own commit protocol
@@ -45,7 +46,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "10000")
         .option("orc.stripe.size", str(stripe_bytes))
-        .option("compression", "zstd")
+        .option("compression", compression)
         .orc(path)
     )
 
@@ -64,38 +65,47 @@ def read_tokens(spark: SparkSession, path: str, *, key: str = "doc_id", lo: int
 def token_index(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataFrame:
     """What the files hold: per document its place in the whole id stream, count and crc32.
 
-    Files are in key order, so a document's start is the ids of all earlier files plus a
-    running sum inside its own file: no global sort, no window over the whole table.
+    Stripes are read in parallel, each by a task of its own. Files, their stripes and the rows
+    in them are in key order, so a document's start is the ids of all earlier stripes plus a
+    running sum inside its stripe: no sort, and only one sum a stripe comes to the driver.
     """
+    files = sorted(spark.read.orc(path).inputFiles(), key=lambda f: f.rsplit("/", 1)[-1])
+    kind = spark.read.orc(path).schema[key].dataType.simpleString()
+
+    def stripes(batches):
+        for batch in batches:
+            rows = []
+            for number, name in zip(*(c.to_pylist() for c in batch.columns)):
+                store, at = fs.FileSystem.from_uri(name)
+                with store.open_input_file(at) as file:
+                    rows += [(number, name, k) for k in range(orc.ORCFile(file).nstripes)]
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32()))], names=["number", "file", "stripe"])
 
     def digest(batches):
         for batch in batches:
-            lists = batch.column(1)
-            if isinstance(lists, pa.ChunkedArray):
-                lists = lists.combine_chunks()
-            offsets = lists.offsets.to_pylist()
-            raw = memoryview(lists.values.cast(pa.int32()).buffers()[1] or b"")
-            base = lists.values.offset
-            crc = [zlib.crc32(raw[4 * (base + a) : 4 * (base + b)]) for a, b in zip(offsets, offsets[1:])]
-            count = [b - a for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(count, pa.int64()), pa.array(crc, pa.int64())], names=[key, "file", "n_tokens", "ids_crc32"])
-
-    files = spark.read.orc(path)
-    kind = files.schema[key].dataType.simpleString()
-    found = files.select(key, "tokens", F.col("_metadata.file_name").alias("file")).mapInArrow(digest, f"{key} {kind}, file string, n_tokens long, ids_crc32 long")
+            for number, name, k in zip(*(c.to_pylist() for c in batch.columns)):
+                store, at = fs.FileSystem.from_uri(name)
+                with store.open_input_file(at) as file:
+                    part = orc.ORCFile(file).read_stripe(k, columns=[key, "tokens"])
+                lists = part.column(part.schema.get_field_index("tokens"))
+                ends = lists.offsets.to_pylist()
+                raw = memoryview(lists.values.cast(pa.int32()).to_numpy(zero_copy_only=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])]
+                count, n = [b - a for a, b in zip(ends, ends[1:])], len(ends) - 1
+                cols = [part.column(part.schema.get_field_index(key)), pa.array([number] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array([a - ends[0] for a in ends[:-1]], pa.int64()), pa.array(count, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "number", "stripe", "own", "n_tokens", "ids_crc32"])
+
+    listed = spark.createDataFrame(list(enumerate(files)), "number long, file string").repartition(max(1, min(len(files), 1000)))
+    found = listed.mapInArrow(stripes, "number long, file string, stripe int").repartition("number", "stripe").mapInArrow(digest, f"{key} {kind}, number long, stripe int, own long, n_tokens long, ids_crc32 long")
     found = materialize(found, "token-index")
-    sums = sorted((r["file"], r["n"]) for r in found.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())  # one row a file
+    sums = found.groupBy("number", "stripe").agg(F.sum("n_tokens").alias("n")).collect()  # one row a stripe
     before, at = [], 0
-    for name, n in sums:
-        before.append((name, at))
-        at += n
-    starts = spark.createDataFrame(before, "__file string, __before long")
-    own = Window.partitionBy("file").orderBy(F.col(key).asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        found.withColumn("__own", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
-        .join(F.broadcast(starts), F.col("file") == F.col("__file"))
-        .select(key, (F.col("__before") + F.col("__own")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    for r in sorted(sums):
+        before.append((r["number"], r["stripe"], at))
+        at += r["n"]
+    starts = spark.createDataFrame(before, "number long, stripe int, before long")
+    return found.join(F.broadcast(starts), ["number", "stripe"]).select(key, (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Encoding a text as one string costs the library about a microsecond a byte, mostly for
 offsets that nobody reads. Pre-tokenization makes every piece independent of the others,
 so here a text is cut at white space, pieces seen before come from a bounded memo, and only
-new ones go through the tokenizer's own model. Texts with characters for which the cut might
-differ from the library's own (combining marks, unusual white space, ...) are encoded whole.
+new ones go through the tokenizer's own model. What holds characters for which the cut might
+differ from the library's own (combining marks, unusual white space, ...) is encoded whole.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow as pa
 #: Characters for which white space, case and normal form are the same everywhere.
 PLAIN = "\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-‧€"
 ODD = re.compile(f"[^{PLAIN}]")
+#: Signs that are a piece of their own behind letters.
+SIGNS = frozenset(".,;:!?")
 #: The pre-tokenization patterns of the two public vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -32,21 +34,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class _Memo(dict):
-    """Ids of a string as little-endian unsigned 32-bit bytes; bounded."""
+class _Words(dict):
+    """Word -> its ids as little-endian unsigned 32-bit bytes. Bounded: what comes first stays, which
+    are the frequent words; the many that occur once are made as they come."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
+    def __init__(self, tokenize, other, space: str, signs: dict[str, bytes], most: int):
+        self.tokenize, self.other, self.space, self.signs, self.most = tokenize, other, space, signs, most
 
-    def __missing__(self, key: str) -> bytes:
-        ids = self.make(key)
+    def __missing__(self, word: str) -> bytes:
+        """Letters with at most one sign behind need no pattern."""
+        if word.isascii() and word.isalpha():
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(self.space + word)])
+        elif word[-1:] in self.signs and word[:-1].isalpha() and word.isascii():
+            ids = self[word[:-1]] + self.signs[word[-1]]
+        else:
+            ids = self.other(word)
         if len(self) < self.most:
-            self[key] = ids
+            self[word] = ids
         return ids
 
 
 class Encoder:
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -56,35 +65,42 @@ class Encoder:
         self.letters = _byte_letters()
         setup = json.loads(self.tokenizer.to_str())
         pre, normalizer = setup.get("pre_tokenizer") or {}, setup.get("normalizer")
-        self.kind = "whole"
+        self.kind, self.space = "whole", ""
         if normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.kind, pattern = "byte", BYTE_PATTERN
+            self.kind, self.space, pattern = "byte", " ", BYTE_PATTERN
         elif normalizer and [x.get("type") for x in normalizer.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and WORD_PATTERN in json.dumps(pre).replace("\\\\", "\\"):
             self.kind, pattern = "word", WORD_PATTERN
         if self.kind != "whole":
             self.pieces = regex.compile(pattern).findall
-            self.piece = _Memo(self._piece, memo)
-            self.spaced = _Memo(lambda w: self._cut(" " + w), memo)
-            self.bare = _Memo(self._cut, memo)
+            self.tokenize = self.tokenizer.model.tokenize
+            self.words = _Words(self.tokenize, self._word, self.letters[32] * len(self.space), {c: self._piece(c) for c in SIGNS}, memo)
 
     def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        found = self.tokenizer.model.tokenize("".join([letters[b] for b in piece.encode()]))
-        return np.array([t.id for t in found], "<u4").tobytes()
+        found = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return b"".join([t.id.to_bytes(4, "little") for t in found])
 
     def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pieces(text)))
+        return b"".join(map(self._piece, self.pieces(text)))
+
+    def _word(self, word: str) -> bytes:
+        """A word as it stands behind a space, or by itself for vocabularies that drop spaces."""
+        if ODD.search(word):
+            return self._whole(self.space + word)
+        return self._piece(self.space + word) if word.isalpha() else self._cut(self.space + word)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text as bytes."""
+        if self.kind == "byte" and "  " not in text:  # a run of spaces is a piece of its own
+            first, *rest = text.split(" ")
+            return (self._whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
         if self.kind == "whole" or ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(text)
         if self.kind == "word":
-            return b"".join(map(self.bare.__getitem__, text.lower().split()))
-        if "  " in text:  # a run of spaces is a piece of its own
-            return self._cut(text)
-        first, *rest = text.split(" ")
-        return self._cut(first) + b"".join(map(self.spaced.__getitem__, rest))
+            return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return self._cut(text)
 
 
 @lru_cache(maxsize=4)
