@@ -37,10 +37,14 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(APART).split()
 
 
+#: Words a Python worker remembers.
+MEMO = 100_000
+
+
 class _Hash(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < MEMO:
             self[word] = h
         return h
 

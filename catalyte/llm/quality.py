@@ -29,6 +29,7 @@ from .tokens import pieces_of
 
 WORDS, MARKS = 1 << 15, 1 << 9
 WORD_DIM, MARK_DIM = 64, 32
+MEMO = 100_000  # words a Python worker remembers
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RUN = re.compile(r"(.)\1+")
 SAME = 0  # the mark of a word that repeats the one before
@@ -57,7 +58,7 @@ class _Units(dict):
         case = "-" if not core else "D" if core[0].isdigit() else "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l"
         tail = RUN.sub(r"\1+", word[len(word.rstrip(SIGNS)) :])
         unit = crc32(core.lower().encode()) % WORDS * MARKS + 1 + crc32(f"{case}{tail}".encode()) % (MARKS - 1)
-        if len(self) < 400_000:
+        if len(self) < MEMO:
             self[word] = unit
         return unit
 

@@ -55,7 +55,7 @@ class _Words(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, memo: int = 900_000):
+    def __init__(self, path: str, memo: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -123,3 +123,4 @@ def pieces_of(batches, limit: int = 4_000_000):
         rows = max(1, min(batch.num_rows, int(limit * batch.num_rows / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
