@@ -36,7 +36,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "pages", "conversations", "documents"):
+    for t in ("embeddings", "pages", "conversations", "documents", "benchmark"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     rel = con.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, SMALL)
