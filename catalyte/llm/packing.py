@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table, text_or_empty
-from .tokens import encoder, id_lists, pieces_of
+from .tokens import MEMO, encoder, id_lists, pieces_of
 
 TIERS = (256, 512, 1024, 2048)
 
@@ -98,7 +98,7 @@ class TierPacker:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, *, key: str = "doc_id", tiers=TIERS, step_tokens: int = 16384, digest: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, *, key: str = "doc_id", tiers=TIERS, step_tokens: int = 16384, digest: bool = False, memo: int = MEMO) -> DataFrame:
     """One row per piece: ``key``, start, length, doc_tokens, sequence_id, offset, tier, step_group
     and the piece's ids, or with ``digest`` their crc32 (little-endian unsigned 32-bit) in their place.
 
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, *, key: str = "doc_id",
 
     def run(batches):
         nonlocal arrow_key
-        encode, end = encoder(vocabulary), end_id.to_bytes(4, "little")
+        encode, end = encoder(vocabulary, memo), end_id.to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 36
         packer, ids, names, sequence = TierPacker(tiers, step_tokens), {}, {}, 0
         left: dict[int, int] = {}

@@ -20,6 +20,8 @@ import pyarrow as pa
 #: Characters for which white space, case and normal form are the same everywhere.
 PLAIN = "\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-‧€"
 ODD = re.compile(f"[^{PLAIN}]")
+#: Words a Python worker remembers, about 200 bytes each.
+MEMO = 900_000
 #: Signs that are a piece of their own behind letters.
 SIGNS = frozenset(".,;:!?")
 #: The pre-tokenization patterns of the two public vocabularies.
@@ -55,7 +57,7 @@ class _Words(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -104,9 +106,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    return Encoder(path)
+    return Encoder(path, memo)
 
 
 def id_lists(chunks: list[bytes]) -> pa.Array:

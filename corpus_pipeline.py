@@ -59,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in training sequences of up to 2048."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, memo=300_000)  # its workers also hold what earlier stages keep
 
 
 STAGES = [
