@@ -96,8 +96,9 @@ def token_index(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataF
                 cols = [part.column(part.schema.get_field_index(key)), pa.array([number] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array([a - ends[0] for a in ends[:-1]], pa.int64()), pa.array(count, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "number", "stripe", "own", "n_tokens", "ids_crc32"])
 
+    # the numbers of tasks are given, or adaptive execution would read the few small rows, and so all stripes, in one
     listed = spark.createDataFrame(list(enumerate(files)), "number long, file string").repartition(max(1, min(len(files), 1000)))
-    found = listed.mapInArrow(stripes, "number long, file string, stripe int").repartition("number", "stripe").mapInArrow(digest, f"{key} {kind}, number long, stripe int, own long, n_tokens long, ids_crc32 long")
+    found = listed.mapInArrow(stripes, "number long, file string, stripe int").repartition(max(1, min(2 * len(files), 10_000)), "number", "stripe").mapInArrow(digest, f"{key} {kind}, number long, stripe int, own long, n_tokens long, ids_crc32 long")
     found = materialize(found, "token-index")
     sums = found.groupBy("number", "stripe").agg(F.sum("n_tokens").alias("n")).collect()  # one row a stripe
     before, at = [], 0
