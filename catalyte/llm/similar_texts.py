@@ -4,9 +4,10 @@ At three of 64 bits SimHash finds copies with few edits only. Here the fingerpri
 a text's distinct words, which a few edits hardly change, and is 128 bits long: four parts of
 32 bits, each with the covering masks of radius 3. A pair with a Jaccard similarity of 0.8
 on 5-word shingles differs in about 2 bits of a part, so nearly every such pair meets under
-some mask of some part. Within a bucket each fingerprint is tied to a near one (a spanning
-forest, nearest first), and a tie counts only if the exact Jaccard similarity of the two
-texts' shingle sets reaches the threshold.
+some mask of some part. A tie counts only if the exact Jaccard similarity of the two texts'
+shingle sets reaches the threshold. Large families cost few tests: first each bucket proposes
+a shortest spanning forest; then every pair of a bucket that the forests' verified ties leave
+in different components is proposed and tested as well.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import free, materialize, text_or_empty
+from .components import components
 from .decontaminate import _HASH, shingle_hashes
 from .simhash import LOWER, covering_masks
 from .tokens import pieces_of
@@ -24,6 +26,8 @@ from .tokens import pieces_of
 PARTS, BITS = 4, 32
 #: Bits of 128 in which a pair may differ to be looked at: far above what 0.8 gives, far below chance.
 NEAR = 20
+#: Stands for a distance that is too large.
+FAR = 255
 
 
 def words_of(text: str) -> list[bytes]:
@@ -68,42 +72,31 @@ def sketches(docs: DataFrame, key: str, width: int) -> DataFrame:
     return docs.select(key, text_or_empty().alias("text")).mapInArrow(run, f"{key} long, a long, b long, s long")
 
 
-def nearest_forest(a: list[int], b: list[int], ids: list[int]) -> list[tuple[int, int]]:
-    """Ties of a spanning forest of the pairs within ``NEAR`` bits; each node is tied to the nearest one reached before it."""
-    if len(ids) <= 6:
-        full = (1 << 64) - 1
-        pairs = sorted((((a[i] ^ a[j]) & full).bit_count() + ((b[i] ^ b[j]) & full).bit_count(), i, j) for i in range(len(ids)) for j in range(i))
-        own, out = list(range(len(ids))), []
-        for d, i, j in pairs:
-            if d <= NEAR and own[i] != own[j]:
-                old, new = own[i], own[j]
-                own = [new if x == old else x for x in own]
-                out.append((ids[i], ids[j]))
-        return out
+def distances(a: list[int], b: list[int]) -> np.ndarray:
+    """Bits between all fingerprints, ``FAR`` where they are not to be tied."""
     x, y = np.array(a, np.int64).view(np.uint64), np.array(b, np.int64).view(np.uint64)
-    open_, out = np.ones(len(ids), bool), []
-    for root in range(len(ids)):
-        if not open_[root]:
-            continue
-        open_[root] = False
-        best, via = np.full(len(ids), 999), np.zeros(len(ids), np.int64)
-        edge = np.array([root])
-        while len(edge):
-            rest = np.flatnonzero(open_)
-            if not len(rest):
-                break
-            far = np.bitwise_count(x[edge][:, None] ^ x[rest]).astype(np.int64) + np.bitwise_count(y[edge][:, None] ^ y[rest])
-            near = far.min(0)
-            closer = near < best[rest]
-            best[rest[closer]], via[rest[closer]] = near[closer], edge[far.argmin(0)[closer]]
-            edge = rest[best[rest] <= NEAR]
-            open_[edge] = False
-            out += [(ids[k], ids[via[k]]) for k in edge.tolist()]
+    bits = np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y)
+    return np.where(bits <= NEAR, bits, FAR).astype(np.uint8)
+
+
+def nearest_forest(far: np.ndarray) -> list[tuple[int, int]]:
+    """Ties (places in ``far``) of a shortest spanning forest, by Prim's rule."""
+    open_, out = np.ones(len(far), bool), []
+    best, via = np.full(len(far), FAR, np.uint8), np.zeros(len(far), np.int64)
+    for _ in range(len(far)):
+        k = int(best.argmin())
+        if best[k] == FAR:
+            k = int(open_.argmax())
+        else:
+            out.append((k, int(via[k])))
+        open_[k], best[k] = False, FAR
+        closer = (far[k] < best) & open_
+        best[closer], via[closer] = far[k][closer], k
     return out
 
 
-def proposed(distinct: DataFrame, block: int = 1024) -> DataFrame:
-    """(u, v): ties among ``distinct`` (a, b, rep), by bucket and block."""
+def cells_of(distinct: DataFrame) -> DataFrame:
+    """(cell, blocks, rep, ...): rows of ``distinct`` (a, b, rep) in every table where another row meets them."""
     masks = covering_masks(3, BITS)
     low = (1 << BITS) - 1
     cells = []
@@ -113,8 +106,22 @@ def proposed(distinct: DataFrame, block: int = 1024) -> DataFrame:
     rows = distinct.select("a", "b", "rep", F.explode(F.array(*cells)).alias("cell"))
     # written, so that both sides of the join are dealt anew and adaptive execution can split a hot bucket
     shared = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cells")
-    placed = rows.join(shared, "cell").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    blocks = placed.groupBy("cell", "blocks", "block").agg(F.collect_list(F.struct("a", "b", "rep")).alias("some"))  # about ``block`` rows at most
+    return rows.join(shared, "cell")
+
+
+def proposed(cells: DataFrame, named: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """(u, v): pairs of rows that share a cell, by bucket and block.
+
+    Without ``named`` the ties of a forest; with it (node, component) all pairs of different
+    components, so that the two rounds leave no pair untested that could still connect anything.
+    """
+    tying = named is None
+    placed = cells.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    if tying:
+        placed = placed.withColumn("c", F.col("rep"))
+    else:
+        placed = placed.join(named.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    blocks = placed.groupBy("cell", "blocks", "block").agg(F.collect_list(F.struct("a", "b", "rep", "c")).alias("some"))  # about ``block`` rows at most
     one = blocks.filter("blocks > 1").select("cell", F.col("block").alias("i"), F.col("some").alias("x"))
     two = blocks.filter("blocks > 1").select("cell", F.col("block").alias("j"), F.col("some").alias("y"))
     pairs = blocks.filter("blocks = 1").select("some").union(one.join(two, "cell").filter("i < j").select(F.concat("x", "y").alias("some")))
@@ -123,10 +130,16 @@ def proposed(distinct: DataFrame, block: int = 1024) -> DataFrame:
         for batch in batches:
             lists = batch.column(0)
             ends = lists.offsets.to_pylist()
-            a, b, ids = (lists.values.field(k).to_pylist() for k in range(3))
-            found = {x for s, e in zip(ends, ends[1:]) for x in nearest_forest(a[s:e], b[s:e], ids[s:e])}
-            cols = list(zip(*found)) or [[]] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["u", "v"])
+            a, b, ids, own = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            for s, e in zip(ends, ends[1:]):
+                if not tying and (own[s:e] == own[s]).all():
+                    continue
+                far = distances(a[s:e], b[s:e])
+                if tying:
+                    at = np.array(nearest_forest(far), np.int64).reshape(-1, 2).T
+                else:
+                    at = np.nonzero(np.triu((far < FAR) & (own[s:e][:, None] != own[s:e]), 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][k]) for k in at], names=["u", "v"])
 
     return pairs.mapInArrow(run, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -140,7 +153,16 @@ def links(docs: DataFrame, *, key: str = "uid", width: int = 5, threshold: float
     named = materialize(sketches(docs, key, width), "word-sketches")
     distinct = materialize(named.groupBy("a", "b", "s").agg(F.min(key).alias("rep")), "word-sketches")
     same = named.join(distinct, ["a", "b", "s"]).filter(F.col(key) != F.col("rep")).select(F.col(key).alias("u"), F.col("rep").alias("v"))
-    ties = materialize(proposed(distinct, block), "ties")
+    cells = materialize(cells_of(distinct), "cells")
+    first = materialize(proposed(cells, block=block), "ties")
+    near = materialize(verified(docs, first, key, width, threshold), "near")
+    # what the forest's ties left apart is tested pair by pair
+    rest = proposed(cells, components(near), block).join(first, ["u", "v"], "left_anti")
+    return near.union(verified(docs, materialize(rest, "ties"), key, width, threshold)).union(same)
+
+
+def verified(docs: DataFrame, ties: DataFrame, key: str, width: int, threshold: float) -> DataFrame:
+    """The ``ties`` (u, v) whose exact shingle sets are at least ``threshold`` similar."""
     free(docs.sparkSession)
 
     def sets(batches):
@@ -162,4 +184,4 @@ def links(docs: DataFrame, *, key: str = "uid", width: int = 5, threshold: float
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     sized = ties.join(held.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(held.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    return sized.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long").union(same)
+    return sized.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long")

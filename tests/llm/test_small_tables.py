@@ -241,3 +241,23 @@ def test_similar_texts(spark):
     for block in (1024, 8):
         assert {r.component for r in components(similar_texts.links(many, block=block)).collect()} == {0}
     assert similar_texts.links(df.limit(0)).count() == 0
+
+
+def test_similar_texts_tests_what_a_failed_tie_leaves(spark):
+    """Eight looser variants of one template, each with a true copy; all have the same words and thus the same fingerprint."""
+
+    def swapped(words, places):
+        words = list(words)
+        for k in places:
+            words[k], words[k + 1] = words[k + 1], words[k]
+        return words
+
+    template, rows = [f"w{k}" for k in range(240)], []
+    for k in range(8):
+        variant = swapped(template, range(3 + 3 * k, 240, 27))
+        rows += [(k, " ".join(variant)), (100 + k, " ".join(swapped(variant, [238])))]
+    sets = {k: set(similar_texts.shingle_set(t, 5).tolist()) for k, t in rows}
+    true = {frozenset((u, v)) for u in sets for v in sets if u < v and len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v])}
+    assert true == {frozenset((k, 100 + k)) for k in range(8)}
+    df = spark.createDataFrame(rows, "uid long, text string")
+    assert {frozenset((r.u, r.v)) for r in similar_texts.links(df).collect()} == true
