@@ -1,13 +1,17 @@
-"""SimHash near-dedup for word-shingle similarity: covering LSH proposes, exact sets decide.
-
-At three of 64 bits SimHash finds copies with few edits only. Here the fingerprint is made of
-a text's distinct words, which a few edits hardly change, and is 128 bits long: four parts of
-32 bits, each with the covering masks of radius 3. A pair with a Jaccard similarity of 0.8
-on 5-word shingles differs in about 2 bits of a part, so nearly every such pair meets under
-some mask of some part. A tie counts only if the exact Jaccard similarity of the two texts'
-shingle sets reaches the threshold. Large families cost few tests: first each bucket proposes
-a shortest spanning forest; then every pair of a bucket that the forests' verified ties leave
-in different components is proposed and tested as well.
+"""Near-dedup by word-shingle similarity beside SimHash: MinHash tables propose, exact sets decide.
+
+At three of 64 bits SimHash finds copies with few edits only. Here 32 tables are keyed by 5
+MinHash values of a text's 5-word shingles each. Two texts meet in a table with probability
+J^5 for the Jaccard similarity J of their shingle sets, wherever they differ: scattered edits,
+added and removed passages are alike. At J = 0.8 a pair meets in no table with probability
+(1 - 0.8^5)^32 = 3e-6, and above 0.8 with less.
+
+Pairs that meet are only left out if they provably are not similar enough: by the sizes of
+their sets, or by the parity bitmaps of their sets, which differ in no more bits than the sets
+in elements. All others count if the exact Jaccard similarity reaches the threshold. Large
+families cost few tests: first each bucket proposes a shortest spanning forest; then every
+pair of a bucket that the forests' verified ties leave in different components is proposed
+and tested as well.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ from pyspark.sql import functions as F
 
 from ._shared import free, materialize, text_or_empty
 from .components import components
-from .decontaminate import _HASH, shingle_hashes
-from .simhash import LOWER, covering_masks
+from .decontaminate import shingle_hashes
+from .simhash import LOWER
 from .tokens import pieces_of
 
-PARTS, BITS = 4, 32
-#: Bits of 128 in which a pair may differ to be looked at: far above what 0.8 gives, far below chance.
-NEAR = 20
+TABLES, ROWS = 32, 5
+#: Bits of a parity bitmap.
+BITS = 512
+#: Odd factors: each orders the shingle hashes anew.
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, TABLES * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Stands for a distance that is too large.
 FAR = 255
 
@@ -40,43 +46,52 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, min(width, len(words)) or 1))
 
 
-def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
-    """Two 64-bit words: a bit is set if most distinct words' hashes have it."""
-    own = np.fromiter(map(_HASH.__getitem__, set(words)), np.uint64, len(set(words)))
-    out = []
-    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        h = own * np.uint64(salt)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
-    return out[0], out[1]
+def minhash_cells(shingles: np.ndarray) -> np.ndarray:
+    """The cell of a nonempty shingle set in each table, as signed longs."""
+    least = np.full(TABLES * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[at : at + 1024, None] * FACTORS).min(0), out=least)
+    out = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for column in least.reshape(TABLES, ROWS).T:
+        out = (out ^ column) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def parity_bitmap(shingles: np.ndarray) -> bytes:
+    """Bit k is set if an odd number of shingles falls on k."""
+    place = (shingles * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS.bit_length() + 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=BITS) & 1).astype(bool), bitorder="little").tobytes()
 
 
 def sketches(docs: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, a, b, s): the fingerprint's words and a hash of the shingle set."""
+    """(key, n, s, bits, cells): size, hash and parity bitmap of the shingle set, and its cells (none if it is empty)."""
+    schema = pa.schema([(key, pa.int64()), ("n", pa.int32()), ("s", pa.int64()), ("bits", pa.binary()), ("cells", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in pieces_of(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                found = shingle_hashes(words, min(width, len(words)) or 1)
-                rows.append((*word_fingerprint(words), int(np.bitwise_xor.reduce(np.unique(found) * np.uint64(0xA0761D6478BD642F), initial=np.uint64(0)).view(np.int64))))
-            cols = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=[key, "a", "b", "s"])
+                found = shingle_set(text, width)
+                s = int(np.bitwise_xor.reduce(found * np.uint64(0xA0761D6478BD642F), initial=np.uint64(0)).view(np.int64))
+                rows.append((len(found), s, parity_bitmap(found), minhash_cells(found) if len(found) else []))
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
 
-    return docs.select(key, text_or_empty().alias("text")).mapInArrow(run, f"{key} long, a long, b long, s long")
+    return docs.select(key, text_or_empty().alias("text")).mapInArrow(run, f"{key} long, n int, s long, bits binary, cells array<long>")
 
 
-def distances(a: list[int], b: list[int]) -> np.ndarray:
-    """Bits between all fingerprints, ``FAR`` where they are not to be tied."""
-    x, y = np.array(a, np.int64).view(np.uint64), np.array(b, np.int64).view(np.uint64)
-    bits = np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y)
-    return np.where(bits <= NEAR, bits, FAR).astype(np.uint8)
+def distances(n: np.ndarray, bits: np.ndarray, threshold: float) -> np.ndarray:
+    """Least share of elements, in 253rds, in which sets of sizes ``n`` differ by their bitmaps; ``FAR`` if that or their sizes rule ``threshold`` out.
+
+    With similarity J sets of x and y elements differ in (x + y) (1 - J) / (1 + J), and the smaller has J times the larger's at least.
+    """
+    apart = np.zeros((len(n), len(n)), np.int64)
+    for word in bits.T:
+        apart += np.bitwise_count(word[:, None] ^ word)
+    both = n[:, None] + n
+    may = (apart <= both * ((1 - threshold) / (1 + threshold)) + 1e-6) & (np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n) - 1e-6)
+    return np.where(may, apart * 253 // np.maximum(both, 1), FAR).astype(np.uint8)
 
 
 def nearest_forest(far: np.ndarray) -> list[tuple[int, int]]:
@@ -96,32 +111,26 @@ def nearest_forest(far: np.ndarray) -> list[tuple[int, int]]:
 
 
 def cells_of(distinct: DataFrame) -> DataFrame:
-    """(cell, blocks, rep, ...): rows of ``distinct`` (a, b, rep) in every table where another row meets them."""
-    masks = covering_masks(3, BITS)
-    low = (1 << BITS) - 1
-    cells = []
-    for part in range(PARTS):
-        bits = F.shiftrightunsigned(F.col("ab"[part // 2]), BITS * (part % 2)).bitwiseAND(F.lit(low))
-        cells += [F.lit((part * len(masks) + k) << BITS).bitwiseOR(bits.bitwiseAND(F.lit(m & low))) for k, m in enumerate(masks)]
-    rows = distinct.select("a", "b", "rep", F.explode(F.array(*cells)).alias("cell"))
+    """(cell, m, rep, n, bits): rows of ``distinct`` in every table where others meet them, ``m`` in all."""
+    rows = distinct.select("rep", F.explode("cells").alias("cell"))
     # written, so that both sides of the join are dealt anew and adaptive execution can split a hot bucket
-    shared = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "cells")
-    return rows.join(shared, "cell")
+    shared = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "cells")
+    return rows.join(shared, "cell").join(distinct.select("rep", "n", "bits"), "rep")
 
 
-def proposed(cells: DataFrame, named: DataFrame | None = None, block: int = 1024) -> DataFrame:
+def proposed(cells: DataFrame, threshold: float, named: DataFrame | None = None, block: int = 1024) -> DataFrame:
     """(u, v): pairs of rows that share a cell, by bucket and block.
 
     Without ``named`` the ties of a forest; with it (node, component) all pairs of different
     components, so that the two rounds leave no pair untested that could still connect anything.
     """
     tying = named is None
-    placed = cells.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = cells.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     if tying:
         placed = placed.withColumn("c", F.col("rep"))
     else:
         placed = placed.join(named.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    blocks = placed.groupBy("cell", "blocks", "block").agg(F.collect_list(F.struct("a", "b", "rep", "c")).alias("some"))  # about ``block`` rows at most
+    blocks = placed.groupBy("cell", "blocks", "block").agg(F.collect_list(F.struct("n", "bits", "rep", "c")).alias("some"))  # about ``block`` rows at most
     one = blocks.filter("blocks > 1").select("cell", F.col("block").alias("i"), F.col("some").alias("x"))
     two = blocks.filter("blocks > 1").select("cell", F.col("block").alias("j"), F.col("some").alias("y"))
     pairs = blocks.filter("blocks = 1").select("some").union(one.join(two, "cell").filter("i < j").select(F.concat("x", "y").alias("some")))
@@ -130,11 +139,12 @@ def proposed(cells: DataFrame, named: DataFrame | None = None, block: int = 1024
         for batch in batches:
             lists = batch.column(0)
             ends = lists.offsets.to_pylist()
-            a, b, ids, own = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            n, ids, own = (lists.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3))
+            bits = np.frombuffer(b"".join(lists.values.field(1).to_pylist()), np.uint64).reshape(-1, BITS // 64)
             for s, e in zip(ends, ends[1:]):
                 if not tying and (own[s:e] == own[s]).all():
                     continue
-                far = distances(a[s:e], b[s:e])
+                far = distances(n[s:e], bits[s:e], threshold)
                 if tying:
                     at = np.array(nearest_forest(far), np.int64).reshape(-1, 2).T
                 else:
@@ -150,14 +160,14 @@ def links(docs: DataFrame, *, key: str = "uid", width: int = 5, threshold: float
     Texts with equal sets are linked to the one with the smallest key, and only that one is
     compared further.
     """
-    named = materialize(sketches(docs, key, width), "word-sketches")
-    distinct = materialize(named.groupBy("a", "b", "s").agg(F.min(key).alias("rep")), "word-sketches")
-    same = named.join(distinct, ["a", "b", "s"]).filter(F.col(key) != F.col("rep")).select(F.col(key).alias("u"), F.col("rep").alias("v"))
+    named = materialize(sketches(docs, key, width), "shingle-sketches")
+    distinct = materialize(named.groupBy("n", "s", "bits").agg(F.min(key).alias("rep"), F.any_value("cells").alias("cells")), "shingle-sketches")
+    same = named.join(distinct.drop("cells"), ["n", "s", "bits"]).filter(F.col(key) != F.col("rep")).select(F.col(key).alias("u"), F.col("rep").alias("v"))
     cells = materialize(cells_of(distinct), "cells")
-    first = materialize(proposed(cells, block=block), "ties")
+    first = materialize(proposed(cells, threshold, block=block), "ties")
     near = materialize(verified(docs, first, key, width, threshold), "near")
     # what the forest's ties left apart is tested pair by pair
-    rest = proposed(cells, components(near), block).join(first, ["u", "v"], "left_anti")
+    rest = proposed(cells, threshold, components(near), block).join(first, ["u", "v"], "left_anti")
     return near.union(verified(docs, materialize(rest, "ties"), key, width, threshold)).union(same)
 
 

@@ -261,3 +261,25 @@ def test_similar_texts_tests_what_a_failed_tie_leaves(spark):
     assert true == {frozenset((k, 100 + k)) for k in range(8)}
     df = spark.createDataFrame(rows, "uid long, text string")
     assert {frozenset((r.u, r.v)) for r in similar_texts.links(df).collect()} == true
+
+
+@pytest.mark.parametrize("kind", ["appended", "truncated", "scattered"])
+def test_similar_texts_recall_at_the_threshold(spark, kind):
+    """Pairs of distinct words with a similarity just over 0.8: nearly all are linked, whichever way they differ."""
+    rng, rows, pairs = np.random.default_rng(7), [], 300
+    for k in range(pairs):
+        n = int(rng.integers(60, 600))
+        words = [f"v{k}x{j}" for j in range(n)]
+        if kind == "scattered":
+            other = list(words)
+            for j in range(max(1, int(0.2 / 1.8 * (n - 4) / 5))):
+                other[3 + j * (n // max(1, int(0.2 / 1.8 * (n - 4) / 5)))] = f"e{k}x{j}"
+        else:
+            other = words + [f"t{k}x{j}" for j in range((n - 4) // 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if kind == "truncated":
+            rows[-2:] = [(2 * k, rows[-1][1]), (2 * k + 1, rows[-2][1])]
+    sets = {k: set(similar_texts.shingle_set(t, 5).tolist()) for k, t in rows}
+    assert all(len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1]) for k in range(pairs))
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in similar_texts.links(spark.createDataFrame(rows, "uid long, text string")).collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(pairs)} and len(got) >= 0.99 * pairs
