@@ -38,9 +38,9 @@ def row_errors(df: DataFrame, mandatory: list[str], seq: str, most: int = 10) ->
     return df.withColumn("fields", bad).filter(F.size("fields") > 0).orderBy(seq).limit(most).select((F.col(seq) + 2).alias("row_index"), "fields")
 
 
-def bad_urls(df: DataFrame, url: str) -> DataFrame:
-    """Rows whose URL does not start with http:// or https:// (a warning)."""
-    return df.filter(~F.coalesce(F.col(url).rlike("^https?://"), F.lit(False)))
+def bad_urls(df: DataFrame, url: str, pattern: str = "^https?://") -> DataFrame:
+    """Rows whose URL does not match ``pattern``: start with http:// or https:// (a warning)."""
+    return df.filter(~F.coalesce(F.col(url).rlike(pattern), F.lit(False)))
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

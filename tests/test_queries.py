@@ -43,3 +43,8 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_url_sanity_returns_the_operators_rows(spark, monkeypatch):
+    monkeypatch.setattr(queries.ingest, "bad_urls", lambda df, *_: df.limit(3))
+    assert queries.QUERIES["url_sanity"](spark, SMALL).count() == 3
