@@ -4,7 +4,9 @@ Encoding a text as one string costs the library about a microsecond a byte, most
 offsets that nobody reads. Pre-tokenization makes every piece independent of the others,
 so here a text is cut at white space, pieces seen before come from a bounded memo, and only
 new ones go through the tokenizer's own model. What holds characters for which the cut might
-differ from the library's own (combining marks, unusual white space, ...) is encoded whole.
+differ from the library's own (combining marks, unusual white space, ...) is encoded whole,
+as is every text that holds one of the vocabulary's added tokens, and everything if the
+vocabulary's set-up is not exactly one of the two known here.
 """
 
 from __future__ import annotations
@@ -24,9 +26,18 @@ ODD = re.compile(f"[^{PLAIN}]")
 MEMO = 900_000
 #: Signs that are a piece of their own behind letters.
 SIGNS = frozenset(".,;:!?")
-#: The pre-tokenization patterns of the two public vocabularies.
+#: The set-ups of the two public vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+BYTE_SETUP = {"normalizer": None, "pre_tokenizer": BYTE_LEVEL | {"use_regex": True}}
+WORD_SETUP = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}, BYTE_LEVEL | {"use_regex": False}],
+    },
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,14 +74,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.letters = _byte_letters()
         setup = json.loads(self.tokenizer.to_str())
-        pre, normalizer = setup.get("pre_tokenizer") or {}, setup.get("normalizer")
-        self.kind, self.space = "whole", ""
-        if normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+        known = {k: setup.get(k) for k in ("normalizer", "pre_tokenizer")}
+        plain = setup["model"].get("type") == "BPE" and not any(setup.get(k) for k in ("truncation", "padding")) and not setup["model"].get("dropout")
+        #: Added tokens are found in the text itself, before it is cut.
+        self.added = [t["content"] for t in setup["added_tokens"]]
+        plain = plain and not any(t["normalized"] for t in setup["added_tokens"])
+        self.kind, self.space, pattern = "whole", "", ""
+        if plain and known == BYTE_SETUP:
             self.kind, self.space, pattern = "byte", " ", BYTE_PATTERN
-        elif normalizer and [x.get("type") for x in normalizer.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and WORD_PATTERN in json.dumps(pre).replace("\\\\", "\\"):
+        elif plain and known == WORD_SETUP:
             self.kind, pattern = "word", WORD_PATTERN
         if self.kind != "whole":
             self.pieces = regex.compile(pattern).findall
@@ -95,6 +109,8 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text as bytes."""
+        if any(t in text for t in self.added):
+            return self._whole(text)
         if self.kind == "byte" and "  " not in text:  # a run of spaces is a piece of its own
             first, *rest = text.split(" ")
             return (self._whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
