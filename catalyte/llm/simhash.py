@@ -22,13 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, table, text_or_empty
+from ._shared import Scratch, table, text_or_empty
 from .components import components
 from .tokens import pieces_of
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPLIT = re.compile(rb"[\x20\x09-\x0d]+")
-NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
@@ -82,12 +81,12 @@ def forest(fps: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int, int
     return out
 
 
-def near_links(distinct: DataFrame, radius: int, block: int = 1024) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int, tables: Scratch, block: int = 1024) -> DataFrame:
     """Links (u, v) that connect exactly what pairs within ``radius`` connect; ``distinct``: fp, rep."""
     masks = covering_masks(radius)
     rows = distinct.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("x")).select("x.t", "x.key", "fp", "rep")
     # written, so that both sides of the join are dealt anew and adaptive execution can split a hot bucket
-    shared = materialize(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    shared = tables.write(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     placed = rows.join(shared, ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     blocks = placed.groupBy("t", "key", "blocks", "block").agg(F.collect_list(F.struct("fp", "rep")).alias("some"))  # about ``block`` rows at most
@@ -109,16 +108,22 @@ def near_links(distinct: DataFrame, radius: int, block: int = 1024) -> DataFrame
 def near_classes(docs: DataFrame, *, key: str = "doc_id", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """(key, fp, component_id) of every document: what is reachable over links, named by its smallest key.
 
-    Rows with equal keys are documents of their own; a null key names no component unless
-    nothing else is in it (then its component is null). No rows give no rows.
+    Null texts are empty and like all texts without words link with each other; texts of any
+    length are read whole. Rows with equal keys are documents of their own; a null key names
+    no component unless nothing else is in it (then its component is null). Other columns are
+    ignored, whatever their names. No rows give no rows.
     """
-    slim = materialize(fingerprints(docs, key=key, width=width, seed=seed), "fingerprints")
-    distinct = materialize(slim.groupBy("fp").agg(F.coalesce(F.min(F.col(key).cast("long")), F.lit(NO_ID)).alias("rep")), "fingerprints")
-    linked = components(near_links(distinct, radius))
-    named = distinct.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id"))
+    tables = Scratch(docs.sparkSession, "simhash")
+    slim = tables.write(fingerprints(docs.select(F.col(key).alias("__key"), "text"), key="__key", width=width, seed=seed), "fingerprints")
+    distinct = tables.write(slim.groupBy("fp").agg(F.min(F.col("__key").cast("long")).alias("rep")), "distinct")
+    # of what no key names there are at most one row a fingerprint; it stands for itself by its fingerprint
+    linked = components(near_links(distinct.select("fp", F.col("fp").alias("rep")), radius, tables))
+    tables.drop("buckets")
+    group = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    names = group.groupBy("group").agg(F.min("rep").alias("component_id"))
+    named = tables.write(group.join(names, "group").select(F.col("fp").alias("__fp"), "component_id"), "named")
     # a fingerprint that very many documents share is a hot key of this join only; adaptive execution splits it
-    out = slim.join(named, F.col("fp") == F.col("__fp"), "left")
-    return out.select(key, "fp", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+    return slim.join(named, F.col("fp") == F.col("__fp"), "left").select(F.col("__key").alias(key), "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import free, materialize, text_or_empty
+from ._shared import Scratch, text_or_empty
 from .components import components
 from .decontaminate import shingle_hashes
 from .simhash import LOWER
@@ -110,11 +110,11 @@ def nearest_forest(far: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def cells_of(distinct: DataFrame) -> DataFrame:
+def cells_of(distinct: DataFrame, tables: Scratch) -> DataFrame:
     """(cell, m, rep, n, bits): rows of ``distinct`` in every table where others meet them, ``m`` in all."""
     rows = distinct.select("rep", F.explode("cells").alias("cell"))
     # written, so that both sides of the join are dealt anew and adaptive execution can split a hot bucket
-    shared = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "cells")
+    shared = tables.write(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared")
     return rows.join(shared, "cell").join(distinct.select("rep", "n", "bits"), "rep")
 
 
@@ -155,25 +155,35 @@ def proposed(cells: DataFrame, threshold: float, named: DataFrame | None = None,
 
 
 def links(docs: DataFrame, *, key: str = "uid", width: int = 5, threshold: float = 0.8, block: int = 1024) -> DataFrame:
-    """(u, v): links of documents (key: a unique long) whose shingle sets are equal or at least ``threshold`` similar.
+    """(u, v): links of documents (key: a unique long, never null) whose shingle sets are equal or at least ``threshold`` similar.
 
     Texts with equal sets are linked to the one with the smallest key, and only that one is
-    compared further.
+    compared further. Null texts are empty, and empty texts equal each other; a text shorter
+    than ``width`` words is one shingle; texts of any length are read whole; other columns are
+    ignored, whatever their names; no rows give no rows.
     """
-    named = materialize(sketches(docs, key, width), "shingle-sketches")
-    distinct = materialize(named.groupBy("n", "s", "bits").agg(F.min(key).alias("rep"), F.any_value("cells").alias("cells")), "shingle-sketches")
+    tables = Scratch(docs.sparkSession, "similar")
+    named = tables.write(sketches(docs, key, width), "sketches")
+    distinct = tables.write(named.groupBy("n", "s", "bits").agg(F.min(key).alias("rep"), F.any_value("cells").alias("cells")), "distinct")
     same = named.join(distinct.drop("cells"), ["n", "s", "bits"]).filter(F.col(key) != F.col("rep")).select(F.col(key).alias("u"), F.col("rep").alias("v"))
-    cells = materialize(cells_of(distinct), "cells")
-    first = materialize(proposed(cells, threshold, block=block), "ties")
-    near = materialize(verified(docs, first, key, width, threshold), "near")
+    same = tables.write(same, "same")
+    tables.drop("sketches")
+    cells = tables.write(cells_of(distinct, tables), "cells")
+    tables.drop("shared", "distinct")
+    first = tables.write(proposed(cells, threshold, block=block), "first")
+    near = verified(docs, first, key, width, threshold, tables, "near")
     # what the forest's ties left apart is tested pair by pair
-    rest = proposed(cells, threshold, components(near), block).join(first, ["u", "v"], "left_anti")
-    return near.union(verified(docs, materialize(rest, "ties"), key, width, threshold)).union(same)
+    rest = tables.write(proposed(cells, threshold, components(near), block).join(first, ["u", "v"], "left_anti"), "rest")
+    tables.drop("cells", "first")
+    more = verified(docs, rest, key, width, threshold, tables, "more")
+    tables.drop("rest")
+    out = tables.write(near.union(more).union(same), "links")
+    tables.drop("near", "more", "same")
+    return out
 
 
-def verified(docs: DataFrame, ties: DataFrame, key: str, width: int, threshold: float) -> DataFrame:
+def verified(docs: DataFrame, ties: DataFrame, key: str, width: int, threshold: float, tables: Scratch, name: str) -> DataFrame:
     """The ``ties`` (u, v) whose exact shingle sets are at least ``threshold`` similar."""
-    free(docs.sparkSession)
 
     def sets(batches):
         for batch in pieces_of(batches):
@@ -181,8 +191,7 @@ def verified(docs: DataFrame, ties: DataFrame, key: str, width: int, threshold:
 
     nodes = ties.select(F.col("u").alias("node")).union(ties.select("v")).distinct()
     held = docs.select(F.col(key).alias("node"), text_or_empty().alias("text")).join(nodes, "node", "left_semi").mapInArrow(sets, "node long, shingles binary")
-    held = materialize(held, "shingle-sets")
-    free(docs.sparkSession)
+    held = tables.write(held, f"{name}-sets")
 
     def alike(batches):
         for batch in pieces_of(batches):
@@ -194,4 +203,6 @@ def verified(docs: DataFrame, ties: DataFrame, key: str, width: int, threshold:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     sized = ties.join(held.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(held.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    return sized.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long")
+    out = tables.write(sized.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"), name)
+    tables.drop(f"{name}-sets")
+    return out

@@ -4,23 +4,24 @@
    ``span`` bytes. What a window selects depends on its bytes only, so two equal windows hold
    equal anchors at the same place, and every window holds one. Only anchors that occur twice
    can be in a repeat.
-2. Such an anchor's context is all that a window around it can reach. Equal contexts are one
-   row, with the places where they occur; contexts are dealt by their anchor.
-3. In a task, the contexts of many anchors make one text of fixed-width symbols: the right
+2. Such an anchor's context is all that a window around it can reach. Contexts are counted
+   by content before they are dealt anywhere: a passage in a third of all texts is one row.
+3. An anchor with one context is decided by its count. The others are dealt by anchor, and
+   in a task the contexts of many anchors make one text of fixed-width symbols: the right
    sides, and the left sides read backwards. A suffix array of each (linear grouping by
    Lyndon prefixes) puts sides with long common beginnings next to each other. A window
    that starts ``a`` bytes left of the anchor is a repeat if another context agrees with it
    on ``a`` bytes to the left and ``span - a`` to the right, which the order and the common
    prefix lengths of neighbours tell exactly.
-4. The spans found are joined to the texts and cut out.
+4. What is found for a context is joined to the places where it occurs (see ``_crowded_pieces``
+   for anchors with very many contexts), and the spans are joined to the texts and cut out.
 
-No text or group is gathered on the driver. An anchor with very many different contexts is
-taken apart by window instead (see ``_by_window``), an exact way that any number of tasks share.
+No text or group is gathered on the driver; the rows of a task are distinct contexts, not
+occurrences.
 """
 
 from __future__ import annotations
 
-import gc
 from itertools import pairwise
 
 import numpy as np
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import discard, materialize, scratch, table, text_or_empty, written
+from ._shared import Scratch, table, text_or_empty
+from .tokens import pieces_of
 
 ANCHOR = 100
 SYMBOL = 25
@@ -219,7 +221,7 @@ def anchors(text: bytes, span: int = 200) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(span: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces_of(batches):
             keys, at, h = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 places, hashes = anchors(text.encode(), span)
@@ -234,20 +236,21 @@ def _anchor_rows(span: int):
 
 # --- contexts --------------------------------------------------------------------------
 
-CONTEXTS = "h long, left int, context binary, times long, found array<long>"
+#: ``cid``: 128-bit hash of the context and the anchor's place in it; ``g``: what deals contexts to tasks, the anchor's hash.
+CONTEXTS = pa.schema([("cid", pa.binary()), ("g", pa.int64()), ("left", pa.int32()), ("context", pa.binary()), ("times", pa.int64()), ("found", pa.list_(pa.int64()))])
+CONTEXTS_SQL = "cid binary, g long, left int, context binary, times long, found array<long>"
 
 
 def _context_rows(span: int):
-    """Contexts of the anchors at the given places; equal ones in a batch become one row."""
+    """Contexts of the anchors at the given places; equal ones of a task's batch are one row with all their (uid, place)."""
 
     def run(batches):
         def flush(some: dict):
-            cols = list(zip(*((h, k, c, len(found) // 2, found) for (c, k), (h, found) in some.items())))
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["h", "left", "context", "times", "found"])
+            cols = zip(*((xxhash.xxh3_128_digest(c, k), g, k, c, len(found) // 2, found) for (c, k), (g, found) in some.items()))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, CONTEXTS)], schema=CONTEXTS)
 
         some: dict = {}
-        for batch in batches:
+        for batch in pieces_of(batches):
             for uid, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 for p in places:
@@ -255,8 +258,8 @@ def _context_rows(span: int):
                     key = raw[start : p + span], p - start
                     row = some.get(key)
                     if row is None:
-                        h = xxhash.xxh64_intdigest(raw[p : p + ANCHOR])
-                        row = some[key] = h - (1 << 64) if h >> 63 else h, []
+                        g = xxhash.xxh64_intdigest(raw[p : p + ANCHOR])
+                        row = some[key] = g - (1 << 64) if g >> 63 else g, []
                     row[1].extend((uid, p))
                 if len(some) >= 40_000:
                     yield flush(some)
@@ -267,47 +270,20 @@ def _context_rows(span: int):
     return run
 
 
-def _spans_of(rows: list[tuple], span: int, out: list) -> None:
-    """Add [uid, start, end) of the repeats among complete groups of (h, left, context, times, found)."""
-    merged: dict = {}
-    for h, left, context, times, found in rows:
-        row = merged.get((context, left))
-        if row is None:
-            merged[context, left] = [h, times, [found]]
-        else:
-            row[1] += times
-            row[2].append(found)
-    kinds: dict[int, int] = {}
-    for h, _, _ in merged.values():
-        kinds[h] = kinds.get(h, 0) + 1
-    alone = [(k, v) for k, v in merged.items() if kinds[v[0]] == 1]
-    mixed = [(k, v) for k, v in merged.items() if kinds[v[0]] > 1]
-    for (context, left), (_, times, found) in alone:  # an anchor with one context has nothing to sort
-        if times > 1 and len(context) >= span:
-            out += [(found, left, span - (len(context) - left))]
-    if mixed:
-        most, fewest = repeats([k for k, _ in mixed], np.array([v[1] for _, v in mixed]), span)
-        out += [(v[2], int(a), int(b)) for (_, v), a, b in zip(mixed, most, fewest) if a >= 0]
-
-
-def _span_rows(span: int, chunk: int = 24_000):
+def _verdict_rows(span: int, chunk: int = 24_000):
+    """(cid, most, fewest) of the contexts that hold repeats, from complete groups ``g`` of distinct contexts."""
+
     def run(batches):
         def emit(rows):
-            out: list = []
-            _spans_of(rows, span, out)
-            uid, start, end = [], [], []
-            for lists, most, fewest in out:
-                flat = np.concatenate([np.asarray(x, np.int64) for x in lists])
-                uid.append(flat[::2])
-                start.append(flat[1::2] - most)
-                end.append(flat[1::2] - max(fewest, 0) + span)
-            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (uid, start, end)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["uid", "start", "end"])
+            cid, _, left, context, times = zip(*rows)
+            most, fewest = repeats(list(zip(context, left)), np.array(times), span)
+            hit = np.flatnonzero(most >= 0)
+            return pa.RecordBatch.from_arrays([pa.array([cid[k] for k in hit], pa.binary()), pa.array(most[hit], pa.int32()), pa.array(fewest[hit], pa.int32())], names=["cid", "most", "fewest"])
 
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(rows) >= chunk and row[0] != rows[-1][0]:
+                if len(rows) >= chunk and row[1] != rows[-1][1]:
                     yield emit(rows)
                     rows = []
                 rows.append(row)
@@ -317,27 +293,29 @@ def _span_rows(span: int, chunk: int = 24_000):
     return run
 
 
-def _by_window(contexts: DataFrame, span: int) -> DataFrame:
-    """(uid, start, end) for anchors with too many contexts for one task: every window of a context
-    is a row, counted by its content. Equal windows meet after partial aggregation."""
+def _crowded_pieces(contexts: DataFrame, span: int, parts: int) -> DataFrame:
+    """(cid, piece, g, left, context, times) for anchors with very many contexts.
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for left, context, times, found in zip(*(batch.column(c).to_pylist() for c in ("left", "context", "times", "found"))):
-                for a in range(max(0, span - (len(context) - left)), left + 1):
-                    digest = xxhash.xxh128_digest(context[left - a : left - a + span])
-                    rows.append((digest, times, a, found))
-            cols = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["w", "times", "a", "found"])
-
-    windows = contexts.mapInArrow(run, "w binary, times long, a int, found array<long>")
-    # with ``a``, or a window that holds two anchors would count itself twice
-    twice = materialize(windows.groupBy("w", "a").agg(F.sum("times").alias("n")).filter("n > 1").select("w", "a"), "suffix-windows")
-    hits = windows.join(twice, ["w", "a"])
-    pairs = F.transform(F.sequence(F.lit(0), F.size("found") - 1, F.lit(2)), lambda k: F.struct(F.get("found", k.cast("int")).alias("uid"), (F.get("found", (k + 1).cast("int")) - F.col("a")).alias("start")))
-    return hits.select(F.explode(pairs).alias("x")).select("x.uid", "x.start", (F.col("x.start") + span).alias("end"))
+    The possible window starts are cut into ``parts`` ranges. All windows of a range share the
+    bytes next to the anchor, so contexts that have a window in common agree on those and are
+    dealt by them; and they need no more of a context than the range can reach, so that most
+    are equal then. ``piece`` is a 128-bit hash of what is left.
+    """
+    wide = -(-(span - ANCHOR + 1) // parts)
+    right = F.length("context") - F.col("left")
+    ranges = F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(min(lo + wide - 1, span - ANCHOR)).alias("hi")) for lo in range(0, span - ANCHOR + 1, wide)))
+    cut = contexts.withColumn("r", F.explode(ranges)).filter((F.greatest(F.col("r.lo"), F.lit(span) - right) <= F.least(F.col("r.hi"), F.col("left"))))
+    keep = F.least(F.col("left"), F.col("r.hi"))
+    piece = F.substring("context", F.col("left") - keep + 1, keep + F.least(right, F.lit(span) - F.col("r.lo")))
+    shared = F.substring("context", F.col("left") - F.col("r.lo") + 1, F.col("r.lo") + span - F.col("r.hi"))
+    return cut.select(
+        "cid",
+        F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), "r.lo", keep, piece)), 16, "0") for seed in "ab"))).alias("piece"),
+        F.xxhash64("r.lo", shared).alias("g"),
+        keep.alias("left"),
+        piece.alias("context"),
+        "times",
+    )
 
 
 # --- the operator ----------------------------------------------------------------------
@@ -354,34 +332,43 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def repeated_spans(docs: DataFrame, *, span: int = 200, hot: int = 200_000) -> DataFrame:
+def _verdicts(contexts: DataFrame, tables: Scratch, span: int, crowd: int, parts: int) -> DataFrame:
+    """(cid, most, fewest) of the contexts that hold repeats: windows start ``fewest`` to ``most`` bytes left of the anchor."""
+    distinct = tables.write(contexts.groupBy("cid", "g", "left", "context").agg(F.sum("times").alias("times")), "distinct")
+    kinds = tables.write(distinct.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+    # written, so that both sides of the join are dealt anew and adaptive execution can split a crowded anchor
+    several = distinct.join(kinds.filter("kinds > 1"), "g")
+    right = F.length("context") - F.col("left")
+    alone = distinct.join(kinds.filter("kinds = 1"), "g").filter((F.col("times") > 1) & (F.length("context") >= span))
+    found = alone.select("cid", F.col("left").alias("most"), F.greatest(F.lit(0), F.lit(span) - right).alias("fewest"))
+    sort, schema = _verdict_rows(span), "cid binary, most int, fewest int"
+    calm = several.filter(F.col("kinds") <= crowd).select("cid", "g", "left", "context", "times")
+    found = found.union(calm.repartition("g").sortWithinPartitions("g").mapInArrow(sort, schema))
+    if kinds.filter(F.col("kinds") > crowd).limit(1).count():
+        pieces = tables.write(_crowded_pieces(several.filter(F.col("kinds") > crowd), span, parts), "pieces")
+        merged = pieces.groupBy("piece", "g", "left", "context").agg(F.sum("times").alias("times")).withColumnRenamed("piece", "cid")
+        verdicts = merged.repartition("g").sortWithinPartitions("g").mapInArrow(sort, schema)
+        whole = pieces.select("cid", "piece").join(verdicts.withColumnRenamed("cid", "piece"), "piece")
+        found = found.union(whole.groupBy("cid").agg(F.max("most").alias("most"), F.min("fewest").alias("fewest")))
+    return tables.write(found, "verdicts")
+
+
+def repeated_spans(docs: DataFrame, tables: Scratch, *, span: int = 200, crowd: int = 2000, parts: int = 10) -> DataFrame:
     """(uid, spans): where the rows of ``docs`` (uid, text) have bytes in repeated strings of ``span`` bytes."""
-    spark = docs.sparkSession
-    paths = [scratch(spark, f"suffix-{k}") for k in range(5)]
     long_enough = docs.filter(F.octet_length("text") >= span)
-    found = written(long_enough.mapInArrow(_anchor_rows(span), "uid long, at long, h long"), paths[0])
+    found = tables.write(long_enough.mapInArrow(_anchor_rows(span), "uid long, at long, h long"), "anchors")
     # written, so that both sides of the join are dealt anew and adaptive execution can split a hot anchor
-    twice = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), paths[4])
-    places = written(found.join(twice, "h").groupBy("uid").agg(F.collect_set("at").alias("places")), paths[1])
-    discard(spark, paths[0])
-    discard(spark, paths[4])
-    _free(spark)
-    contexts = written(long_enough.join(places, "uid").select("uid", "text", "places").mapInArrow(_context_rows(span), CONTEXTS), paths[2])
-    discard(spark, paths[1])
-    _free(spark)
-    crowded = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h")
-    crowded = written(crowded, paths[3])
-    some = crowded.count() > 0
-    calm = contexts.join(crowded, "h", "left_anti") if some else contexts
-    spans = calm.repartition("h").sortWithinPartitions("h").mapInArrow(_span_rows(span), "uid long, start long, end long")
-    if some:
-        spans = spans.union(_by_window(contexts.join(crowded, "h", "left_semi"), span))
+    twice = tables.write(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
+    places = tables.write(found.join(twice, "h").groupBy("uid").agg(F.collect_set("at").alias("places")), "places")
+    tables.drop("anchors", "twice")
+    contexts = tables.write(long_enough.join(places, "uid").select("uid", "text", "places").mapInArrow(_context_rows(span), CONTEXTS_SQL), "contexts")
+    tables.drop("places")
+    verdicts = _verdicts(contexts.drop("found"), tables, span, crowd, parts)
+    tables.drop(*(name for name in list(tables.paths) if name not in ("contexts", "verdicts")))
+    hits = contexts.select("cid", "found").join(verdicts, "cid")
+    each = F.transform(F.sequence(F.lit(0), F.size("found") - 1, F.lit(2)), lambda k: F.struct(F.get("found", k).alias("uid"), F.get("found", k + 1).alias("p")))
+    placed = hits.select(F.explode(each).alias("x"), "most", "fewest")
+    spans = placed.select("x.uid", (F.col("x.p") - F.col("most")).alias("start"), (F.col("x.p") - F.col("fewest") + span).alias("end"))
     return spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -396,21 +383,27 @@ def has_clash(docs: DataFrame, key: str) -> bool:
     return found.limit(1).count() > 0
 
 
-def cut_repeats(docs: DataFrame, *, key: str = "doc_id", span: int = 200, hot: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, key: str = "doc_id", span: int = 200, crowd: int = 2000, parts: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, *carry, kept, kept_text, n_bytes, n_spans): every text without its repeated bytes.
 
     ``kept`` is binary; ``kept_text`` is the same without the halves of characters at cuts.
     All copies of a repeated string go, the first included. Null texts are empty; texts shorter
-    than ``span`` stay as they are; equal rows are repeats of each other.
+    than ``span`` stay as they are; equal rows are repeats of each other; no rows give no rows.
+    A text is one row and so are its spans, about as many as its bytes if it repeats itself at
+    every byte. ``carry``: columns of ``docs`` to keep, whatever their names, but for those of
+    the result. Anchors with more than ``crowd`` contexts are decided in ``parts`` ranges.
     """
-    slim = with_uid(docs.select(key, *carry, text_or_empty().alias("text")), key)
-    path = scratch(docs.sparkSession, "suffix-spans")
-    spans = written(repeated_spans(slim.select("uid", "text"), span=span, hot=hot), path)
-    _free(docs.sparkSession)
-    names = [key, *carry]
+    if clash := {"kept", "kept_text", "n_bytes", "n_spans", key} & set(carry):
+        raise ValueError(f"columns of the result cannot be carried: {sorted(clash)}")
+    tables = Scratch(docs.sparkSession, "suffix")
+    kept = {name: f"__carried_{k}" for k, name in enumerate(carry)}
+    slim = with_uid(docs.select(F.col(key).alias("__key"), *(F.col(n).alias(c) for n, c in kept.items()), text_or_empty().alias("text")), "__key")
+    spans = tables.write(repeated_spans(slim.select("uid", "text"), tables, span=span, crowd=crowd, parts=parts), "spans")
+    tables.drop("contexts", "verdicts")
+    names, held = [key, *carry], ["__key", *kept.values()]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces_of(batches):
             rows = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 raw = text.encode()
@@ -420,10 +413,10 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", span: int = 200, hot: i
                 rows.append((b"".join(parts), "".join(p.decode("utf-8", "ignore") for p in parts), len(raw), len(gaps)))
             cols = list(zip(*rows)) or [[]] * 4
             made = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=[*names, "kept", "kept_text", "n_bytes", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in held), *made], names=[*names, "kept", "kept_text", "n_bytes", "n_spans"])
 
     schema = T.StructType([*(docs.schema[n] for n in names), *(T.StructField(n, t) for n, t in (("kept", T.BinaryType()), ("kept_text", T.StringType()), ("n_bytes", T.LongType()), ("n_spans", T.LongType())))])
-    return slim.join(spans, "uid", "left").select(*names, "text", "spans").mapInArrow(run, schema)
+    return slim.join(spans, "uid", "left").select(*held, "text", "spans").mapInArrow(run, schema)
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,6 @@ def test_against_sql(spark, name):
 
 def encoded(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return {k: np.array([*t.encode(x, add_special_tokens=False).ids, end], "<u4") for k, x in texts.items()}
 
 

@@ -1,15 +1,17 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from catalyte.llm import chat, decontaminate, packing, quality, sharding, similar_texts, simhash, suffix, token_orc, topk, warc
-from catalyte.llm._shared import scratch
+from catalyte.llm._shared import Scratch, scratch
 from catalyte.llm.tokens import Encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -51,11 +53,30 @@ def test_sharding_hot_key_and_movement(spark):
 
 def test_tokens_equal_the_library(docs):
     texts = [r.text or "" for r in docs.collect() if len(r.text or "") < 1000]
-    texts += ["a  b", " lead", "trail ", "x\n y", "don't I'LL 12345 3.5€", "tab\t\n\n  end \n", "ﬁ é É", "<|endoftext|>"]
+    texts += ["a  b", " lead", "trail ", "x\n y", "don't I'LL 12345 3.5€", "tab\t\n\n  end \n", "ﬁ é É", "<|endoftext|>", "hi <|endoftext|> there", "a<|startoftext|>b", "<|ENDOFTEXT|>"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        encode = Encoder(public_tokenizers.path(name), memo=3)
+        encode, library = Encoder(public_tokenizers.path(name), memo=3), Tokenizer.from_file(public_tokenizers.path(name))
         for text in texts:
-            assert list(np.frombuffer(encode(text), "<u4")) == encode.tokenizer.encode(text, add_special_tokens=False).ids
+            assert list(np.frombuffer(encode(text), "<u4")) == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_equal_the_library_on_made_up_texts(name):
+    encode, library = Encoder(public_tokenizers.path(name), memo=50), Tokenizer.from_file(public_tokenizers.path(name))
+    assert encode.kind != "whole"
+    parts = ["the", "Don't", "it's", " ", "  ", "\n", "\t", "12", "3.5", "é", "É", "e\u0301", "\u00a0", "\u2028", "漢字", "😀", "ß", "İ", "ǆ", "'", "LL", "...", "€", "<|", "endoftext", "|>", "<|endoftext|>", "a" * 40]
+    rng = np.random.default_rng(9)
+    for _ in range(3000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12)))
+        assert list(np.frombuffer(encode(text), "<u4")) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_tokens_fall_back_to_the_library(tmp_path):
+    setup = json.loads(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).to_str())
+    setup["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(setup))
+    encode = Encoder(str(tmp_path / "other.json"))
+    assert encode.kind == "whole" and list(np.frombuffer(encode("a b"), "<u4")) == Tokenizer.from_file(str(tmp_path / "other.json")).encode("a b", add_special_tokens=False).ids
 
 
 def test_token_files(spark, docs, none):
@@ -123,7 +144,7 @@ def test_simhash_blocks_find_what_one_block_finds(spark):
     df = spark.createDataFrame([(f, k) for k, f in enumerate(sorted(fps))], "fp long, rep long")
 
     def classes(block):
-        links = simhash.near_links(df, 3, block=block)
+        links = simhash.near_links(df, 3, Scratch(spark, "test"), block=block)
         from catalyte.llm.components import components
 
         return {(r.node, r.component) for r in components(links).collect()}
@@ -138,11 +159,42 @@ def test_suffix(spark, docs, none):
     got = {r.doc_id: r for r in suffix.cut_repeats(extra).collect()}
     assert bytes(got[10].kept) == passage[230:].encode() and bytes(got[11].kept) == ("x" * 50 + "é" * 40).encode()
     assert (got[12].n_spans, got[13].n_bytes, len(got[14].kept), got[14].n_spans) == (0, 0, 0, 1)
-    again = suffix.cut_repeats(extra, hot=0).collect()
-    assert {r.doc_id: bytes(r.kept) for r in again} == {k: bytes(r.kept) for k, r in got.items()}
+    again = suffix.cut_repeats(extra, crowd=0, carry=("uid",)).collect()
+    assert {r.doc_id: bytes(r.kept) for r in again} == {k: bytes(r.kept) for k, r in got.items()} and {r.uid for r in again} == {1}
+    with pytest.raises(ValueError):
+        suffix.cut_repeats(extra, carry=("kept",))
     assert len(suffix.cut_repeats(docs).collect()) == 8 and suffix.cut_repeats(none).count() == 0
 
 
+def brute_cut(texts, span):
+    seen, out = {}, {}
+    for t in texts.values():
+        for i in range(len(t) - span + 1):
+            seen[t[i : i + span]] = seen.get(t[i : i + span], 0) + 1
+    for k, t in texts.items():
+        gone = set()
+        for i in range(len(t) - span + 1):
+            if seen[t[i : i + span]] > 1:
+                gone |= set(range(i, i + span))
+        out[k] = "".join(c for i, c in enumerate(t) if i not in gone).encode()
+    return out
+
+
+@pytest.mark.parametrize("crowd,parts", [(2000, 10), (0, 10), (0, 3), (5, 101)])
+def test_suffix_with_crowded_anchors(spark, crowd, parts):
+    """Many variants of one template: anchors with many contexts, repeats that end at every distance from them."""
+    rng = np.random.default_rng(11)
+    template = rng.integers(97, 123, 900, np.uint8)
+    texts = {}
+    for k in range(40):
+        t = template.copy()
+        t[rng.integers(0, 900, rng.integers(0, 9))] = 65
+        texts[k] = t.tobytes().decode()[int(rng.integers(0, 300)) : int(rng.integers(500, 900))]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept) for r in suffix.cut_repeats(df, crowd=crowd, parts=parts).collect()}
+    assert got == brute_cut(texts, 200)
+
+
 def test_suffix_array_against_sorting():
     rng = np.random.default_rng(3)
     for _ in range(300):
@@ -224,6 +276,13 @@ def test_chat(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_orders_tied_turns_by_text(spark):
+    rows = [(1, 0, "user", t) for t in ("beta", "zeta", "mid", "alpha")] + [(2, 0, "user", "zeta"), (3, 0, "user", "alpha"), (4, 0, "user", "mid"), (4, 0, "user", "alpha"), (4, 0, "user", "beta")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit("clash"), "hash": F.lit("clash")})
+    got = {r.conv_id: r.chat for r in chat.format_chats(df).collect()}
+    assert set(got) == {1, 2} and [line for line in got[1].split("\n") if "|" not in line] == ["alpha", "beta", "mid", "zeta"]
+
+
 def test_similar_texts(spark):
     words = [f"w{k}" for k in range(100)]
     other = list(words)
