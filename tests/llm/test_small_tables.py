@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import zlib
 
 import numpy as np
@@ -209,14 +210,50 @@ def test_anchors_do_not_depend_on_parts(monkeypatch):
     assert suffix.anchors(text)[0].tolist() == whole
 
 
+def brute_topk(rows, k):
+    whole = sorted({(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows})
+    out = {}
+    for q, a in whole:
+        if q % 100 == 0:
+            out.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)
+    return {q: [(i, -s) for s, i in sorted(found)[:k]] for q, found in out.items()}
+
+
+def ranked(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
 def test_topk(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [0.5, -0.25]), (100, [1.0, 0.0]), (1, None), (2, [nan, 0.0]), (3, [None, 1.0]), (4, [inf, 1.0]), (5, [0.5]), (6, [0.5, 0.0]), (7, [3e38, 0.0]), (7, [3e38, 0.0]), (None, [1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
-    got = topk.top_k(df, F.col("id") % 100 == 0, k=3).collect()
-    mine = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0]
-    assert mine == [(7, 512 * topk.LARGEST), (100, 512 * 1024), (5, 512 * 512)]
+    good = [(0, [0.5, -0.25]), (100, [1.0, 0.0]), (5, [0.5]), (6, [0.5, 0.0]), (7, [30.0, 0.0]), (7, [30.0, 0.0]), (8, []), (7, [-2.0, 1.0]), (100, [0.0, 2.0])]
+    bad = [(1, None), (2, [nan, 0.0]), (3, [None, 1.0]), (4, [inf, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(good + bad, "vec_id long, embedding array<float>").withColumns({"rank": F.lit("x"), "id": F.lit("x"), "group": F.lit(1)})
+    assert ranked(topk.top_k(df, F.col("id") % 100 == 0, k=3)) == brute_topk(good, 3)
     assert topk.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
+    assert topk.top_k(df, F.col("id") < 0).count() == 0
+
+
+def test_topk_of_large_components_is_exact(spark):
+    rows = [(0, [1.0, 2.0]), (1, [200000.0, 1.0]), (2, [300000.0, 0.0]), (3, [200000.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert ranked(topk.top_k(df, F.col("id") % 100 == 0)) == {0: [(2, 314572800000), (3, 209719394304), (1, 209717297152)]}
+    rows = [(0, [3e12, 2.0**40, -(2.0**40)]), (1, [1.0, 2.0**-10, 0.0]), (2, [1000.0, 5.0, 2.0]), (3, [1000.0, 5.0, 1.0]), (4, [0.0, 1.0, 1.0]), (100, [-5.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert ranked(topk.top_k(df, F.col("id") % 100 == 0)) == brute_topk(rows, 10)
+    for beyond in ([(0, [3e12]), (1, [3e12])], [(0, [1e300]), (1, [1.0])]):
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.top_k(spark.createDataFrame(beyond, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).collect()
+
+
+def test_topk_in_waves_groups_and_parts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), (rng.normal(size=8) / 3).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("id") % 100 == 0, block=8, segment=64, group=4, sample=12, pivots=4)
+    assert ranked(got) == brute_topk(rows, 10)
 
 
 def test_topk_pruning_is_exact():
