@@ -1,30 +1,37 @@
-"""Benchmark decontamination: which test items are contained in which documents.
+"""Benchmark decontamination: size-partitioned MinHash containment search.
 
 An item is contained in a document if at least ``threshold`` of its distinct word shingles
-occur there. Documents are so much longer than items that comparing sketches of whole sets
-finds nothing; containment search needs a bound that depends on the item's size. So items
-are partitioned by size, and an item of n shingles keeps as its MinHash sketch the
-n - ceil(threshold * n) + 1 smallest hashes: a document that contains it lacks fewer shingles
-than that, so at least one of the sketch occurs in the document. Documents are read once,
-where they lie; hits of the sketch are candidates, and an exact count of shingle strings
-decides.
-
-The sketches travel to every task in parts of at most ``part`` hashes (a proven bound); a
-larger benchmark takes more passes over the documents, not more memory.
+occur there. Documents are so much longer than items that sketches of one length for both
+would find nothing: what a sketch must hold depends on the item's size. So items are
+partitioned by size, and each partition has a sketch length and a hash limit of its own:
+
+- an item of n shingles may lack ``slack`` = n - ceil(threshold * n) of them; its bottom-k MinHash
+  sketch holds its 2 * slack + 2 smallest hashes (all, if it has fewer);
+- the partition's limit is the largest hash in its items' sketches, and a document's sketch
+  for the partition is its hashes up to that limit;
+- the share of the item's sketch found in the document's estimates the containment. A
+  document that contains the item lacks ``slack`` hashes at most, so it has all but ``slack``
+  of the sketch: whatever has fewer is no candidate, and no document that contains the item
+  is lost. Candidates are decided by an exact count of shingle strings.
+
+Documents are read once, where they lie. The items travel to every task in passes of at most
+2 * ``part`` shingles: items are cut into passes by running sums of their shingles, and an
+item of more than ``part`` shingles into slices that are counted apart and added up. A larger
+benchmark takes more passes over the documents, not more memory.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize, table, text_or_empty
+from ._shared import Scratch, table, text_or_empty
 from .tokens import pieces_of
 
 #: Everything in ASCII that is neither letter nor digit separates words.
@@ -70,10 +77,20 @@ def size_class(n: int) -> int:
     return n.bit_length()
 
 
-def sketches(items: DataFrame, *, width: int, threshold: float, key: str) -> DataFrame:
-    """One row per item with words: (item, size partition, shingle width, sketch hashes, shingle strings)."""
+def slack(n: int, threshold: float) -> int:
+    """How many of its n shingles a contained item may lack."""
+    return n - math.ceil(threshold * n - 1e-9)
+
+
+def sketches(items: DataFrame, *, width: int, threshold: float, key: str, part: int) -> DataFrame:
+    """Rows of items with words: (item, number, size partition, width, n, least, slices, slice, sketch, shingles).
+
+    ``least``: how many of the sketch a candidate has. An item has one slice, or, above ``part``
+    shingles, several without sketches, for which every document with a shingle counts.
+    """
 
     def run(batches):
+        task, made = TaskContext.get().partitionId(), 0
         for batch in pieces_of(batches):
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -82,89 +99,132 @@ def sketches(items: DataFrame, *, width: int, threshold: float, key: str) -> Dat
                     continue
                 own = min(width, len(words))  # a shorter item is one shingle of all its words
                 strings = sorted({b" ".join(words[k : k + own]) for k in range(len(words) - own + 1)})
-                hashes = np.unique(np.concatenate([shingle_hashes(s.split(b" "), own) for s in strings]))
-                keep = len(strings) - math.ceil(threshold * len(strings) - 1e-9) + 1
-                rows.append((item, size_class(len(strings)), own, hashes[:keep].view(np.int64).tolist(), strings))
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()))
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["item", "size", "width", "sketch", "shingles"])
+                n, made, slices = len(strings), made + 1, -(-len(strings) // part)
+                for k in range(slices):
+                    some = strings[k * part : (k + 1) * part]
+                    hashes = np.unique(np.concatenate([shingle_hashes(s.split(b" "), own) for s in some]))
+                    sketch = hashes if slices > 1 else hashes[: 2 * slack(n, threshold) + 2]
+                    least = 1 if slices > 1 else max(1, len(sketch) - slack(n, threshold))
+                    rows.append((item, (task << 32) + made, size_class(n), own, n, least, slices, k, sketch.view(np.int64), some))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 10, [batch.schema.field(0).type, *(pa.field(*f).type for f in SKETCH)])], names=["item", *(f[0] for f in SKETCH)])
 
     kind = items.schema[key].dataType.simpleString()
-    return items.select(key, text_or_empty().alias("text")).mapInArrow(run, f"item {kind}, size int, width int, sketch array<long>, shingles array<binary>")
+    return items.select(key, text_or_empty().alias("text")).mapInArrow(run, f"item {kind}, number long, size int, width int, n int, least int, slices int, slice int, sketch array<long>, shingles array<binary>")
+
+
+SKETCH = [("number", pa.int64()), ("size", pa.int32()), ("width", pa.int32()), ("n", pa.int32()), ("least", pa.int32()), ("slices", pa.int32()), ("slice", pa.int32()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.binary()))]
+
+
+def in_passes(index: DataFrame, part: int) -> DataFrame:
+    """Add ``lane`` and ``turn``; the rows of one (lane, turn) hold less than 2 * ``part`` shingles."""
+    weight = F.size("shingles").cast("long")
+    lanes = -(-(index.agg(F.sum(weight)).first()[0] or 0) // (16 * part)) or 1
+    slim = index.select("number", "slice", weight.alias("w"), F.pmod(F.xxhash64("number", "slice"), F.lit(lanes)).alias("lane"))
+    before = F.sum("w").over(Window.partitionBy("lane").orderBy("number", "slice").rowsBetween(Window.unboundedPreceding, -1))
+    placed = slim.select("number", "slice", "lane", F.floor(F.coalesce(before, F.lit(0)) / part).alias("turn"))
+    return index.join(placed, ["number", "slice"])
 
 
 def contained(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item_key: str = "item_id", width: int = 5, threshold: float = 0.8, part: int = 1 << 20) -> DataFrame:
     """(key, item, n_shingles, n_found, containment) for every document that contains an item.
 
     Null and empty texts hold no words and match nothing. Equal items are items of their own;
-    rows with equal keys are documents of their own.
+    rows with equal keys are documents of their own; null keys stay null. Texts of any length
+    are read whole. Other columns are ignored, whatever their names. No documents or no items
+    give no rows.
     """
     spark = docs.sparkSession
-    index = materialize(sketches(items, width=width, threshold=threshold, key=item_key), "sketches")
-    sizes = [(r["size"], r["n"]) for r in index.groupBy("size").agg(F.sum(F.size("shingles")).alias("n")).orderBy("size").collect()]  # one row a size partition
+    tables = Scratch(spark, "decontaminate")
+    index = tables.write(in_passes(tables.write(sketches(items, width=width, threshold=threshold, key=item_key, part=part), "sketches"), part), "index")
     doc_kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"{key} {doc_kind}, item {item_kind}, n_shingles int, n_found int"
-    slim = docs.select(key, text_or_empty().alias("text"))
-    parts = []
-    for size, total in sizes:
-        passes = -(-total // part)
-        parts += [(size, p, passes) for p in range(passes)] if passes > 1 else [(size, None, 1)]
-    whole = [size for size, p, _ in parts if p is None]
-    # size partitions that fit share a pass
-    packs, room = [], 0
-    for size, total in sizes:
-        if size in whole:
-            if not packs or room + total > part:
-                packs.append([])
-                room = 0
-            packs[-1].append(size)
-            room += total
-    chosen = [F.col("size").isin(p) for p in packs] + [(F.col("size") == s) & (F.pmod(F.xxhash64("item", "shingles"), F.lit(n)) == p) for s, p, n in parts if p is not None]
+    schema = f"__key {doc_kind}, text_hash long, item {item_kind}, number long, slices int, slice int, n_shingles int, n_found int"
+    slim = docs.select(F.col(key).alias("__key"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     found = spark.createDataFrame([], schema)
-    for condition in chosen:
-        rows = [(r["item"], r["width"], r["sketch"], [bytes(s) for s in r["shingles"]]) for r in index.filter(condition).collect()]  # ``part`` shingles at most, by their count above
-        found = found.union(slim.mapInArrow(_probe(spark.sparkContext.broadcast(rows), key), schema))
-    return found.withColumn("containment", F.col("n_found") / F.col("n_shingles")).filter(F.col("containment") >= threshold - 1e-9)
+    tables.drop("sketches")
+    passes = index.select("lane", "turn").distinct().collect()  # one row a pass
+    sliced = index.filter("slices > 1").limit(1).count() > 0
+    for lane, turn in sorted(tuple(p) for p in passes):
+        some = index.filter((F.col("lane") == lane) & (F.col("turn") == turn)).drop("lane", "turn").toArrow()  # less than 2 * ``part`` shingles
+        found = found.union(slim.mapInArrow(_probe(spark.sparkContext.broadcast(some), schema), schema))
+    if sliced:
+        found = found.filter("slices = 1").select("__key", "item", "n_shingles", "n_found").union(_added_up(found.filter("slices > 1")))
+    out = found.select(F.col("__key").alias(key), "item", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+    return out.filter(F.col("containment") >= threshold - 1e-9)
+
+
+def _added_up(slices: DataFrame) -> DataFrame:
+    """Sum what the slices of an item found in a document; equal documents were counted in each of them."""
+    each = slices.groupBy("__key", "text_hash", "item", "number", "n_shingles", "slice").agg(F.max("n_found").alias("n_found"), F.count(F.lit(1)).alias("copies"))
+    whole = each.groupBy("__key", "text_hash", "item", "number", "n_shingles").agg(F.sum("n_found").cast("int").alias("n_found"), F.max("copies").alias("copies"))
+    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__key", "item", "n_shingles", "n_found")
+
+
+class _Partition:
+    """The items of one size partition and shingle width: their sketches, by hash, and the limit of those."""
+
+    def __init__(self, rows: list[int], sketch: list[np.ndarray]):
+        hashes = np.concatenate([sketch[k] for k in rows])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], np.repeat(rows, [len(sketch[k]) for k in rows])[order]
+        self.limit = self.hashes[-1]
+
+    def hits(self, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and how many of their sketch are in a document's sketch of distinct hashes."""
+        lo, hi = np.searchsorted(self.hashes, sketch), np.searchsorted(self.hashes, sketch, "right")
+        return np.unique(np.concatenate([self.owner[:0], *(self.owner[a:b] for a, b in zip(lo, hi) if b > a)]), return_counts=True)
+
+
+#: A filter before the look-up: one bit a hash of the sketches, by its upper bits.
+FILTER_BITS = 22
 
 
-def _probe(shared, key: str):
-    """Look every document's shingles up in the sketches, then count the candidates' exactly."""
+def _probe(shared, schema: str):
+    """Sketch every document for each partition, then count the candidates' shingles exactly."""
 
     def run(batches):
         items = shared.value
-        by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for w in sorted({i[1] for i in items}):
-            pairs = [(h, k) for k, i in enumerate(items) if i[1] == w for h in i[2]]
-            hashes = np.array([p[0] for p in pairs], np.int64).view(np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            by_width[w] = hashes[order], np.array([p[1] for p in pairs])[order]
+        width, n, least, slices, number = (items.column(c).to_pylist() for c in ("width", "n", "least", "slices", "slice"))
+        sketch = [np.array(x, np.int64).view(np.uint64) for x in items.column("sketch").to_pylist()]
+        strings = items.column("shingles").combine_chunks()
+        strings = strings.chunk(0) if isinstance(strings, pa.ChunkedArray) else strings
+        own, numbers = items.column("item").combine_chunks(), items.column("number").combine_chunks()
+        kinds: dict[int, dict[int, list[int]]] = {}
+        for k, size in enumerate(items.column("size").to_pylist()):
+            kinds.setdefault(width[k], {}).setdefault(size, []).append(k)
+        partitions = {w: [_Partition(rows, sketch) for _, rows in sorted(sizes.items())] for w, sizes in kinds.items()}
+        near, down = {}, np.uint64(64 - FILTER_BITS)
+        for w, some in partitions.items():
+            near[w] = np.zeros(1 << FILTER_BITS, bool)
+            for p in some:
+                near[w][p.hashes >> down] = True
 
         for batch in pieces_of(batches):
             out = []
-            for name, text in zip(range(batch.num_rows), batch.column(1).to_pylist()):
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
-                for w, (hashes, owner) in by_width.items():
+                for w, some in partitions.items():
                     got = shingle_hashes(words, w)
-                    at = np.searchsorted(hashes, got)
-                    hit = np.unique(got[hashes[np.minimum(at, len(hashes) - 1)] == got])
-                    if not len(hit):
-                        continue
-                    lo, hi = np.searchsorted(hashes, hit), np.searchsorted(hashes, hit, "right")
-                    candidates = sorted(set(chain.from_iterable(owner[a:b].tolist() for a, b in zip(lo, hi))))
-                    strings = {b" ".join(words[k : k + w]) for k in range(len(words) - w + 1)}
-                    out += [(name, k, len(items[k][3]), sum(s in strings for s in items[k][3])) for k in candidates]
-            rows = [x[0] for x in out]
-            item_type = run_item_type(items)
+                    got = np.unique(got[near[w][got >> down]])
+                    present = None
+                    for p in some if len(got) else ():
+                        for k, hits in zip(*p.hits(got[: np.searchsorted(got, p.limit, "right")])):
+                            if hits < least[k]:
+                                continue
+                            if present is None:
+                                present = {b" ".join(words[j : j + w]) for j in range(len(words) - w + 1)}
+                            out.append((row, int(k), sum(s in present for s in strings[int(k)].as_py())))
+            rows, which = pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([items[x[1]][0] for x in out], item_type), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.int32())],
-                names=[key, "item", "n_shingles", "n_found"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), _taken(own, which), _taken(numbers, which), pa.array([slices[x[1]] for x in out], pa.int32()), pa.array([number[x[1]] for x in out], pa.int32()), pa.array([n[x[1]] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())],
+                names=[f.split()[0] for f in schema.split(", ")],
             )
 
     return run
 
 
-def run_item_type(items) -> pa.DataType:
-    return pa.array([i[0] for i in items if i[0] is not None][:1] or [0]).type
+def _taken(column, rows: pa.Array) -> pa.Array:
+    found = column.take(rows)
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
