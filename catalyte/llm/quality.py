@@ -1,25 +1,28 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
 Every word has a sparse random index vector that only its hash decides. A word's own vector
-is its index vector plus the sum of those of its neighbours in the training texts, so words
+is its index vector plus the sum of those of its neighbours in all documents, so words
 of like contexts get like vectors. A document is the mean of its words' vectors and the mean
 of the index vectors of its words' marks (letter case, attached signs, repetition of the
 word before). A network with one hidden layer, trained in numpy, turns that into a score, and
 a temperature found on rows kept out of the training makes the score a probability.
 
-Only the fit is bounded: ``sample`` labelled rows at most, the first by hash of their id.
-Scoring reads every whole text where it lies; there is no shuffle of texts.
+Only the network's fit is bounded: ``sample`` labelled rows at most, the first by hash of
+their id. Word vectors come from every whole text, as partial sums that tasks add up, and
+scoring reads every whole text where it lies; there is no shuffle of texts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +48,12 @@ def index_vectors(rows: int, dim: int, nonzero: int, seed: int) -> np.ndarray:
     return out
 
 
+def index_places(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the index vectors are not zero, and their signs there (zero where a vector has fewer)."""
+    at = np.argsort(index == 0, axis=1, kind="stable")[:, : int((index != 0).sum(1).max())]
+    return at, np.take_along_axis(index, at, 1).astype(np.int64)
+
+
 @lru_cache(maxsize=1)
 def fixed_vectors() -> tuple[np.ndarray, np.ndarray]:
     return index_vectors(WORDS, WORD_DIM, 4, 7), index_vectors(MARKS, MARK_DIM, 4, 11)
@@ -155,10 +164,59 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int = 24, e
 # --- fitting and scoring on Spark ------------------------------------------------------
 
 
+#: The table of sums travels in so many rows.
+CHUNKS = 32
+
+
+def neighbour_sums(docs: DataFrame) -> np.ndarray:
+    """For each word bucket the sum of its neighbours' index vectors in all texts, as integers.
+
+    Whatever the input, a task hands on ``CHUNKS`` rows with a table of WORDS * WORD_DIM numbers,
+    mostly zeros and compressed; they are added as they stream in, first in lanes, then all.
+    """
+    each = WORDS * WORD_DIM // CHUNKS
+
+    def sums(batches):
+        total = np.zeros(WORDS * WORD_DIM, np.int64)
+        at, sign = index_places(fixed_vectors()[0])
+        for batch in pieces_of(batches):
+            found = [units(text)[0] for text in batch.column(0).to_pylist()]
+            left = np.concatenate([np.zeros(0, np.int64), *(w[:-1] for w in found)])
+            right = np.concatenate([np.zeros(0, np.int64), *(w[1:] for w in found)])
+            for word, other in ((left, right), (right, left)):
+                for s in range(0, len(word), 1 << 20):
+                    w, o = word[s : s + (1 << 20)], other[s : s + (1 << 20)]
+                    for k in range(at.shape[1]):
+                        total += np.bincount(w * WORD_DIM + at[o, k], sign[o, k], len(total)).astype(np.int64)
+        yield from packed(dict(enumerate(total.reshape(CHUNKS, each))))
+
+    def packed(some):
+        lane = TaskContext.get().partitionId() % 64
+        for chunk, part in some.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([lane], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "lane", "sums"])
+
+    def add(batches):
+        some: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                some[chunk] = some.get(chunk, 0) + np.frombuffer(zlib.decompress(raw), np.int64)
+        yield from packed(some)
+
+    schema = "chunk int, lane int, sums binary"
+    parts = docs.select(text_or_empty().alias("text")).mapInArrow(sums, schema)
+    parts = parts.repartition("chunk", "lane").mapInArrow(add, schema).repartition("chunk").mapInArrow(add, schema)
+    out = np.zeros((CHUNKS, each), np.int64)
+    for row in parts.collect():  # CHUNKS rows
+        out[row["chunk"]] += np.frombuffer(zlib.decompress(row["sums"]), np.int64)
+    return out.ravel()
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", key: str = "doc_id", learn=None, sample: int = 20_000) -> Network:
     """Fit on up to ``sample`` labelled rows for which ``learn`` (a condition on ``key``) holds.
 
-    Several labels of one document count as its mean, rounded up; null labels do not count.
+    Several labels of one document count as its mean, rounded up; null labels and null keys do
+    not count. Null texts are empty; texts of any length are read whole; rows with equal keys
+    learn their label each; no documents give a constant score, as do labels of one class.
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     chosen = chosen.filter(learn) if learn is not None else chosen
@@ -168,28 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", key: str
     texts = docs.select(key, text_or_empty().alias("text")).join(F.broadcast(chosen), F.col(key) == F.col("__key"))
     texts = materialize(texts.select("text", "__y").repartition(16), "training")
 
-    def contexts(batches):
-        index, _ = fixed_vectors()
-        sums = np.zeros((WORDS, WORD_DIM), np.float32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                word, _ = units(text)
-                np.add.at(sums, word[1:], index[word[:-1]])
-                np.add.at(sums, word[:-1], index[word[1:]])
-        for chunk in range(32):
-            part = sums[chunk * (WORDS // 32) : (chunk + 1) * (WORDS // 32)]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "sums"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, np.float32) for b in rows.column("sums").to_pylist())
-        return pa.table({"chunk": rows.column("chunk")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    parts = texts.select("text").mapInArrow(contexts, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect()  # 32 rows, 8 MB
+    near = neighbour_sums(docs).reshape(WORDS, WORD_DIM)
     index, marks = fixed_vectors()
-    near = np.zeros((WORDS, WORD_DIM), np.float32)
-    for row in parts:
-        near[row["chunk"] * (WORDS // 32) : (row["chunk"] + 1) * (WORDS // 32)] = np.frombuffer(row["sums"], np.float32).reshape(-1, WORD_DIM)
-    vectors = index / 2 + near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1)
+    vectors = (index / 2 + near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1)).astype(np.float32)
 
     def features(batches):
         for batch in pieces_of(batches):
@@ -203,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", key: str
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
-    """``docs`` with ``score``: the probability of good quality of every whole text.
+    """``docs`` with ``score``: the probability of good quality of every whole text; no rows give no rows.
 
     Null and empty texts are scored as a document without words. A column ``score`` is replaced.
     """
