@@ -72,11 +72,16 @@ def _urn(value: str | None) -> int | None:
 # --- writing ---------------------------------------------------------------------------
 
 
+#: Repeated payloads up to which their digests (about 100 bytes each) are sent to all tasks.
+MOST_SENT = 500_000
+
+
 def plan_revisits(pages: DataFrame, least: int) -> DataFrame:
     """Add payload, n, digest and refers_to (the smallest page_id with the same payload, for all others).
 
-    Copies are counted before they meet (partial aggregation), and only payloads that occur
-    more than once are joined back, a join whose hot keys adaptive execution splits.
+    Only digests are shuffled, to find those that occur more than once. If these are few they
+    are sent to where the pages lie, and no payload moves; else payloads and digests are
+    joined, a join whose hot keys adaptive execution splits.
     """
     sized = pages.select("page_id", "url", text_or_empty("html").alias("payload")).withColumns(
         {"n": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)}
@@ -86,7 +91,8 @@ def plan_revisits(pages: DataFrame, least: int) -> DataFrame:
         .filter("copies > 1 and first is not null")
         .select(F.col("digest").alias("__digest"), "first")
     )
-    joined = sized.join(groups, F.col("digest") == F.col("__digest"), "left")
+    groups = materialize(groups, "warc-repeated")
+    joined = sized.join(F.broadcast(groups) if groups.count() <= MOST_SENT else groups, F.col("digest") == F.col("__digest"), "left")
     return joined.select("page_id", "url", "payload", "n", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -95,7 +101,9 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 100, roll_bytes: int
 
     Every task writes under a name of its attempt and renames when done, so lost or repeated
     tasks leave no half archive. Null html is an empty payload, a null url leaves its header
-    out, equal rows each get a record.
+    out, a null page_id is never referred to, equal rows each get a record (those of a repeated
+    payload's smallest page_id are all responses). Other columns are ignored, whatever their
+    names. A payload of any length is one record; no rows make no archive.
     """
 
     def run(batches):
@@ -202,14 +210,24 @@ def records_in(file, size: int, start: int, end: int):
         yield found, block[: int(found["content-length"])]
 
 
-def split_ranges(files: list[tuple[str, int]], split_bytes: int) -> list[tuple[str, int, int, int]]:
-    return [(f, n, at, min(n, at + split_bytes)) for f, n in files for at in range(0, n, split_bytes)]
+#: A read is cut into so many ranges at most, whatever it holds.
+MOST_RANGES = 50_000
+
+
+def split_ranges(manifest: DataFrame, split_bytes: int) -> tuple[DataFrame, int]:
+    """(file, size, start, end) of every byte range, and how many there are about."""
+    total, count = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    each = max(split_bytes, -(-total // MOST_RANGES))
+    starts = manifest.filter("bytes > 0").select("file", F.col("bytes").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(each).cast("long"))).alias("start"))
+    return starts.withColumn("end", F.least("size", F.col("start") + each)), total // each + count
 
 
-def read_warc(spark: SparkSession, path: str, files: list[tuple[str, int]], *, split_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, manifest: DataFrame, *, split_bytes: int = 32 << 20, payloads: bool = True) -> DataFrame:
     """Read archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url and,
-    with ``payloads``, the payload (null for revisits). ``files``: names under ``path`` and
-    sizes, one entry a file. A response whose payload differs from its digest is an error.
+    with ``payloads``, the payload (null for revisits). ``manifest``: file (under ``path``) and
+    bytes, one row a file; no files give no rows. Ranges grow with the archives above
+    ``MOST_RANGES`` times ``split_bytes``. A response whose payload differs from its digest is
+    an error, as is an archive that ends inside a record.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
@@ -239,17 +257,15 @@ def read_warc(spark: SparkSession, path: str, files: list[tuple[str, int]], *, s
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=[x.split()[0] for x in schema.split(", ")])
 
-    ranges = split_ranges(files, split_bytes)
-    splits = spark.createDataFrame(ranges, "file string, size long, start long, end long").repartition(max(1, len(ranges)))
-    return splits.mapInArrow(run, schema)
+    ranges, number = split_ranges(manifest, split_bytes)
+    return ranges.repartition(max(1, number)).mapInArrow(run, schema)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages to archives and back."""
     path = scratch(spark, "warc")
     manifest = write_warc(table(spark, sf_dir, "pages"), path)
-    files = [(r["file"], r["bytes"]) for r in manifest.select("file", "bytes").collect()]  # one row a file
-    return read_warc(spark, path, files, split_bytes=8 << 20, payloads=False).drop("url")
+    return read_warc(spark, path, manifest, split_bytes=8 << 20, payloads=False).drop("url")
 
 
 QUERIES = {"op6_warc": op6_warc}
