@@ -21,7 +21,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table, text_or_empty
+from ._shared import materialize, table, text_or_empty
 
 CELL_BITS = 13
 
@@ -80,35 +80,48 @@ def flow(counts: dict[int, int], owners: list[int], capacity: list[int]) -> list
     return parcels
 
 
+#: Each ring cell's rows are ranked in so many parts, so that a hot key's rows are not one task's.
+PARTS = 64
+
+
 def shard(df: DataFrame, shards: int, *, key: str = "doc_id", vnodes: int = 64, slack: float = 0.0, cell_bits: int = CELL_BITS, order: tuple[str, ...] = ()) -> DataFrame:
     """Add ``shard`` and ``slot`` (gapless from 0 within the shard) to every row of ``df``.
 
-    Rows are placed by the hash of ``key``; a hot key's rows share a cell and are split
-    over shards by the bound like any others. Null keys hash like a value of their own,
-    repeated rows each get a slot, an empty table gives an empty result. ``order``: further
-    columns that fix the order of rows with equal keys. Existing columns ``shard`` and
-    ``slot`` are replaced.
+    Rows are placed by the hash of ``key``; a hot key's rows share a cell and are split over
+    shards by the bound like any others. A cell is ranked in parts, dealt by the key and the
+    columns ``order``, which also fix the order of rows with equal keys: only rows that are
+    equal in all of these meet in one task. Null keys hash like a value of their own, repeated
+    rows each get a slot, an empty table gives an empty result, texts may have any length.
+    Existing columns ``shard`` and ``slot`` are replaced, as is any whose name starts with
+    ``__ring_``.
     """
     spark = df.sparkSession
-    df = df.drop("shard", "slot", "__hash", "__cell", "__rank")
+    df = df.drop("shard", "slot", *(c for c in df.columns if c.startswith("__ring_")))
     # null has a hash of its own as xxhash64 skips it and returns its seed
-    keyed = df.withColumn("__hash", F.xxhash64(F.lit("ring"), F.col(key)))
-    keyed = keyed.withColumn("__cell", F.shiftrightunsigned("__hash", 64 - cell_bits).cast("int"))
-    counts = {r["__cell"]: r["n"] for r in keyed.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keyed = df.withColumn("__ring_hash", F.xxhash64(F.lit("ring"), F.col(key)))
+    keyed = keyed.withColumn("__ring_cell", F.shiftrightunsigned("__ring_hash", 64 - cell_bits).cast("int"))
+    keyed = keyed.withColumn("__ring_part", F.pmod(F.xxhash64(F.lit("part"), F.col(key), *order), F.lit(PARTS)).cast("int"))
+    # cells * PARTS rows at most, whatever the input
+    sizes = materialize(keyed.groupBy("__ring_cell", "__ring_part").agg(F.count(F.lit(1)).alias("n")), "ring-parts")
+    counts = {r["__ring_cell"]: r["n"] for r in sizes.groupBy("__ring_cell").agg(F.sum("n").alias("n")).collect()}
     total = sum(counts.values())
     base, more = divmod(total, shards)
     capacity = [base + (s < more) for s in range(shards)] if not slack else [int(total / shards * (1 + slack)) + 1] * shards
     parcels = flow(counts, ring(shards, vnodes, cell_bits), capacity)
     # at most (cells + shards * vnodes * 2) rows, whatever the input
-    plan = spark.createDataFrame(parcels, "__cell int, __lo long, __hi long, shard int, __first long")
-    # A few cells have very many rows only if one key has; each cell's sort can spill.
-    rank = Window.partitionBy("__cell").orderBy("__hash", key, *order)
-    ranked = keyed.withColumn("__rank", F.row_number().over(rank).cast("long") - 1)
+    plan = spark.createDataFrame(parcels, "__ring_at int, __ring_lo long, __ring_hi long, shard int, __ring_first long")
+    before = F.sum("n").over(Window.partitionBy("__ring_cell").orderBy("__ring_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("__ring_cell").alias("__ring_c"), F.col("__ring_part").alias("__ring_p"), F.coalesce(before, F.lit(0)).alias("__ring_before"))
+    in_part = Window.partitionBy("__ring_cell", "__ring_part").orderBy("__ring_hash", key, *order)
+    ranked = keyed.withColumn("__ring_place", F.row_number().over(in_part).cast("long") - 1).join(
+        F.broadcast(starts), (F.col("__ring_cell") == F.col("__ring_c")) & (F.col("__ring_part") == F.col("__ring_p"))
+    )
+    ranked = ranked.withColumn("__ring_rank", F.col("__ring_before") + F.col("__ring_place"))
     out = ranked.join(
-        F.broadcast(plan.withColumnRenamed("__cell", "__at")),
-        (F.col("__cell") == F.col("__at")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")),
+        F.broadcast(plan),
+        (F.col("__ring_cell") == F.col("__ring_at")) & (F.col("__ring_rank") >= F.col("__ring_lo")) & (F.col("__ring_rank") < F.col("__ring_hi")),
     )
-    return out.select(*df.columns, "shard", (F.col("__first") + F.col("__rank") - F.col("__lo")).alias("slot"))
+    return out.select(*df.columns, "shard", (F.col("__ring_first") + F.col("__ring_rank") - F.col("__ring_lo")).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
