@@ -11,10 +11,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from catalyte.llm import registry
+from catalyte.llm import quality, registry, sharding
 from catalyte.llm._shared import materialize
 
 SMALL = "/root/testdata/sf0.001"
@@ -170,6 +171,44 @@ def test_op7_held_out(spark):
     assert len(held) > 50 and sum(a == b for a, b in held) / len(held) > 0.95
 
 
+def test_op7_recomputed(spark, texts):
+    """Word vectors, pooling and scores again, word by word in plain numpy; only the descent itself is shared."""
+    index = quality.index_vectors(quality.WORDS, quality.WORD_DIM, 4, 7)
+    marks = quality.index_vectors(quality.MARKS, quality.MARK_DIM, 4, 11)
+
+    def split(word):
+        core = word.strip(quality.SIGNS)
+        case = "-" if not core else "D" if core[0].isdigit() else "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l"
+        tail = re.sub(r"(.)\1+", r"\1+", word[len(word.rstrip(quality.SIGNS)) :])
+        return zlib.crc32(core.lower().encode()) % quality.WORDS, 1 + zlib.crc32(f"{case}{tail}".encode()) % (quality.MARKS - 1)
+
+    parts = {k: [split(w) for w in t.split()] for k, t in texts.items()}
+    near = np.zeros((quality.WORDS, quality.WORD_DIM))
+    for words in parts.values():
+        for (a, _), (b, _) in zip(words, words[1:]):
+            near[a] += index[b]
+            near[b] += index[a]
+    assert (quality.neighbour_sums(spark.read.parquet(f"{SMALL}/documents.parquet")).reshape(near.shape) == near).all()
+    length = np.sqrt((near**2).sum(1, keepdims=True))
+    vectors = (index / 2 + near / np.maximum(length, 1)).astype(np.float32)
+
+    def features(words):
+        if not words:
+            return np.zeros(quality.WORD_DIM + quality.MARK_DIM)
+        mean = sum(vectors[w].astype(float) for w, _ in words) / (len(words) + quality.SHRINK)
+        mark = sum(marks[m].astype(float) for _, m in words) / len(words)
+        same = sum(a[0] == b[0] for a, b in zip(words, words[1:])) / len(words)
+        return np.concatenate([mean, mark + same * marks[quality.SAME]])
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    net = quality.fit(spark.read.parquet(f"{SMALL}/documents.parquet"), labels, learn=~quality.held_out())
+    assert np.abs(net.vectors - vectors).max() < 1e-5 and net.constant is None
+    for r in run(spark, "op7_quality"):
+        hidden = np.tanh((features(parts[r.doc_id]) - net.mean) / net.spread @ net.w1 + net.b1)
+        want = 1 / (1 + math.exp(-float(hidden @ net.w2 + net.b2) / net.temperature))
+        assert abs(r.score - want) < 1e-4 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_op8(spark, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     assert {(r.doc_id, r.item_id): (r.n_found, r.n_shingles) for r in run(spark, "op8_decontaminate")} == contains(texts, items)
@@ -184,6 +223,32 @@ def test_op9(spark, texts):
     assert all(r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.law == "rows" for r in rows)
 
 
+def test_op9_walks_the_ring(spark, texts):
+    """Every key walks by itself: its own point's shard first, and clockwise on while shards are full."""
+    bits, vnodes, shards = sharding.CELL_BITS, 64, 40
+    points = sorted((int.from_bytes(hashlib.sha256(f"{s}/{v}".encode()).digest()[:8], "big") >> (64 - bits), s) for s in range(shards) for v in range(vnodes))
+    owner = [next((s for p, s in points if p >= c), points[0][1]) for c in range(1 << bits)]
+    cell = {r.doc_id: r.c for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit("ring"), "doc_id"), 64 - bits).alias("c")).collect()}
+    room = [len(texts) // shards + (s < len(texts) % shards) for s in range(shards)]
+    load, late = Counter(), []
+    for c in sorted(cell.values()):
+        if room[owner[c]]:
+            room[owner[c]] -= 1
+            load[c, owner[c]] += 1
+        else:
+            late.append(c)
+    waiting = late  # keys that did not fit walk together, in the order in which the walk meets them
+    for step in range(2 << bits):
+        at = step % (1 << bits)
+        ready = [c for c in waiting if c <= at or step >> bits]
+        for c in ready:
+            if room[owner[at]]:
+                room[owner[at]] -= 1
+                load[c, owner[at]] += 1
+                waiting.remove(c)
+    assert not waiting and Counter((cell[r.doc_id], r.shard) for r in run(spark, "op9_sharding")) == load
+
+
 def test_op10(spark, texts):
     fps, label = classes(texts)
     assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in run(spark, "op10_simhash")} == {k: (fps[k], label[k]) for k in texts}

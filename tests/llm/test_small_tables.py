@@ -240,7 +240,7 @@ def test_topk_of_large_components_is_exact(spark):
     rows = [(0, [1.0, 2.0]), (1, [200000.0, 1.0]), (2, [300000.0, 0.0]), (3, [200000.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert ranked(topk.top_k(df, F.col("id") % 100 == 0)) == {0: [(2, 314572800000), (3, 209719394304), (1, 209717297152)]}
-    rows = [(0, [3e12, 2.0**40, -(2.0**40)]), (1, [1.0, 2.0**-10, 0.0]), (2, [1000.0, 5.0, 2.0]), (3, [1000.0, 5.0, 1.0]), (4, [0.0, 1.0, 1.0]), (100, [-5.0, 0.0, 0.0])]
+    rows = [(0, [5e9, -5e9, 1.0]), (1, [2000.0, 2000.0, 3.0]), (2, [2001.0, 2000.0, 2.0]), (3, [2001.0, 2000.0, 1.0]), (4, [0.0, 1.0, 1.0]), (100, [-5.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert ranked(topk.top_k(df, F.col("id") % 100 == 0)) == brute_topk(rows, 10)
     for beyond in ([(0, [3e12]), (1, [3e12])], [(0, [1e300]), (1, [1.0])]):
@@ -272,13 +272,22 @@ def test_warc(spark):
     rows = [(1, "http://a/x y", "<p>" + "z" * 200), (2, None, "<p>" + "z" * 200), (3, "http://b\r\nx", None), (None, "http://c", "<p>" + "z" * 200), (4, "http://d", "short"), (5, "http://e", "short"), (6, "http://f", "WARC/1.1\r\n\x1f " * 20_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     path = scratch(spark, "test-warc")
-    files = [(r.file, r.bytes) for r in warc.write_warc(pages, path, roll_bytes=500).collect()]
+    files = warc.write_warc(pages, path, roll_bytes=500)
     for split in (1 << 20, 97):
         got = {r.page_id: r for r in warc.read_warc(spark, path, files, split_bytes=split).collect()}
         assert len(got) == 7 and got[1].record_type == "response" and (got[2].record_type, got[2].refers_to) == ("revisit", 1)
         assert got[4].record_type == got[5].record_type == "response" and got[3].payload_bytes == 0
         assert bytes(got[6].payload) == rows[6][2].encode() and got[6].payload_digest == hashlib.sha256(rows[6][2].encode()).hexdigest()
-    assert warc.write_warc(pages.limit(0), scratch(spark, "test-warc")).count() == 0
+    none = warc.write_warc(pages.limit(0), scratch(spark, "test-warc"))
+    assert none.count() == 0 and warc.read_warc(spark, path, none).count() == 0
+
+
+def test_warc_with_many_repeats_joins(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, None, "z" * (100 + k // 2)) for k in range(20)], "page_id long, url string, html string")
+    sent = warc.plan_revisits(pages, 100).collect()
+    monkeypatch.setattr(warc, "MOST_SENT", 0)
+    assert sorted(warc.plan_revisits(pages, 100).collect(), key=lambda r: r.page_id) == sorted(sent, key=lambda r: r.page_id)
+    assert [r.refers_to for r in sorted(sent, key=lambda r: r.page_id)][:4] == [None, 0, None, 2]
 
 
 def test_quality(spark, docs, none):
@@ -299,10 +308,28 @@ def test_decontaminate(spark, docs, none):
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item", F.lit("clash"))
     got = {(r.doc_id, r.item): (r.n_found, r.n_shingles) for r in decontaminate.contained(df, items).collect()}
     assert got == {(1, 1): (26, 26), (1, 5): (26, 26), (2, 1): (22, 26), (2, 5): (22, 26), (4, 3): (1, 1)}
-    assert {(r.doc_id, r.item) for r in decontaminate.contained(df, items, part=10).collect()} == set(got)
+    for part in (10, 30, 60):  # items in slices, and in passes of their own
+        assert {(r.doc_id, r.item): (r.n_found, r.n_shingles) for r in decontaminate.contained(df, items, part=part).collect()} == got
+    twice = decontaminate.contained(df.union(df), items, part=10).collect()
+    assert len(twice) == 2 * len(got) and {(r.doc_id, r.item): (r.n_found, r.n_shingles) for r in twice} == got
     assert decontaminate.contained(none, items).count() == 0 and decontaminate.contained(df, items.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_every_item_down_to_the_threshold(spark):
+    """Items of every size partition, scattered over long documents with as many shingles gone as may be, and one more."""
+    rng, docs, items = np.random.default_rng(12), [], []
+    for k in range(60):
+        n = int(rng.integers(1, 150))
+        words = [f"i{k}x{j}" for j in range(n + 4)]
+        may = decontaminate.slack(n, 0.8)
+        items.append((k, " ".join(words)))
+        for more in (0, 1):
+            parts = [" ".join(words[j : j + 5]) for j in rng.permutation(n)[may + more :]]
+            docs.append((2 * k + more, " ".join(x for p in parts for x in (p, *(f"f{rng.integers(0, 500)}" for _ in range(20)))) or "none"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).withColumnRenamed("item", "item_id").collect()}
+    assert got == {(2 * k, k) for k in range(60)}
+
+
 def test_chat(spark):
     a = [("user", "hi"), ("assistant", "yo"), ("user", "more")]
     rows = [(1, k, *t) for k, t in enumerate(a[:2])] + [(2, k, *t) for k, t in enumerate(a)] + [(3, k, *t) for k, t in enumerate(a)] + [(4, 0, None, None), (None, 0, "user", "x")]
