@@ -12,6 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows differ by orders of magnitude in size, so Arrow batches are bounded by bytes, well below Spark's default.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bound the session's Arrow batches; queries and pipeline stages call it for the functions that they hand to the caller unrun."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

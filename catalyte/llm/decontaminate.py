@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, table, text_or_empty
+from ._shared import Scratch, bounded_batches, table, text_or_empty
 from .tokens import pieces_of
 
 #: Everything in ASCII that is neither letter nor digit separates words.
@@ -229,6 +229,7 @@ def _taken(column, rows: pa.Array) -> pa.Array:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) of which the document holds four fifths of the 5-word shingles."""
+    bounded_batches(spark)
     found = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.col("item").alias("item_id"), "n_shingles", "n_found", "containment")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, text_or_empty
+from ._shared import bounded_batches, table, text_or_empty
 from .tokens import MEMO, encoder, id_lists, pieces_of
 
 TIERS = (256, 512, 1024, 2048)
@@ -154,6 +154,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, *, key: str = "doc_id",
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in word-level ids with end id 1, packed into sequences of up to 2048."""
+    bounded_batches(spark)
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")

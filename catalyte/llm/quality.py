@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialize, table, text_or_empty
+from ._shared import bounded_batches, materialize, table, text_or_empty
 from .tokens import pieces_of
 
 WORDS, MARKS = 1 << 15, 1 << 9
@@ -275,6 +275,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, samp
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, from the labels outside the held-out quarter."""
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 

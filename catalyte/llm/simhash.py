@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, table, text_or_empty
+from ._shared import Scratch, bounded_batches, table, text_or_empty
 from .components import components
 from .tokens import pieces_of
 
@@ -128,6 +128,7 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", width: int = 3, radius
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' 3-word fingerprints and the components of their links within 3 bits."""
+    bounded_batches(spark)
     found = near_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Scratch, table, text_or_empty
+from ._shared import Scratch, bounded_batches, table, text_or_empty
 from .tokens import pieces_of
 
 ANCHOR = 100
@@ -353,7 +353,7 @@ def _verdicts(contexts: DataFrame, tables: Scratch, span: int, crowd: int, parts
     return tables.write(found, "verdicts")
 
 
-def repeated_spans(docs: DataFrame, tables: Scratch, *, span: int = 200, crowd: int = 2000, parts: int = 10) -> DataFrame:
+def repeated_spans(docs: DataFrame, tables: Scratch, *, span: int = 200, crowd: int = 500, parts: int = 10) -> DataFrame:
     """(uid, spans): where the rows of ``docs`` (uid, text) have bytes in repeated strings of ``span`` bytes."""
     long_enough = docs.filter(F.octet_length("text") >= span)
     found = tables.write(long_enough.mapInArrow(_anchor_rows(span), "uid long, at long, h long"), "anchors")
@@ -383,7 +383,7 @@ def has_clash(docs: DataFrame, key: str) -> bool:
     return found.limit(1).count() > 0
 
 
-def cut_repeats(docs: DataFrame, *, key: str = "doc_id", span: int = 200, crowd: int = 2000, parts: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, key: str = "doc_id", span: int = 200, crowd: int = 500, parts: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, *carry, kept, kept_text, n_bytes, n_spans): every text without its repeated bytes.
 
     ``kept`` is binary; ``kept_text`` is the same without the halves of characters at cuts.
@@ -421,6 +421,7 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", span: int = 200, crowd:
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of strings of 200 bytes that occur elsewhere."""
+    bounded_batches(spark)
     found = cut_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -15,7 +15,7 @@ from pyarrow import fs, orc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, scratch, table, text_or_empty
+from ._shared import bounded_batches, materialize, scratch, table, text_or_empty
 from .tokens import encoder, id_lists, pieces_of
 
 
@@ -111,6 +111,7 @@ def token_index(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataF
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' byte-level ids with end id 0, written to ORC and read back."""
+    bounded_batches(spark)
     import public_tokenizers
 
     path = scratch(spark, "tokens-orc")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, table
+from ._shared import Scratch, bounded_batches, table
 
 NONE, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 GROWTH = 32
@@ -259,6 +259,7 @@ def _blocks_batch(rows: list[list]) -> pa.RecordBatch:
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of all vectors for every vector whose id is divisible by 100."""
+    bounded_batches(spark)
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, scratch, table, text_or_empty
+from ._shared import bounded_batches, materialize, scratch, table, text_or_empty
 from .tokens import pieces_of
 
 #: gzip magic with the deflate method; a record's flags are none or a few known ones.
@@ -263,6 +263,7 @@ def read_warc(spark: SparkSession, path: str, manifest: DataFrame, *, split_byte
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages to archives and back."""
+    bounded_batches(spark)
     path = scratch(spark, "warc")
     manifest = write_warc(table(spark, sf_dir, "pages"), path)
     return read_warc(spark, path, manifest, split_bytes=8 << 20, payloads=False).drop("url")
