@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalyte.llm import decontaminate, packing, quality, similar_texts, simhash, suffix
-from catalyte.llm._shared import materialize, table
+from catalyte.llm._shared import bounded_batches, materialize, table
 from catalyte.llm.components import components
 
 
@@ -17,7 +17,8 @@ def _without(docs: DataFrame, gone: DataFrame, *, keep_uid: bool = False) -> Dat
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null and empty texts are judged like any others, equal rows alike."""
+    bounded_batches(spark)
     found = quality.classify(docs, table(spark, sf_dir, "labels"))
     return found.filter("predicted = 1").select(*docs.columns)
 
@@ -26,8 +27,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the one with the smallest id stays.
 
     Two texts are near copies if their SimHash fingerprints differ in three bits at most, or
-    if their 5-word shingle sets have a Jaccard similarity of 0.8 or more.
+    if their 5-word shingle sets have a Jaccard similarity of 0.8 or more. Null texts are empty,
+    and texts without words are copies of each other; of rows equal in id and text one stays;
+    texts of any length are compared whole; no rows give no rows.
     """
+    bounded_batches(spark)
     named = suffix.with_uid(docs, "doc_id")
     close = simhash.near_classes(named, key="uid").filter("uid <> component_id").select(F.col("uid").alias("u"), F.col("component_id").alias("v"))
     groups = components(close.union(similar_texts.links(named, key="uid")))
@@ -38,7 +42,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes or more that occur elsewhere are cut out of the texts."""
+    """Strings of 200 bytes or more that occur elsewhere are cut out of the texts, in all their places.
+
+    Null texts become empty; a text may be empty afterwards; ``n_chars`` is counted anew where bytes went.
+    """
+    bounded_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = suffix.cut_repeats(docs, carry=others)
     changed = F.col("n_spans") > 0
@@ -49,14 +57,16 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null, empty and wordless texts contain none, nor do null and empty items match."""
+    bounded_batches(spark)
     named = suffix.with_uid(docs, "doc_id")
     found = decontaminate.contained(named, table(spark, sf_dir, "benchmark"), key="uid")
     return _without(named, found).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in training sequences of up to 2048."""
+    """Token ids in training sequences of up to 2048; null and empty texts are their end id alone, equal rows stand side by side."""
+    bounded_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, memo=300_000)  # its workers also hold what earlier stages keep
