@@ -94,8 +94,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Cosine mapped to [0, 1]."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cosine(a, b) + 1) / 2))
+    """Cosine mapped to [0, 1]; null where there is none (least and greatest would skip it)."""
+    c = cosine(a, b)
+    return F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (c + 1) / 2)))
 
 
 def image_weight(sharpness: Column, exposure: Column, glare: Column, area: Column) -> Column:

@@ -11,18 +11,18 @@ STAGES = {"NEW": ["cv", "embeddings", "aggregation"], "CHANGED_IMAGE": ["cv", "e
 def signatures(df: DataFrame, entity: str, image: list[str], metadata: list[str], seq: list[str]) -> DataFrame:
     """(entity, image_hash, metadata_hash, n_images): the set of images and the metadata of the first row.
 
-    The set's hash is the exclusive-or of its members' hashes (two of 60 bits), so it is
-    aggregated on the map side and no entity's images meet in a list.
+    The set's hash is the first 16 digits of the md5 of its sorted members as compact JSON,
+    so it compares with stored ones (of ASCII values); an item's images meet in one row for it.
+    Both hashes come from one aggregate.
     """
-    def joined(cols: list[str]):
-        return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    members = F.array(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in image])
+    first = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in metadata])
+    per = df.groupBy(entity).agg(F.array_sort(F.collect_list(members)).alias("__s"), F.min_by(first, F.struct(*seq)).alias("__m"), F.count(F.lit(1)).alias("n_images"))
 
-    def part(at: int):
-        return F.bit_xor(F.conv(F.substring("__m", at, 15), 16, 10).cast("long"))
+    def short(c):
+        return F.substring(F.md5(c.cast("binary")), 1, 16)
 
-    images = df.select(entity, F.md5(joined(image).cast("binary")).alias("__m")).distinct().groupBy(entity).agg(F.concat_ws("-", part(1), part(17)).alias("image_hash"))
-    first = df.groupBy(entity).agg(F.substring(F.md5(F.min_by(joined(metadata), F.struct(*seq)).cast("binary")), 1, 16).alias("metadata_hash"), F.count(F.lit(1)).alias("n_images"))
-    return images.join(first, entity)
+    return per.select(entity, short(F.to_json("__s")).alias("image_hash"), short(F.col("__m")).alias("metadata_hash"), "n_images")
 
 
 def classify(incoming: DataFrame, baseline: DataFrame, entity: str) -> DataFrame:

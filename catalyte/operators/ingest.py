@@ -133,10 +133,11 @@ def sample_per_batch(df: DataFrame, entity: str, batch: str, seq: list[str], mos
     return few.filter(F.col("__k") <= most).drop("__r", "__k")
 
 
-def floor_and_cap(df: DataFrame, entity: str, block: str, seq: list[str], *, floor: int = 5, cap: int = 200, seed: int = 42) -> DataFrame:
-    """Keep ``floor`` rows a block, then fill up to ``cap`` an entity by a seeded hash."""
+def floor_and_cap(df: DataFrame, entity: str, block: str, seq: list[str], *, floor: int = 5, cap: int = 200, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Keep ``floor`` rows a block, then fill up to ``cap`` an entity in the order of a seeded md5 of ``by`` (``seq`` if not given)."""
     ranked = df.withColumn("__b", F.row_number().over(Window.partitionBy(entity, block).orderBy(*seq)))
-    turn = [(F.col("__b") > floor).cast("int"), F.xxhash64(*seq, F.lit(seed)), *seq]
+    chance = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in by or seq], F.lit(str(seed))).cast("binary"))
+    turn = [(F.col("__b") > floor).cast("int"), chance, *seq]
     placed = ranked.withColumn("__e", F.row_number().over(Window.partitionBy(entity).orderBy(*turn)))
     return placed.filter((F.col("__b") <= floor) | (F.col("__e") <= cap)).drop("__b", "__e")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.jsontags import safe_segment
 from ..functions.text import failure_reason, pair_key
 
 
@@ -33,8 +34,25 @@ def queue_state(attempts: DataFrame, key: str, ok: Column, ts: str, *, retries:
     return per.select(key, F.when(F.col("done") == 1, "DONE").when(F.col("n_failed") >= retries, "FAILED").otherwise("PENDING").alias("status"), "n_failed", "last_at")
 
 
-def status_counts(df: DataFrame, status: str) -> DataFrame:
-    return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+def reset(states: DataFrame, status: str, failed: str, *, only_failed: bool = False) -> DataFrame:
+    """Back to PENDING with no failures counted: everything that is not done, or what failed only."""
+    again = F.col(status) == "FAILED" if only_failed else F.col(status) != "DONE"
+    return states.withColumns({status: F.when(again, "PENDING").otherwise(F.col(status)), failed: F.when(again, 0).otherwise(F.col(failed)).cast("long")})
+
+
+def create_job(jobs: DataFrame, states: DataFrame, kind: str, job_id: int, status: str = "status") -> DataFrame:
+    """The job table with a new running job of a kind; those of its kind that were queued or running are canceled.
+
+    ``jobs``: job_id, kind, status, total, done. The new one counts the queue as it stands.
+    """
+    stopped = jobs.withColumn("status", F.when((F.col("kind") == kind) & F.col("status").isin("QUEUED", "RUNNING"), "CANCELED").otherwise(F.col("status")))
+    counted = states.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(status) == "DONE").alias("done"))
+    made = counted.select(F.lit(job_id).cast("long").alias("job_id"), F.lit(kind).alias("kind"), F.lit("RUNNING").alias("status"), "total", "done")
+    return stopped.select("job_id", "kind", "status", "total", "done").union(made)
+
+
+def finish_job(jobs: DataFrame, job_id: int, status: str = "DONE") -> DataFrame:
+    return jobs.withColumn("status", F.when(F.col("job_id") == job_id, status).otherwise(F.col("status")))
 
 
 def failure_reasons(df: DataFrame, error: str) -> DataFrame:
@@ -84,16 +102,33 @@ def apply_rollbacks(runs: DataFrame, ledger: DataFrame) -> DataFrame:
     return runs.join(gone, "run_id", "left").withColumn("status", F.when(F.col("__r") == 1, "rolled_back").otherwise(F.col("status"))).drop("__r")
 
 
-def coercion_errors(df: DataFrame, value: str) -> DataFrame:
-    """Values that should be booleans and are not."""
-    return df.filter(~F.lower(F.col(value)).isin("true", "false", "0", "1"))
-
-
 def irreversible_reason(status: Column, snapshot: Column) -> Column:
     """Why a run cannot be rolled back; null if it can."""
     return F.when(status == "rolled_back", "already rolled back").when(status.isin("preview", "aborted", "rejected"), F.concat(F.lit("nothing was applied: "), status)).when(snapshot.isNull(), "no snapshot was kept")
 
 
+#: Tracks that can be rolled back.
+TRACKS = ["color", "pattern"]
+
+
+def check_rollbacks(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each request (track, run_id) with a code and a reason: 400 malformed, 404 no such run, 409 not applied or
+    not reversible, 500 a restore that failed, else 200 with the run before, which is restored.
+
+    ``runs``: track, run_id, ts, status, snapshot (null if none was kept), restored (false if reading it failed).
+    """
+    applied = previous_run(runs.filter("status = 'applied'"), "track", "ts", "run_id").select(F.col("track").alias("__pt"), F.col("run_id").alias("__pr"), F.col("previous").alias("restored_to"))
+    known = runs.select(F.col("track").alias("__t"), F.col("run_id").alias("__r"), "status", "snapshot", "restored")
+    found = requests.select("track", "run_id").join(known, (F.col("track") == F.col("__t")) & (F.col("run_id") == F.col("__r")), "left")
+    found = found.join(applied, (F.col("track") == F.col("__pt")) & (F.col("run_id") == F.col("__pr")), "left")
+    why = irreversible_reason(F.col("status"), F.col("snapshot"))
+    code = (
+        F.when(~F.coalesce(F.col("track").isin(TRACKS), F.lit(False)) | ~safe_segment(F.col("run_id")), 400).when(F.col("__r").isNull(), 404)
+        .when(why.isNotNull(), 409).when(~F.coalesce("restored", F.lit(True)), 500).otherwise(200)
+    )
+    return found.select("track", "run_id", code.alias("code"), F.when(code == 409, why).alias("reason"), F.when(code == 200, F.col("restored_to")).alias("restored_to"))
+
+
 def corrections_on(log: DataFrame, session: str, ts: str, day) -> DataFrame:
     """Corrections per session on one day."""
     return log.filter(F.to_date(ts) == F.to_date(F.lit(day))).groupBy(session).agg(F.count(F.lit(1)).alias("n"))

@@ -228,42 +228,64 @@ def filter_counts(candidates: DataFrame, request: Request) -> DataFrame:
 
 
 def cap_facts(ranked: DataFrame, key: Column) -> DataFrame:
-    """One row: how many rows of a vendor are allowed. 3, relaxed to 5 if fewer than 8 rows are
-    within 3; all with fewer than 5 vendors. From per-vendor counts."""
+    """One row: ``vendors``, ``relaxed`` and how many rows of a vendor are ``allowed``. 3, relaxed to 5
+    if fewer than 8 rows are within 3; all with fewer than 5 vendors. From per-vendor counts."""
     cap = vocab.VENDOR_CAP
     per = ranked.groupBy(key.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     facts = per.agg(F.count(F.when(F.col("v") != "", 1)).alias("vendors"), F.coalesce(F.sum(F.least("n", F.lit(cap["tight"]))), F.lit(0)).alias("within"))
-    return facts.select(F.when(F.col("vendors") < cap["min_vendors"], 2**31 - 1).when(F.col("within") < cap["min_shown"], cap["relaxed"]).otherwise(cap["tight"]).alias("allowed"))
+    few, thin = F.col("vendors") < cap["min_vendors"], F.col("within") < cap["min_shown"]
+    return facts.select("vendors", (~few & thin).alias("relaxed"), F.when(few, 2**31 - 1).when(thin, cap["relaxed"]).otherwise(cap["tight"]).alias("allowed"))
 
 
-def vendor_cap(ranked: DataFrame, order: list[Column], vendor: str = "vendor") -> DataFrame:
-    """Add ``over_cap`` to all rows: those beyond their vendor's cap go to the end, in their order."""
+def vendor_cap(ranked: DataFrame, order: list[Column], most: int, vendor: str = "vendor") -> DataFrame:
+    """Add ``over_cap``: rows beyond their vendor's cap go to the end, in their order.
+
+    For the first ``most`` rows of the outcome no more than ``most`` rows of a vendor count, so
+    the row number is limited before the shuffle and no vendor's rows are sorted whole.
+    """
     key = F.coalesce(F.trim(vendor), F.lit(""))
-    numbered = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return numbered.crossJoin(F.broadcast(cap_facts(ranked, key))).withColumn("over_cap", (F.col("__n") > F.col("allowed")).cast("int")).drop("__n", "allowed")  # one row
+    first = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__n") <= most)
+    facts = cap_facts(ranked, key).select("allowed")
+    return first.crossJoin(F.broadcast(facts)).withColumn("over_cap", (F.col("__n") > F.col("allowed")).cast("int")).drop("__n", "allowed")  # one row
 
 
 def page(ranked: DataFrame, request: Request, *, vendor: str = "vendor") -> DataFrame:
-    """One page with its positions.
-
-    A row of the page is among the few first of its vendor or among the first of all others, so
-    no vendor's rows are sorted whole: the row number is limited before the shuffle, and the
-    rest is a bounded top-k.
-    """
+    """One page with its positions: a bounded top-k of what the vendor cap leaves."""
     order, most = rank_order(request), request.offset + request.limit
     if request.sort == "best_match":
-        cap = vocab.VENDOR_CAP
-        key = F.coalesce(F.trim(vendor), F.lit(""))
-        first = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__n") <= cap["relaxed"])
-        rest = ranked.join(first.select(F.col("item").alias("__i")), F.col("item") == F.col("__i"), "left_anti").orderBy(*order).limit(most)
-        rows = first.unionByName(rest.withColumn("__n", F.lit(cap["relaxed"] + 1)))
-        ranked = rows.crossJoin(F.broadcast(cap_facts(ranked, key))).withColumn("over_cap", (F.col("__n") > F.col("allowed")).cast("int")).drop("__n", "allowed")  # one row
-        order = [F.col("over_cap").asc(), *order]
+        ranked, order = vendor_cap(ranked, order, most, vendor), [F.col("over_cap").asc(), *order]
     top = ranked.orderBy(*order).limit(most)
     place = F.row_number().over(Window.orderBy(*order)) - 1  # over one page only
     return top.withColumn("position", place).filter(F.col("position") >= request.offset)
 
 
+def needs_tags(request: Request) -> bool:
+    """Does a filter or a score of the request read tags?"""
+    wishes = (request.base_colors, request.pattern_families, request.dominant_hues, request.tones, request.accent_colors, request.cloudiness_range, request.colour_strict, request.tone_strict)
+    lo, hi = request.veining
+    return any(wishes) or request.cloudiness is not None or request.min_confidence > 0 or (lo or 0.0) > 0.0 or (1.0 if hi is None else hi) < 1.0
+
+
+def meta(ranked: DataFrame, request: Request, *, vendor: str = "vendor") -> DataFrame:
+    """One row beside a page: how many rows each section tier and rank bucket has, and what the vendor cap did.
+
+    Counts of a mode that the request is not in are null.
+    """
+    sections, buckets = request.mode == "sections", request.mode in ("browse", "buckets")
+    tiers = {"tier_1_both": 1, "tier_2_colour_only": 2, "tier_3_pattern_only": 3}
+    ranks = {"direct": 1, "rescued": 2, "other": 3}
+
+    def counted(on: bool, column: str, k: int) -> Column:
+        return F.count_if(F.col(column) == k) if on else F.lit(None).cast("long")
+
+    counts = ranked.agg(*(counted(sections, "match_tier", k).alias(n) for n, k in tiers.items()), *(counted(buckets, "rank_bucket", k).alias(n) for n, k in ranks.items()))
+    capped = request.sort == "best_match"
+    facts = cap_facts(ranked, F.coalesce(F.trim(vendor), F.lit(""))).select(
+        (F.lit(capped) & (F.col("vendors") >= vocab.VENDOR_CAP["min_vendors"])).alias("vendor_cap_applied"), (F.lit(capped) & F.col("relaxed")).alias("vendor_cap_relaxed"), F.col("vendors").alias("distinct_vendor_count")
+    )
+    return counts.crossJoin(F.broadcast(facts)).withColumn("needs_tags", F.lit(needs_tags(request)))  # one row each
+
+
 def facets(ranked: DataFrame) -> DataFrame:
     """(facet, value, n) of patterns and colours, the unlabeled ones under their own value: one pass."""
     rows = ranked.select(F.explode(F.array(F.struct(F.lit("pattern_family").alias("facet"), F.coalesce("pattern", F.lit("unlabeled")).alias("value")), F.struct(F.lit("base_color").alias("facet"), F.col("colour").alias("value")))).alias("f")).select("f.*")

@@ -51,6 +51,10 @@ class Catalogue:
             page = page.withColumns({"v3_label": F.lit(None).cast("string"), "v3_confidence": F.lit(None).cast("double")})
         return page, search.facets(ranked)
 
+    def search_meta(self, request: search.Request) -> DataFrame:
+        """One row beside a request's page: tier and bucket counts and what the vendor cap did."""
+        return search.meta(self._ranked(request), request)
+
     def _ranked(self, request: search.Request) -> DataFrame:
         items = self.candidates()
         if request.rescue and len(request.dominant_hues) == 1:
@@ -82,6 +86,30 @@ class Catalogue:
         vecs = self.embeddings.select(F.col("entity_id").alias("item"), "vec")
         return similar.resolve(wide.join(vecs, "item"), anchor, suppressed=gone)
 
+    def similar_payload(self, wanted) -> dict:
+        """anchor, sections and meta of one item, found by its id or by one of its batches; a stub for an unknown one.
+
+        Sections a and b are empty for ever; c holds the re-ranked similar items with what is shown of them.
+        """
+        batches = self.images.select(F.col("company_stone_id").alias("item"), F.col("batch_id").alias("batch"))
+        row = batches.filter((F.col("item") == wanted) | (F.col("batch") == wanted)).orderBy(F.col("item") == wanted, F.col("item")).select("item").first()
+        if row is None:
+            return {"anchor": {"item": wanted, "known": False}, "sections": {"section_a": [], "section_b": [], "section_c": []}, "meta": {"section_a_count": 0, "section_b_count": 0, "section_c_count": 0}}
+        wide = search.effective(self.candidates())
+        own = wide.filter(F.col("item") == row["item"]).first().asDict()
+        found = self.resolve_similar(row["item"])
+        shown = similar.projection(wide, own).join(found, "item")
+        tiers = [c for c in found.columns if c.endswith("_tier")]
+        some = [r.asDict(recursive=True) for r in shown.orderBy(*tiers, F.col("similarity").desc(), "item").collect()]  # a page
+        meta = {"anchor_color": own["main_color"], "anchor_color_family": own["retrieval_family"], "anchor_dominant_hue": own["dominant_hue"], "anchor_relaxed": own["retrieval_family"] is None}
+        return {"anchor": own | {"known": True}, "sections": {"section_a": [], "section_b": [], "section_c": some}, "meta": meta | {"section_a_count": 0, "section_b_count": 0, "section_c_count": len(some)}}
+
+    def log_similar(self, wanted, payload: dict, path: str, action: str = "view") -> None:
+        """Append one event of the similar page to its log."""
+        spark = self.images.sparkSession
+        row = [(str(wanted), action, payload["meta"]["section_c_count"])]
+        spark.createDataFrame(row, "item string, action string, n_shown long").withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+
     def public(self, page: DataFrame) -> DataFrame:
         """What a page may show to the outside."""
         return page.select(*[c for c in PUBLIC if c in page.columns])

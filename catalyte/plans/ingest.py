@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -29,34 +30,56 @@ def new_dataset_id(now: datetime | None = None) -> str:
     return f"{now or datetime.now(timezone.utc):%Y%m%d_%H%M%S}_clean"
 
 
-def import_csv(spark: SparkSession, path: str, root: str, *, baseline: DataFrame | None = None, dataset_id: str | None = None, block_at: float = 105.0) -> ImportResult:
-    """Header, row and file gates in that order, each failing fast; then dedupe, continuity and the write."""
+#: A version's row in the table of versions.
+DATASETS = (
+    "dataset_id string, created_at timestamp, source_filename string, rows_read long, is_active boolean, unique_images long, unique_batches long, unique_company_stones long, "
+    "unique_families long, unique_blocks long, detected_headers string, validation_summary string, validation_status string, activation_blocked boolean"
+)
+COUNTED = {"unique_images": "image_asset_id", "unique_batches": "batch_id", "unique_company_stones": "company_stone_id", "unique_families": "canonical_family", "unique_blocks": "block_no"}
+
+
+def import_csv(spark: SparkSession, path: str, root: str, *, baseline: DataFrame | None = None, dataset_id: str | None = None, block_at: float = 105.0, datasets: str | None = None) -> ImportResult:
+    """Header, row and file gates in that order, each failing fast; then dedupe, continuity and the write.
+
+    ``datasets``: where the version's row is appended; a blocked import leaves its row and no images.
+    """
     result = ImportResult(dataset_id or new_dataset_id())
     names = csv_contract.header(spark, path)
+    df = csv_contract.read_csv(spark, path, names)
     result.errors = ingest.header_errors(names)
     if not result.errors:
-        df = csv_contract.read_csv(spark, path, names)
         result.errors = [f"{r.field}: {r.n_errors} blank" for r in ingest.row_contract(df, vocab.MANDATORY).collect() if r.n_errors]  # one row a field
         if not result.errors:
             many = ingest.identity_collisions(df, "company_stone_id", "name").orderBy("company_stone_id").limit(5).collect()
             result.errors = [f"{r.company_stone_id} has {r.n_names} names" for r in many]
-    if result.errors:
-        result.blocked = True
-        return result
-    bad = ingest.bad_urls(df, "url").count()
-    result.warnings += [f"{bad} addresses are not http"] if bad else []
-    data = csv_contract.to_dataset(df, result.dataset_id)
-    if baseline is not None:
-        kinds = {"item": ("company_stone_id", False), "batch": ("batch_id", False), "vendor": ("vendor", True)}
-        for r in ingest.continuity(baseline, data, kinds).collect():  # one row a kind
-            result.blocked |= (r.pct_gone or 0) >= block_at
-            result.warnings += [f"{r.kind}: {r.n_gone} gone, {r.n_new} new"] if r.warned else []
+    result.blocked = bool(result.errors)
+    data = None
+    if not result.blocked:
+        bad = ingest.bad_urls(df, "url").count()
+        result.warnings += [f"{bad} addresses are not http"] if bad else []
+        data = csv_contract.to_dataset(df, result.dataset_id)
+        if baseline is not None:
+            kinds = {"item": ("company_stone_id", False), "batch": ("batch_id", False), "vendor": ("vendor", True)}
+            for r in ingest.continuity(baseline, data, kinds).collect():  # one row a kind
+                result.blocked |= (r.pct_gone or 0) >= block_at
+                result.warnings += [f"{r.kind}: {r.n_gone} gone, {r.n_new} new"] if r.warned else []
     if not result.blocked:
         csv_contract.write_dataset(data, root)
         result.rows = csv_contract.read_dataset(spark, root, result.dataset_id).count()
+    if datasets is not None:
+        written = None if result.blocked else csv_contract.read_dataset(spark, root, result.dataset_id)
+        dataset_row(spark, result, names, path, df.count(), written).write.mode("append").parquet(datasets)
     return result
 
 
+def dataset_row(spark: SparkSession, result: ImportResult, names: list[str], path: str, rows_read: int, data: DataFrame | None) -> DataFrame:
+    """The row of one import: counts of what was written, or none and the reasons if it was blocked."""
+    counts = [0] * len(COUNTED) if data is None else list(data.agg(*(F.count_distinct(c).alias(n) for n, c in COUNTED.items())).first())
+    summary = {"passed_all": not result.blocked, "row_count_total": rows_read, "row_count_valid": result.rows, "row_count_invalid": rows_read - result.rows, "blocked_reasons": result.errors}
+    row = (result.dataset_id, datetime.now(timezone.utc), path.rsplit("/", 1)[-1], rows_read, False, *counts, json.dumps(names), json.dumps(summary), "blocked" if result.blocked else "validated", result.blocked)
+    return spark.createDataFrame([row], DATASETS)
+
+
 def signatures(images: DataFrame) -> DataFrame:
     return incremental.signatures(images.filter(F.coalesce(F.trim("company_stone_id"), F.lit("")) != ""), "company_stone_id", ["image_asset_id", "image_url"], ["stone_name_raw", "vendor", "batch_id"], ["ingest_seq"])
 

@@ -94,7 +94,7 @@ RUNS = {
     "ts": "ts",
     "kind": "CASE event_type WHEN 'purchase' THEN 'applied' WHEN 'signup' THEN 'preview' ELSE 'other' END",
 }
-ATTEMPTS = {"job": "user_id % 5", "key": "user_id", "ts": "ts", "seq": "event_id", "ok": "event_type = 'purchase'", "failed": "event_type <> 'purchase'", "error": "CASE WHEN event_type = 'error' THEN 'http|' || props WHEN event_type = 'view' THEN 'plain ' || props END"}
+ATTEMPTS = {"job": "user_id % 5", "key": "user_id", "task": "user_id % 40 * 100 + extract(hour FROM ts)", "ts": "ts", "seq": "event_id", "ok": "event_type = 'purchase'", "failed": "event_type <> 'purchase'", "error": "CASE WHEN event_type = 'error' THEN 'http|' || props WHEN event_type = 'view' THEN 'plain ' || props END"}
 IMG, ITM, VOT, RUN, ATT = derived("lineitem", IMAGES), derived("part", ITEMS), derived("events", VOTES), derived("events", RUNS), derived("events", ATTEMPTS)
 #: A total order of images: keys repeat, whole rows do not.
 ORDER = ["image", "vendor", "entity", "price", "shipped"]
@@ -240,10 +240,13 @@ def sample_per_batch(spark, d):
     return ingest.sample_per_batch(images(spark, d), "entity", "batch", ORDER, 5).select("entity", "batch", "image")
 
 
-@query()
+@query(
+    f"""SELECT vendor, line, image, price FROM (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY CASE WHEN b > 5 THEN 1 ELSE 0 END, md5(concat_ws('|', image, vendor, entity, '42')), {', '.join(ORDER)}) AS e
+    FROM (SELECT *, row_number() OVER (PARTITION BY vendor, line ORDER BY {', '.join(ORDER)}) AS b FROM {IMG})) WHERE b <= 5 OR e <= 60"""
+)
 def block_floor_cap(spark, d):
-    """WIN5: the fill is by a seeded hash, which SQL elsewhere does not have."""
-    return ingest.floor_and_cap(images(spark, d), "vendor", "line", ORDER, floor=5, cap=60).select("vendor", "line", "image", "price")
+    """WIN5: the fill is by a seeded md5."""
+    return ingest.floor_and_cap(images(spark, d), "vendor", "line", ORDER, floor=5, cap=60, by=["image", "vendor", "entity"]).select("vendor", "line", "image", "price")
 
 
 @query(
@@ -260,9 +263,8 @@ def pre_import_analysis(spark, d):
 
 # --- incremental -----------------------------------------------------------------------
 
-_SIG = """SELECT entity, image_hash, metadata_hash, n_images FROM (SELECT entity, CAST(bit_xor(CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS VARCHAR) || '-' || CAST(bit_xor(CAST('0x' || substr(m, 17, 15) AS BIGINT)) AS VARCHAR) AS image_hash
-    FROM (SELECT DISTINCT entity, md5(image || '|' || vendor) AS m FROM {0}) GROUP BY 1)
-    JOIN (SELECT entity, substr(md5(arg_min(label || '|' || tone, (image, vendor, price))), 1, 16) AS metadata_hash, count(*) AS n_images FROM {0} GROUP BY 1) USING (entity)"""
+_SIG = """SELECT entity, substr(md5(CAST(to_json(list_sort(list([CAST(image AS VARCHAR), CAST(vendor AS VARCHAR)]))) AS VARCHAR)), 1, 16) AS image_hash,
+    substr(md5(arg_min(label || '|' || tone, (image, vendor, price))), 1, 16) AS metadata_hash, count(*) AS n_images FROM {0} GROUP BY 1"""
 
 
 def _signatures(df):
@@ -307,7 +309,7 @@ def change_summary(spark, d):
 
 @query(f"SELECT entity FROM {_CLASSES} WHERE change_class IN ('NEW', 'CHANGED_IMAGE') AND entity NOT IN (SELECT p_partkey FROM part WHERE p_size < 20)")
 def ledger_anti_join(spark, d):
-    """JN9, X6, STM4-5."""
+    """JN9, X6."""
     todo = incremental.work(_classes(spark, d), "embeddings").select("entity")
     return incremental.not_done(todo, read(spark, d, "part").filter("p_size < 20").select(F.col("p_partkey").alias("entity")), ["entity"])
 
@@ -503,14 +505,60 @@ def visual_topk(spark, d):
     s AS (SELECT vec_id, l, round(list_dot_product(CAST(embedding AS DOUBLE[]), c), 9) AS x FROM embeddings, p), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, l) AS k FROM s)
     SELECT vec_id, max(CASE WHEN k = 1 THEN l END) AS predicted, round(least(0.5 + max(CASE WHEN k = 1 THEN x END) - max(CASE WHEN k = 2 THEN x END), 0.95), 6) AS confidence FROM r GROUP BY 1""")
 def prototype_classifier(spark, d):
-    """ML14-15, WIN9."""
+    """ML14, WIN9."""
     e = read(spark, d, "embeddings")
     return vectors.prototype_classifier(e, vectors.mean_vectors(e, "label", "embedding"), "vec_id", "label", "embedding")
 
 
+def _proto_sql(field: str, label: str) -> str:
+    centre = _CENTRE.replace("SELECT label, embedding,", f"SELECT {label} AS label, embedding,")
+    return f"""(WITH p AS (SELECT label AS l, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM {centre}),
+    s AS (SELECT vec_id, l, round(list_dot_product(CAST(embedding AS DOUBLE[]), c), 9) AS x FROM embeddings, p), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, CAST(l AS VARCHAR)) AS k FROM s)
+    SELECT vec_id, '{field}' AS field, CAST(max(CASE WHEN k = 1 THEN l END) AS VARCHAR) AS predicted, round(least(0.5 + max(CASE WHEN k = 1 THEN x END) - max(CASE WHEN k = 2 THEN x END), 0.85), 6) AS confidence FROM r GROUP BY 1)"""
+
+
+_THREE = {"pattern_family": "label", "base_color": "label % 3", "tone": "label % 2"}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM {_proto_sql(f, e)}" for f, e in _THREE.items()))
+def predict_fields(spark, d):
+    """ML15, ML14: three fields by their prototypes, on few training rows."""
+    e = read(spark, d, "embeddings")
+    protos = {f: vectors.mean_vectors(e.withColumn("label", F.expr(x)), "label", "embedding") for f, x in _THREE.items()}
+    return vectors.predict_fields(e, protos, "vec_id", "embedding", n_training=50)
+
+
+@query(f"""WITH m AS (SELECT label AS l, label * 0.1 AS b, list_transform(c, lambda x: 8 * x / sqrt(list_dot_product(c, c))) AS c FROM {_CENTRE}), z AS (SELECT vec_id, l, b + list_dot_product(CAST(embedding AS DOUBLE[]), c) AS z FROM embeddings, m),
+    t AS (SELECT vec_id, arg_max(l, z) AS predicted, max(z) AS top, list(z) AS zs FROM z GROUP BY 1) SELECT vec_id, predicted, round(1 / list_sum(list_transform(zs, lambda x: exp(x - top))), 6) AS confidence FROM t""")
+def logistic_classifier(spark, d):
+    """ML14: the probability of a fitted model; here its coefficients are the prototypes, so that SQL knows them."""
+    e = read(spark, d, "embeddings")
+    model = vectors.mean_vectors(e, "label", "embedding").select("label", (F.col("label") * 0.1).alias("intercept"), F.transform("vec", lambda x: 8 * x).alias("coef"))
+    return vectors.logistic_classifier(e, model, "vec_id", "label", "embedding")
+
+
+@query("SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'cache' WHEN 1 THEN 'file' END AS source, CASE WHEN vec_id % 3 < 2 THEN round(CAST(embedding[2] AS DOUBLE), 6) END AS second FROM embeddings")
+def vector_sources(spark, d):
+    """SRC7-8: vectors from JSON text first, then from 32-bit floats; bad and cut-off ones are skipped."""
+    e = read(spark, d, "embeddings")
+
+    def raw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [np.array(v, "<f4").tobytes() + b"x" * (k % 3 == 2) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["vec_id", "raw"])
+
+    cache = vectors.parse_vectors(e.select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.to_json("embedding")).otherwise("[1.0, oops").alias("raw")), "raw")
+    file = vectors.parse_float32(e.select("vec_id", "embedding").mapInArrow(raw, "vec_id long, raw binary"), "raw")
+    out = vectors.first_vector(e.select("vec_id"), {"cache": cache, "file": file}, "vec_id")
+    return out.select("vec_id", "source", F.round(F.get("vec", F.lit(1)).cast("double"), 6).alias("second"))
+
+
 @query("SELECT label, max(vec_id) AS vec_id FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY 1")
 def best_image_vector(spark, d):
-    """SRC7-8, X16: the highest finished image's vector, found again by its content."""
+    """X16: the highest finished image's vector, found again by its content."""
     e = read(spark, d, "embeddings").withColumn("status", F.when(F.col("vec_id") % 3 != 0, "DONE").otherwise("FAILED"))
     text_form = e.select("label", "vec_id", "status", F.to_json("embedding").alias("raw"))
     best = vectors.best_image_vector(vectors.parse_vectors(text_form, "raw").withColumn("v", F.struct("vec", "vec_id")), "label", "vec_id", "v", "status")
@@ -696,11 +744,25 @@ def search_text(spark, d):
     WHEN NOT coalesce(cloudiness BETWEEN 0.1 AND 0.8, true) THEN 'cloudiness' WHEN NOT coalesce(tone, 'neutral') IN ('warm', 'neutral') THEN 'tone'
     WHEN NOT coalesce(dominant_hue IN ('red', 'brown'), false) THEN 'hue' ELSE 'kept' END AS removed_by FROM e) GROUP BY 1""")
 def filter_debug_counts(spark, d):
-    """FLT1a-i: what each rule removes."""
+    """FLT1a, FLT1c, FLT1f-i: what each rule removes."""
     request = search.Request(base_colors=["brown"], cloudiness_range=(0.1, 0.8), tones=["warm", "neutral"], tone_strict=True, dominant_hues=["red", "brown"], min_confidence=0.2)
     return search.filter_counts(items(spark, d), request)
 
 
+_MULTI = "CASE WHEN item % 11 = 0 THEN 'multi' WHEN item % 4 = 0 THEN 'grey' END"
+
+
+@query(f"""WITH e AS (SELECT item, {_MULTI} AS colour FROM {ITM})
+    SELECT 'multi' AS chips, CASE WHEN coalesce(colour = 'multi', false) THEN 'kept' ELSE 'colour' END AS removed_by, count(*) AS n FROM e GROUP BY 2
+    UNION ALL SELECT 'grey', 'kept', count(*) FROM e UNION ALL SELECT 'grey strict', CASE WHEN coalesce(colour = 'grey', false) THEN 'kept' ELSE 'colour' END, count(*) FROM e GROUP BY 2""")
+def filter_chips(spark, d):
+    """FLT1b, FLT1d: the multi chip excludes all else whatever other chips say, another chip admits every row, unless it is strict."""
+    i = items(spark, d).withColumns({"bg_color": F.lit(None).cast("string"), "base_color": F.expr(_MULTI), "main_color": F.lit(None).cast("string")})
+    wanted = {"multi": search.Request(base_colors=["grey", "multi"]), "grey": search.Request(base_colors=["grey"]), "grey strict": search.Request(base_colors=["grey"], colour_strict=True)}
+    parts = [search.filter_counts(i, r).select(F.lit(n).alias("chips"), "removed_by", "n") for n, r in wanted.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query(f"WITH e AS {_EFFECTIVE} SELECT item, colour, pattern FROM e WHERE colour = 'brown' OR (colour = 'beige' AND dominant_hue IN ('brown', 'orange'))")
 def hard_filters(spark, d):
     """FLT1c, COL1-2."""
@@ -724,18 +786,37 @@ def hue_rescue(spark, d):
     return search.rescue(items(spark, d), "red").select("item", "rescued")
 
 
-@query()
+_GOLDEN = ["yellow", "orange", "gold", "amber", "copper", "bronze", "ochre", "terra cotta"]
+_SIMILAR = "round(greatest(0, least(1, (list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) + 1) / 2)), 6)"
+_LOOKS = f"""(SELECT i.*, CASE WHEN v.embedding IS NOT NULL THEN {_SIMILAR} END AS visual FROM {_EFFECTIVE} i LEFT JOIN embeddings v ON v.vec_id = i.item, (SELECT embedding FROM embeddings WHERE vec_id = 7) a)"""
+_GOLD_SCORE = f"CASE WHEN colour IS NULL THEN 0.3 WHEN colour IN {_in(_GOLDEN)} THEN 1.0 WHEN coalesce(base_color_confidence, 0) < 0.4 THEN 0.4 ELSE 0.2 END"
+
+
+@query(f"""SELECT item, round(CAST(CASE WHEN visual IS NULL THEN 0.35 * 0.5 + 0.2 * ({_GOLD_SCORE}) + 0.15 * 0.5 + 0.1 * CASE WHEN pattern = 'bold_veined' THEN 1.0 ELSE 0.3 END + 0.1 * 0.5 + 0.1 * CASE WHEN has_override THEN 1.0 ELSE 0.5 END
+        ELSE 0.55 * visual + 0.15 * 0.5 + 0.1 * ({_GOLD_SCORE}) + 0.1 * 0.5 + 0.05 * 0.5 + 0.05 * CASE WHEN has_override THEN 1.0 ELSE 0.5 END END AS DOUBLE), 6) AS score, CAST(NULL AS VARCHAR) AS v3_label, CAST(NULL AS DOUBLE) AS v3_confidence
+    FROM {_LOOKS} WHERE coalesce(colour IN {_in(_GOLDEN)}, false) OR coalesce(pattern = 'bold_veined', false) OR bold_veined ORDER BY score DESC, ingest_seq DESC LIMIT 60""")
 def search_vector(spark, d):
-    """FLT2-4, SRT4, X20: an image search where items without a vector fall through to the text formula."""
+    """FLT2-4, SRT4, X20: an image search with a yellow chip (eight colours), bold veins (by label or flag) and an alias;
+    items without a vector fall through to the text formula, the columns of a third classifier stay empty."""
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
     from .functions.scores import similarity
 
     withv = items(spark, d).join(e, "item", "left").withColumn("visual", F.round(similarity(F.col("embedding"), F.lit(_anchor(spark, d))), 6))
-    ranked = search.rank(withv, search.Request(), visual=F.col("visual"))
-    return ranked.orderBy(F.col("score").desc(), F.col("ingest_seq").desc()).limit(60).select("item", "score", F.lit(None).cast("string").alias("v3_label"))
+    ranked = search.rank(withv, search.Request(base_colors=["yellow"], pattern_families=["bold veined"]), visual=F.col("visual"))
+    page = ranked.orderBy(F.col("score").desc(), F.col("ingest_seq").desc()).limit(60)
+    return page.select("item", "score", F.lit(None).cast("string").alias("v3_label"), F.lit(None).cast("double").alias("v3_confidence"))
 
 
-@query()
+_FAMILY = """CASE WHEN main_color = 'charcoal' THEN CASE dominant_hue WHEN 'red' THEN 'DARK_WARM_CHROMATIC' WHEN 'green' THEN 'DARK_COOL_CHROMATIC' ELSE 'TRUE_DARK' END
+    WHEN main_color = 'navy' THEN CASE WHEN stone_lightness = 'light' THEN 'LIGHT_COOL' ELSE 'DARK_COOL' END WHEN main_color = 'red' THEN 'RED' WHEN main_color = 'ivory' THEN 'WHITE' WHEN main_color = 'gold' THEN 'GOLD' END"""
+
+
+@query(f"""WITH s AS (SELECT *, {_FAMILY} AS fam FROM {_LOOKS} WHERE item <> 7 AND visual > 0 AND item NOT IN (SELECT b FROM {VOT} WHERE vote = -1 AND a = 7 UNION SELECT a FROM {VOT} WHERE vote = -1 AND b = 7)),
+    t AS (SELECT item, visual AS similarity, CASE WHEN fam = 'DARK_COOL' THEN 1 WHEN fam = 'LIGHT_COOL' AND abs(40 - lightness_mean) > 20 THEN 3 WHEN fam IN ('LIGHT_COOL', 'DARK_COOL_CHROMATIC') THEN 2 ELSE 3 END AS colour_tier,
+        CASE WHEN pattern = 'webbed' THEN 1 WHEN pattern IS NULL THEN 2 ELSE 3 END AS pattern_tier, CASE WHEN tone = 'cool' THEN 1 WHEN tone IS NULL THEN 2 ELSE 3 END AS tone_tier,
+        CASE WHEN stone_lightness = 'mid' THEN 1 WHEN stone_lightness IS NULL THEN 2 ELSE 3 END AS stone_lightness_tier
+        FROM s WHERE coalesce(main_color NOT IN ('red'), true) AND coalesce(fam NOT IN ('TRUE_DARK', 'DARK_WARM_CHROMATIC', 'RED', 'PINK', 'GOLD', 'WHITE', 'BEIGE'), true))
+    SELECT * FROM t ORDER BY colour_tier, pattern_tier, tone_tier, stone_lightness_tier, similarity DESC, item LIMIT 10""")
 def similar_rerank(spark, d):
     """FLT6-7, COL4-5, SRT5: veto before tiers, tiers before similarity."""
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vec"))
@@ -744,6 +825,24 @@ def similar_rerank(spark, d):
     return similar.resolve(df, anchor, suppressed=similar.neighbours(_votes(spark, d), 7))
 
 
+_VENDORS = "(SELECT count(CASE WHEN v <> '' THEN 1 END) AS vendors, coalesce(sum(least(n, 3)), 0) AS within FROM (SELECT trim(vendor) AS v, count(*) AS n FROM {0} GROUP BY 1))"
+_CAPPED = "vendors >= 5 AS vendor_cap_applied, vendors >= 5 AND within < 8 AS vendor_cap_relaxed, vendors AS distinct_vendor_count"
+
+
+@query(f"""WITH e AS {_EFFECTIVE}, s AS (SELECT *, {_HIT} AS hit, {_PAT} AS pat FROM e WHERE {_HIT} OR {_PAT}), b AS (SELECT *, {_BUCKET.removeprefix(', ')} FROM e WHERE coalesce(nullif(base_color_confidence, 0), main_color_confidence, 0) >= 0.2)
+    SELECT 'sections' AS mode, count(CASE WHEN hit AND pat THEN 1 END) AS tier_1_both, count(CASE WHEN hit AND NOT pat THEN 1 END) AS tier_2_colour_only, count(CASE WHEN NOT hit THEN 1 END) AS tier_3_pattern_only,
+        NULL AS direct, NULL AS rescued, NULL AS other, (SELECT vendors >= 5 FROM {_VENDORS.format('s')}) AS vendor_cap_applied, (SELECT vendors >= 5 AND within < 8 FROM {_VENDORS.format('s')}) AS vendor_cap_relaxed,
+        (SELECT vendors FROM {_VENDORS.format('s')}) AS distinct_vendor_count, true AS needs_tags FROM s
+    UNION ALL SELECT 'browse', NULL, NULL, NULL, count(CASE WHEN rank_bucket = 1 THEN 1 END), count(CASE WHEN rank_bucket = 2 THEN 1 END), count(CASE WHEN rank_bucket = 3 THEN 1 END),
+        (SELECT vendors >= 5 FROM {_VENDORS.format('b')}), (SELECT vendors >= 5 AND within < 8 FROM {_VENDORS.format('b')}), (SELECT vendors FROM {_VENDORS.format('b')}), true FROM b
+    UNION ALL SELECT 'newest', NULL, NULL, NULL, NULL, NULL, NULL, false, false, (SELECT vendors FROM {_VENDORS.format('e')}), false""")
+def search_meta(spark, d):
+    """X21, AGG25, FLT15: what stands beside the pages of three requests."""
+    wanted = {"sections": _SECTIONS, "browse": _BROWSE, "newest": search.Request(sort="newest")}
+    parts = [search.meta(search.rank(items(spark, d), r), r).withColumn("mode", F.lit(n)) for n, r in wanted.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- operations ------------------------------------------------------------------------
 
 
@@ -787,10 +886,52 @@ def insert_absent(spark, d):
     return ops.insert_absent(a.filter("job = 0"), a.select("key"), ["key"])
 
 
-@query(f"SELECT key, CASE WHEN max(ok::INT) = 1 THEN 'DONE' WHEN sum(failed::INT) >= 3 THEN 'FAILED' ELSE 'PENDING' END AS status, CAST(sum(failed::INT) AS BIGINT) AS n_failed, max(ts) AS last_at FROM {ATT} WHERE seq % 20 = 0 GROUP BY 1")
+_STATES = f"(SELECT task, CASE WHEN max(ok::INT) = 1 THEN 'DONE' WHEN sum(failed::INT) >= 3 THEN 'FAILED' ELSE 'PENDING' END AS status, CAST(sum(failed::INT) AS BIGINT) AS n_failed, max(ts) AS last_at FROM {ATT} GROUP BY 1)"
+
+
+def _states(spark, d):
+    return ops.queue_state(_attempts(spark, d), "task", F.col("ok"), "ts")
+
+
+@query(f"SELECT * FROM {_STATES}")
 def queue_state(spark, d):
-    """STM2, over every twentieth attempt so that all states occur."""
-    return ops.queue_state(_attempts(spark, d).filter("seq % 20 = 0"), "key", F.col("ok"), "ts")
+    """STM2, over all attempts; a task is a user and an hour of the day, fine enough for all states to occur."""
+    return _states(spark, d)
+
+
+@query(f"""SELECT task, CASE WHEN status = 'DONE' THEN status ELSE 'PENDING' END AS all_again, CASE WHEN status = 'DONE' THEN n_failed ELSE 0 END AS failed_all,
+    CASE WHEN status = 'FAILED' THEN 'PENDING' ELSE status END AS failed_again, CASE WHEN status = 'FAILED' THEN 0 ELSE n_failed END AS failed_left FROM {_STATES}""")
+def queue_reset(spark, d):
+    """STM7, X17: both resets side by side."""
+    states = _states(spark, d)
+    a = ops.reset(states, "status", "n_failed").select("task", F.col("status").alias("all_again"), F.col("n_failed").alias("failed_all"))
+    b = ops.reset(states, "status", "n_failed", only_failed=True).select("task", F.col("status").alias("failed_again"), F.col("n_failed").alias("failed_left"))
+    return a.join(b, "task")
+
+
+_JOBS = {"job_id": "event_id", "kind": "event_type", "status": "CASE CAST(floor(value) AS BIGINT) % 3 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RUNNING' ELSE 'DONE' END", "total": "user_id", "done": "CAST(0 AS BIGINT)"}
+
+
+@query(f"""SELECT job_id, kind, CASE WHEN job_id = 5 THEN 'FAILED' WHEN kind = 'view' AND status IN ('QUEUED', 'RUNNING') THEN 'CANCELED' ELSE status END AS status, total, done FROM {derived('events', _JOBS)}
+    UNION ALL SELECT -1, 'view', 'RUNNING', count(*), count(CASE WHEN status = 'DONE' THEN 1 END) FROM {_STATES}""")
+def job_lifecycle(spark, d):
+    """STM8: a new job cancels its kind's others, another one is finished."""
+    jobs = derive(read(spark, d, "events"), _JOBS)
+    return ops.finish_job(ops.create_job(jobs, _states(spark, d), "view", -1), 5, "FAILED")
+
+
+_ASKED = {"track": "CASE user_id % 3 WHEN 0 THEN 'color' WHEN 1 THEN 'pattern' ELSE 'other' END", "run_id": "CASE WHEN event_id % 11 = 0 THEN '../x' WHEN event_id % 7 = 0 THEN 'gone' ELSE 'r' || CAST(event_id AS STRING) END"}
+_RUNS = {"track": _ASKED["track"], "run_id": "'r' || CAST(event_id AS STRING)", "ts": "ts", "status": "CASE event_type WHEN 'click' THEN 'rolled_back' WHEN 'view' THEN 'preview' ELSE 'applied' END", "snapshot": "CASE WHEN event_id % 5 <> 0 THEN 'path' END", "restored": "event_id % 13 <> 0"}
+
+
+@query(f"""WITH r AS {derived('events', _RUNS)}, q AS {derived('events', _ASKED)}, p AS (SELECT track, run_id, lag(run_id) OVER (PARTITION BY track ORDER BY ts, run_id) AS previous FROM r WHERE status = 'applied'),
+    f AS (SELECT q.track, q.run_id, r.status, r.snapshot, r.restored, r.run_id AS known, previous FROM q LEFT JOIN r ON r.track = q.track AND r.run_id = q.run_id LEFT JOIN p ON p.track = q.track AND p.run_id = q.run_id),
+    c AS (SELECT *, CASE WHEN track = 'other' OR run_id = '../x' THEN 400 WHEN known IS NULL THEN 404 WHEN status <> 'applied' OR snapshot IS NULL THEN 409 WHEN NOT restored THEN 500 ELSE 200 END AS code FROM f)
+    SELECT track, run_id, code, CASE WHEN code = 409 THEN CASE status WHEN 'rolled_back' THEN 'already rolled back' WHEN 'preview' THEN 'nothing was applied: preview' ELSE 'no snapshot was kept' END END AS reason, CASE WHEN code = 200 THEN previous END AS restored_to FROM c""")
+def rollback_checks(spark, d):
+    """X19: what becomes of each request to roll a run back."""
+    e = read(spark, d, "events")
+    return ops.check_rollbacks(derive(e, _ASKED), derive(e, _RUNS))
 
 
 @query(f"SELECT CASE WHEN contains(error, '|') THEN split_part(error, '|', 1) ELSE left(error, 50) END AS reason, count(*) AS n FROM {ATT} WHERE error IS NOT NULL GROUP BY 1")
@@ -869,7 +1010,7 @@ def error_labels(spark, d):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '[\"' || event_type || '\"]' AS as_array FROM events")
 def json_tags(spark, d):
-    """JSN1-3, STR12."""
+    """JSN1, JSN3, STR12."""
     from .functions import jsontags
 
     e = read(spark, d, "events").withColumn("arr", F.to_json(F.array("event_type")))
@@ -877,6 +1018,17 @@ def json_tags(spark, d):
     return e.filter(jsontags.scalar(F.col("arr")) == F.col("event_type")).select("event_id", F.get_json_object(both, "$.k").alias("k"), text.tag_text(F.array("event_type"), "array").alias("as_array"))
 
 
+@query("SELECT event_id, CASE WHEN event_type <> 'view' THEN 'red,' || event_type END AS accents, CASE WHEN event_type <> 'view' THEN CAST(0.25 + user_id AS DOUBLE) END AS strength FROM events")
+def accent_tags(spark, d):
+    """JSN2: accent colours from JSON, malformed text is none."""
+    from .functions import jsontags
+
+    e = read(spark, d, "events")
+    made = F.to_json(F.array(F.struct(F.lit("RED").alias("color"), F.lit(0.25).alias("strength")), F.struct(F.upper("event_type").alias("color"), F.col("user_id").cast("double").alias("strength"))))
+    got = e.select("event_id", jsontags.accents(F.when(F.col("event_type") == "view", F.lit("{oops")).otherwise(made)).alias("a"))
+    return got.select("event_id", F.array_join(F.transform("a", lambda x: x["color"]), ",").alias("accents"), F.round(F.get("a", F.lit(0))["strength"] + F.get("a", F.lit(1))["strength"], 4).alias("strength"))
+
+
 @query("SELECT event_type AS session, count(*) AS n FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10' GROUP BY 1")
 def corrections_today(spark, d):
     """AGG26."""

@@ -40,10 +40,14 @@ def uncached(images: DataFrame, cache: DataFrame, version: str) -> DataFrame:
     return images.join(cache.filter(F.col("version") == version).select("content_md5"), "content_md5", "left_anti")
 
 
-def snapshot(df: DataFrame, path: str) -> DataFrame:
-    """A backup with its check: rows and distinct keys."""
+def snapshot(df: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """A backup and its check: as many rows as ``df``, no key twice. A failed check is an error; the folder stays for inspection."""
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    kept = df.sparkSession.read.parquet(path)
+    rows, twice = kept.count(), kept.groupBy(*key).count().filter("count > 1").limit(1).count()
+    if rows != df.count() or twice:
+        raise ValueError(f"the backup under {path} " + ("holds a key twice" if twice else "lacks rows"))
+    return kept
 
 
 def export_csv(df: DataFrame, path: str) -> None:

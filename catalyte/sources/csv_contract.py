@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
@@ -91,14 +91,12 @@ def delete_dataset(datasets: DataFrame, dataset_id: str) -> DataFrame:
     return datasets.filter(F.col("dataset_id") != dataset_id)
 
 
-def trimmed(df: DataFrame, *, floor: int = 5, cap: int = 200) -> DataFrame:
-    """Rows of an oversized upload, thinned by block."""
-    seq = df.withColumn("__seq", F.monotonically_increasing_id())
-    return ingest.floor_and_cap(seq, "company_stone_id", "block_no", ["__seq"], floor=floor, cap=cap).drop("__seq")
+def trimmed(df: DataFrame, *, floor: int = 5, cap: int = 200, seq: tuple[str, ...] = ("batch_id", "image_asset_id", "image_url")) -> DataFrame:
+    """Rows of an oversized upload, thinned by block. ``seq`` orders rows by what they hold, so that
+    a re-run over other partitions keeps the same ones."""
+    return ingest.floor_and_cap(df, "company_stone_id", "block_no", list(seq), floor=floor, cap=cap)
 
 
 def batches_of(df: DataFrame) -> DataFrame:
     """First row and batch list of each item."""
-    first = Window.partitionBy("company_stone_id")
-    named = df.withColumn("__first", F.first("stone_name_raw").over(first.orderBy("ingest_seq")))
-    return named.groupBy("company_stone_id").agg(F.min("__first").alias("stone_name_raw"), F.array_sort(F.collect_set("batch_id")).alias("batches"))
+    return df.groupBy("company_stone_id").agg(F.min_by("stone_name_raw", "ingest_seq").alias("stone_name_raw"), F.array_sort(F.collect_set("batch_id")).alias("batches"))

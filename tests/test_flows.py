@@ -42,9 +42,9 @@ def test_chips():
 def test_vendor_cap(spark):
     rows = [(k, "v" if k < 12 else f"w{k}", 100 - k) for k in range(20)]
     df = spark.createDataFrame(rows, "item long, vendor string, score long")
-    out = search.vendor_cap(df, [F.col("score").desc()]).collect()
+    out = search.vendor_cap(df, [F.col("score").desc()], 1000).collect()
     assert sorted(r.item for r in out if r.over_cap == 0 and r.vendor == "v") == [0, 1, 2]
-    few = search.vendor_cap(df.filter("item < 13"), [F.col("score").desc()]).collect()
+    few = search.vendor_cap(df.filter("item < 13"), [F.col("score").desc()], 1000).collect()
     assert all(r.over_cap == 0 for r in few)
 
 
@@ -88,7 +88,9 @@ def test_artifacts(spark, tmp_path):
     assert artifacts.last_searches(spark.read.parquet(f"{tmp_path}/log"), 1).count() == 1
     artifacts.append_json(log, f"{tmp_path}/j")
     artifacts.export_csv(log, f"{tmp_path}/c")
-    assert artifacts.snapshot(log, f"{tmp_path}/s").count() == 1
+    assert artifacts.snapshot(log, f"{tmp_path}/s", log.columns).count() == 1
+    with pytest.raises(ValueError, match="twice"):
+        artifacts.snapshot(log.union(log), f"{tmp_path}/s2", log.columns)
 
 
 def test_votes_and_queue(spark):

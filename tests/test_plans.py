@@ -71,3 +71,39 @@ def test_catalogue(spark, shop):
     assert shop_.resolve_similar("s0").count() <= 4 and shop_.resolve_similar("s5").count() == 0
     rows, log = catalogue.correction("s0", "base_color", "pink", "me", spark)
     assert rows.count() == log.count() == 1
+
+
+def test_import_leaves_a_row_of_its_version(spark, tmp_path):
+    good = [(f"s{k}", f"b{k}", f"k{k}", f"http://h/{k}", f"Stone {k}", "V", 1) for k in range(3)]
+    ingest.import_csv(spark, csv(tmp_path / "good.csv", good), str(tmp_path / "d"), dataset_id="one", datasets=str(tmp_path / "sets"))
+    ingest.import_csv(spark, csv(tmp_path / "bad.csv", [("s1", "", "k", "u", "n", "v", 1)]), str(tmp_path / "d"), dataset_id="two", datasets=str(tmp_path / "sets"))
+    rows = {r.dataset_id: r for r in spark.read.parquet(str(tmp_path / "sets")).collect()}
+    assert (rows["one"].validation_status, rows["one"].unique_images, rows["one"].unique_batches, rows["one"].activation_blocked) == ("validated", 3, 3, False)
+    assert (rows["two"].validation_status, rows["two"].unique_images, rows["two"].activation_blocked, rows["two"].rows_read) == ("blocked", 0, True, 1)
+    assert "packing_list_id: 1 blank" in rows["two"].validation_summary and rows["one"].source_filename == "good.csv"
+
+
+def test_fitted_logistic_model_separates_labels(spark):
+    from catalyte.operators import vectors
+
+    rows = [(k, k % 3, [float(k % 3 == j) + 0.01 * (k % 7) for j in range(3)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, label int, vec array<double>")
+    model = vectors.fit_logistic(df, "label", "vec")
+    got = {r.id: r for r in vectors.logistic_classifier(df, model, "id", "label", "vec", n_training=60).collect()}
+    assert all(r.predicted == k % 3 and 0.5 < r.confidence <= 0.85 for k, r in got.items())
+
+
+def test_similar_payload(spark, shop, tmp_path):
+    images = shop[3]
+    part = spark.createDataFrame([(f"s{k}", "main_color", c, 1.0) for k, c in enumerate(("navy", "navy", "blue", "red", "navy", "navy"))], "entity_id string, field string, value string, confidence double")
+    vecs = spark.createDataFrame([(f"s{k}", [1.0, k / 10]) for k in range(6)], "entity_id string, vec array<double>")
+    shown = catalogue.Catalogue(images, {"ai": part}, embeddings=vecs)
+    got = shown.similar_payload("b0")
+    assert got["anchor"]["item"] == "s0" and got["anchor"]["known"] and got["meta"]["anchor_color"] == "navy"
+    found = got["sections"]["section_c"]
+    assert got["meta"]["section_c_count"] == len(found) == 4 and "s3" not in {r["item"] for r in found} and got["sections"]["section_a"] == []
+    assert shown.similar_payload("nothing")["anchor"] == {"item": "nothing", "known": False}
+    shown.log_similar("b0", got, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).first().n_shown == 4
+    meta = shown.search_meta(search.Request()).first()
+    assert meta.distinct_vendor_count == 6 and meta.vendor_cap_applied and not meta.needs_tags
