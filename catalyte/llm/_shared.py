@@ -92,6 +92,9 @@ class Scratch:
         self.paths[name] = scratch(self.spark, f"{self.name}-{name}")
         return written(df, self.paths[name])
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.paths[name])
+
     def drop(self, *names: str) -> None:
         for name in names:
             discard(self.spark, self.paths.pop(name))

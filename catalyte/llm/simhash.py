@@ -81,13 +81,39 @@ def forest(fps: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int, int
     return out
 
 
+def finer_masks(masks: list[int], radius: int, bits: int = 64) -> list[int]:
+    """For each mask radius + 1 larger ones: the bits it leaves out are dealt to as many groups, and two
+    words that agree under the mask and differ in ``radius`` bits at most agree on one group as well."""
+    out = []
+    for m in masks:
+        free = [i for i in range(bits) if not m >> i & 1]
+        for g in range(radius + 1):
+            finer = (m % (1 << bits)) | sum(1 << i for i in free[g :: radius + 1])
+            out.append(finer - (1 << bits) if finer >> (bits - 1) else finer)
+    return out
+
+
 def near_links(distinct: DataFrame, radius: int, tables: Scratch, block: int = 1024) -> DataFrame:
-    """Links (u, v) that connect exactly what pairs within ``radius`` connect; ``distinct``: fp, rep."""
+    """Links (u, v) that connect exactly what pairs within ``radius`` connect; ``distinct``: fp, rep.
+
+    A bucket of more than ``block`` words is cut into smaller ones by finer masks, which lose no
+    pair either, before what is still large is compared block by block.
+    """
     masks = covering_masks(radius)
     rows = distinct.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("x")).select("x.t", "x.key", "fp", "rep")
-    # written, so that both sides of the join are dealt anew and adaptive execution can split a hot bucket
-    shared = tables.write(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    placed = rows.join(shared, ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+
+    def shared_buckets(rows: DataFrame, name: str) -> DataFrame:
+        # written, so that both sides of the join are dealt anew and adaptive execution can split a hot bucket
+        shared = tables.write(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), name)
+        return rows.join(shared, ["t", "key"])
+
+    placed = shared_buckets(rows, "buckets")
+    if tables.read("buckets").filter(F.col("n") > block).limit(1).count():
+        finer = F.array(*[F.struct(F.lit(len(masks) + k).alias("t"), F.lit(m).alias("mask")) for k, m in enumerate(finer_masks(masks, radius))])
+        some = F.slice(finer, F.col("t") * (radius + 1) + 1, radius + 1)
+        cut = placed.filter(F.col("n") > block).select("fp", "rep", F.explode(some).alias("x")).select("x.t", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"), "fp", "rep")
+        placed = placed.filter(F.col("n") <= block).unionByName(shared_buckets(cut, "finer"))
+    placed = placed.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     blocks = placed.groupBy("t", "key", "blocks", "block").agg(F.collect_list(F.struct("fp", "rep")).alias("some"))  # about ``block`` rows at most
     a = blocks.filter("blocks > 1").select("t", "key", F.col("block").alias("i"), F.col("some").alias("a"))
@@ -118,7 +144,7 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", width: int = 3, radius
     distinct = tables.write(slim.groupBy("fp").agg(F.min(F.col("__key").cast("long")).alias("rep")), "distinct")
     # of what no key names there are at most one row a fingerprint; it stands for itself by its fingerprint
     linked = components(near_links(distinct.select("fp", F.col("fp").alias("rep")), radius, tables))
-    tables.drop("buckets")
+    tables.drop(*{"buckets", "finer"} & set(tables.paths))
     group = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
     names = group.groupBy("group").agg(F.min("rep").alias("component_id"))
     named = tables.write(group.join(names, "group").select(F.col("fp").alias("__fp"), "component_id"), "named")

@@ -138,6 +138,15 @@ def test_covering_masks_cover():
         assert ((masks & difference) == 0).any()
 
 
+def test_finer_masks_lose_no_pair():
+    rng, masks = np.random.default_rng(3), simhash.covering_masks(3)
+    finer = np.array(simhash.finer_masks(masks, 3), np.int64).view(np.uint64).reshape(len(masks), 4)
+    for _ in range(2000):
+        difference = np.uint64(sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
+        for t, m in enumerate(np.array(masks, np.int64).view(np.uint64)):
+            assert m & difference or ((finer[t] & difference) == 0).any()
+
+
 def test_simhash_blocks_find_what_one_block_finds(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 2**63))
