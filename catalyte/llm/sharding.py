@@ -101,7 +101,7 @@ def shard(df: DataFrame, shards: int, *, key: str = "doc_id", vnodes: int = 64,
     keyed = df.withColumn("__ring_hash", F.xxhash64(F.lit("ring"), F.col(key)))
     keyed = keyed.withColumn("__ring_cell", F.shiftrightunsigned("__ring_hash", 64 - cell_bits).cast("int"))
     keyed = keyed.withColumn("__ring_part", F.pmod(F.xxhash64(F.lit("part"), F.col(key), *order), F.lit(PARTS)).cast("int"))
-    # cells * PARTS rows at most, whatever the input
+    # cells * PARTS rows at most, whatever the input; joined where the window has dealt the rows already
     sizes = materialize(keyed.groupBy("__ring_cell", "__ring_part").agg(F.count(F.lit(1)).alias("n")), "ring-parts")
     counts = {r["__ring_cell"]: r["n"] for r in sizes.groupBy("__ring_cell").agg(F.sum("n").alias("n")).collect()}
     total = sum(counts.values())
@@ -114,7 +114,7 @@ def shard(df: DataFrame, shards: int, *, key: str = "doc_id", vnodes: int = 64,
     starts = sizes.select(F.col("__ring_cell").alias("__ring_c"), F.col("__ring_part").alias("__ring_p"), F.coalesce(before, F.lit(0)).alias("__ring_before"))
     in_part = Window.partitionBy("__ring_cell", "__ring_part").orderBy("__ring_hash", key, *order)
     ranked = keyed.withColumn("__ring_place", F.row_number().over(in_part).cast("long") - 1).join(
-        F.broadcast(starts), (F.col("__ring_cell") == F.col("__ring_c")) & (F.col("__ring_part") == F.col("__ring_p"))
+        starts, (F.col("__ring_cell") == F.col("__ring_c")) & (F.col("__ring_part") == F.col("__ring_p"))
     )
     ranked = ranked.withColumn("__ring_rank", F.col("__ring_before") + F.col("__ring_place"))
     out = ranked.join(
