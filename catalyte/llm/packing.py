@@ -103,7 +103,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, *, key: str = "doc_id",
     and the piece's ids, or with ``digest`` their crc32 (little-endian unsigned 32-bit) in their place.
 
     Null and empty texts are the end id alone; equal keys are packed as documents of their
-    own; no rows give no rows. A sequence shorter than its tier is to be padded to it.
+    own; no rows give no rows; texts of any length are cut at sequence ends; other columns are
+    ignored, whatever their names. Step groups are balanced within a task, which packs what it
+    reads; its last group of each tier may hold fewer sequences. A sequence shorter than its tier is to be padded to it.
     """
     last, kind = ("ids_crc32", "long") if digest else ("ids", "array<int>")
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, start long, length long, {last} {kind}, doc_tokens long, sequence_id long, offset long, tier int, step_group long"

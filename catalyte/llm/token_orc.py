@@ -12,7 +12,7 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs, orc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import bounded_batches, materialize, scratch, table, text_or_empty
@@ -36,7 +36,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     """Encode ``docs`` and write them in ascending order of ``key``.
 
     The shuffle carries the texts (smaller than their ids) and Spark's own commit protocol
-    makes rewritten tasks harmless. Null keys come first; equal keys are all kept.
+    makes rewritten tasks harmless. Null keys come first; equal keys are all kept; null and empty
+    texts are the end id alone; texts of any length are encoded whole; other columns are ignored,
+    whatever their names; no rows make an empty table.
     """
     ordered = docs.select(key, text_or_empty().alias("text")).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
     (
@@ -67,7 +69,8 @@ def token_index(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataF
 
     Stripes are read in parallel, each by a task of its own. Files, their stripes and the rows
     in them are in key order, so a document's start is the ids of all earlier stripes plus a
-    running sum inside its stripe: no sort, and only one sum a stripe comes to the driver.
+    running sum inside its stripe: no sort, and only one sum a file comes to the driver. No files
+    or no rows give no rows; null and equal keys keep their rows.
     """
     files = sorted(spark.read.orc(path).inputFiles(), key=lambda f: f.rsplit("/", 1)[-1])
     kind = spark.read.orc(path).schema[key].dataType.simpleString()
@@ -100,13 +103,15 @@ def token_index(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataF
     listed = spark.createDataFrame(list(enumerate(files)), "number long, file string").repartition(max(1, min(len(files), 1000)))
     found = listed.mapInArrow(stripes, "number long, file string, stripe int").repartition(max(1, min(2 * len(files), 10_000)), "number", "stripe").mapInArrow(digest, f"{key} {kind}, number long, stripe int, own long, n_tokens long, ids_crc32 long")
     found = materialize(found, "token-index")
-    sums = found.groupBy("number", "stripe").agg(F.sum("n_tokens").alias("n")).collect()  # one row a stripe
-    before, at = [], 0
-    for r in sorted(sums):
-        before.append((r["number"], r["stripe"], at))
+    sums = found.groupBy("number", "stripe").agg(F.sum("n_tokens").alias("n"))
+    per_file, first, at = sums.groupBy("number").agg(F.sum("n").alias("n")).collect(), [], 0  # one row a file
+    for r in sorted(per_file):
+        first.append((r["number"], at))
         at += r["n"]
-    starts = spark.createDataFrame(before, "number long, stripe int, before long")
-    return found.join(F.broadcast(starts), ["number", "stripe"]).select(key, (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+    files_at = spark.createDataFrame(first, "number long, file_at long")
+    inside = F.sum("n").over(Window.partitionBy("number").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.withColumn("inside", F.coalesce(inside, F.lit(0))).join(files_at, "number").select("number", "stripe", (F.col("file_at") + F.col("inside")).alias("before"))
+    return found.join(starts, ["number", "stripe"]).select(key, (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
