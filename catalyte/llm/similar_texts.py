@@ -9,9 +9,9 @@ added and removed passages are alike. At J = 0.8 a pair meets in no table with p
 Pairs that meet are only left out if they provably are not similar enough: by the sizes of
 their sets, or by the parity bitmaps of their sets, which differ in no more bits than the sets
 in elements. All others count if the exact Jaccard similarity reaches the threshold. Large
-families cost few tests: first each bucket proposes a shortest spanning forest; then every
-pair of a bucket that the forests' verified ties leave in different components is proposed
-and tested as well.
+families cost few tests: first each block of a bucket proposes a shortest spanning forest;
+then every pair of a bucket that the forests' verified ties leave in different components is
+proposed and tested as well. Buckets whose rows are one component by then are not read again.
 """
 
 from __future__ import annotations
@@ -118,40 +118,68 @@ def cells_of(distinct: DataFrame, tables: Scratch) -> DataFrame:
     return rows.join(shared, "cell").join(distinct.select("rep", "n", "bits"), "rep")
 
 
-def proposed(cells: DataFrame, threshold: float, named: DataFrame | None = None, block: int = 1024) -> DataFrame:
-    """(u, v): pairs of rows that share a cell, by bucket and block.
+def in_blocks(placed: DataFrame, *more: str) -> DataFrame:
+    """``placed`` (cell, blocks, ``more``, n, bits, rep, c) as lists of about one block of rows; a cell deals its rows by a hash of its own."""
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("rep", "cell"), F.col("blocks")).cast("int"))
+    return dealt.groupBy("cell", *more, "block").agg(F.collect_list(F.struct("n", "bits", "rep", "c")).alias("some"))
 
-    Without ``named`` the ties of a forest; with it (node, component) all pairs of different
-    components, so that the two rounds leave no pair untested that could still connect anything.
+
+def first_ties(cells: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """(u, v): the ties of a forest in each block of each bucket.
+
+    Blocks of one bucket do not meet here: a large family shares several buckets, whose blocks
+    differ, and is tied together by them.
+    """
+    lists = in_blocks(cells.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("c", F.col("rep")))
+    return _pairs_in(lists.select("some", F.lit(0).alias("split")), threshold, tying=True)
+
+
+def other_pairs(cells: DataFrame, named: DataFrame, threshold: float, tables: Scratch, block: int = 1024) -> DataFrame:
+    """(u, v): all pairs of a bucket that verified ties, as components in ``named`` (node, component), leave apart.
+
+    With them no pair is left untested that could still connect anything. Buckets of a single
+    component are done. In the others rows of the most frequent component do not meet each
+    other, so a family that is tied together meets the few rows beside it, not itself.
     """
-    tying = named is None
-    placed = cells.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    if tying:
-        placed = placed.withColumn("c", F.col("rep"))
-    else:
-        placed = placed.join(named.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    blocks = placed.groupBy("cell", "blocks", "block").agg(F.collect_list(F.struct("n", "bits", "rep", "c")).alias("some"))  # about ``block`` rows at most
-    one = blocks.filter("blocks > 1").select("cell", F.col("block").alias("i"), F.col("some").alias("x"))
-    two = blocks.filter("blocks > 1").select("cell", F.col("block").alias("j"), F.col("some").alias("y"))
-    pairs = blocks.filter("blocks = 1").select("some").union(one.join(two, "cell").filter("i < j").select(F.concat("x", "y").alias("some")))
+    component = F.coalesce("component", "rep")
+    names = named.select(F.col("node").alias("rep"), "component")
+    counts = cells.select("cell", "rep").join(names, "rep", "left").groupBy("cell", component.alias("c")).agg(F.count(F.lit(1)).alias("k"))
+    tops = counts.groupBy("cell").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).filter(F.col("all") > F.col("top.k"))
+    mixed = tables.write(tops.select("cell", F.col("top.k").alias("k"), F.col("top.c").alias("top")), "mixed")
+    rows = cells.join(mixed, "cell").join(names, "rep", "left").withColumn("c", component)
+    rows = rows.withColumn("family", (F.col("m") > block) & (F.col("c") == F.col("top")))
+    met = F.when(F.col("m") <= block, F.lit(1)).when(F.col("family"), F.ceil(F.col("k") / block)).otherwise(F.ceil((F.col("m") - F.col("k")) / block))
+    # written: read three times, and freshly dealt by the join, which adaptive execution can split
+    lists = tables.write(in_blocks(rows.withColumn("blocks", met.cast("int")), "family"), "lists")
+    rest = lists.filter("not family").select("cell", F.col("block").alias("i"), F.col("some").alias("x"))
+    second = lists.select("cell", "family", "block", F.col("some").alias("y"))
+    both = rest.join(second, "cell").filter("family or i < block").select(F.concat("x", "y").alias("some"), F.size("x").alias("split"))
+    return _pairs_in(rest.select(F.col("x").alias("some"), F.lit(0).alias("split")).union(both), threshold, tying=False)
+
+
+def _pairs_in(lists: DataFrame, threshold: float, *, tying: bool) -> DataFrame:
+    """(u, v) in each list of ``lists`` (some, split): a forest's ties, or all pairs of different components, from ``split`` on only across it."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(0)
-            ends = lists.offsets.to_pylist()
+            ends, splits = lists.offsets.to_pylist(), batch.column(1).to_pylist()
             n, ids, own = (lists.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3))
             bits = np.frombuffer(b"".join(lists.values.field(1).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            for s, e in zip(ends, ends[1:]):
+            for s, e, split in zip(ends, ends[1:], splits):
                 if not tying and (own[s:e] == own[s]).all():
                     continue
                 far = distances(n[s:e], bits[s:e], threshold)
                 if tying:
                     at = np.array(nearest_forest(far), np.int64).reshape(-1, 2).T
                 else:
-                    at = np.nonzero(np.triu((far < FAR) & (own[s:e][:, None] != own[s:e]), 1))
+                    apart = (far < FAR) & (own[s:e][:, None] != own[s:e])
+                    if split:
+                        apart[split:] = apart[:, :split] = False
+                    at = np.nonzero(np.triu(apart, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][k]) for k in at], names=["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return lists.mapInArrow(run, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def links(docs: DataFrame, *, key: str = "uid", width: int = 5, threshold: float = 0.8, block: int = 1024) -> DataFrame:
@@ -170,11 +198,11 @@ def links(docs: DataFrame, *, key: str = "uid", width: int = 5, threshold: float
     tables.drop("sketches")
     cells = tables.write(cells_of(distinct, tables), "cells")
     tables.drop("shared", "distinct")
-    first = tables.write(proposed(cells, threshold, block=block), "first")
+    first = tables.write(first_ties(cells, threshold, block), "first")
     near = verified(docs, first, key, width, threshold, tables, "near")
     # what the forest's ties left apart is tested pair by pair
-    rest = tables.write(proposed(cells, threshold, components(near), block).join(first, ["u", "v"], "left_anti"), "rest")
-    tables.drop("cells", "first")
+    rest = tables.write(other_pairs(cells, components(near), threshold, tables, block).join(first, ["u", "v"], "left_anti"), "rest")
+    tables.drop("cells", "first", "mixed", "lists")
     more = verified(docs, rest, key, width, threshold, tables, "more")
     tables.drop("rest")
     out = tables.write(near.union(more).union(same), "links")

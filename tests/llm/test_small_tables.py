@@ -392,7 +392,19 @@ def test_similar_texts_tests_what_a_failed_tie_leaves(spark):
     true = {frozenset((u, v)) for u in sets for v in sets if u < v and len(sets[u] & sets[v]) >= 0.8 * len(sets[u] | sets[v])}
     assert true == {frozenset((k, 100 + k)) for k in range(8)}
     df = spark.createDataFrame(rows, "uid long, text string")
-    assert {frozenset((r.u, r.v)) for r in similar_texts.links(df).collect()} == true
+    for block in (1024, 3):
+        assert {frozenset((r.u, r.v)) for r in similar_texts.links(df, block=block).collect()} == true
+
+
+def test_similar_texts_leaves_a_tied_family_alone(spark):
+    """In a second round a family meets the rows beside it only: every pair of them, no pair of its own."""
+    cells = [(7, 12, k, 100, bytes(64)) for k in range(12)]  # cell, m, rep, n, bits: all alike
+    cells += [(8, 4, k, 100, bytes(64)) for k in range(4)]
+    df = spark.createDataFrame(cells, "cell long, m long, rep long, n int, bits binary")
+    named = spark.createDataFrame([(k, 0) for k in range(9)], "node long, component long")
+    for block in (1024, 4, 2):
+        got = {(r.v, r.u) for r in similar_texts.other_pairs(df, named, 0.8, Scratch(spark, "test"), block).collect()}
+        assert got == {(u, v) for v in range(9, 12) for u in range(v)}
 
 
 @pytest.mark.parametrize("kind", ["appended", "truncated", "scattered"])
