@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, quality, sharding, simhash, suffix, token_orc, topk, warc
+from . import chat, decontaminate, divergence, fim, html_text, packing, quality, sharding, simhash, suffix, token_orc, topk, warc
 
-MODULES = (topk, suffix, token_orc, packing, chat, warc, quality, decontaminate, sharding, simhash)
+MODULES = (topk, suffix, token_orc, packing, chat, warc, quality, decontaminate, sharding, simhash, fim, html_text, divergence)
 
 
 def queries() -> dict:
