@@ -10,7 +10,7 @@ zero, so the other pairs need no more than each source's histogram of counts, an
 left of the V terms has the one value of two zero counts. Ranks of terms are over the terms
 themselves.
 
-Words are counted in the row (a sorted list marks each word's first place), so that only
+Words are sorted in the row, where each word's first place counts for its document, so that only
 sums by (lang, source, term) are shuffled, partially summed; no key of these holds a hot
 source's rows together.
 """
@@ -27,18 +27,17 @@ BREAKS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def terms_of(text: Column) -> Column:
-    """Runs of ASCII letters and non-ASCII characters, A-Z in lower case, in the order of the text."""
-    lowered = F.transform(F.split(text, BREAKS, -1), lambda w: F.when(F.length(w) == F.octet_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER)))
-    return F.array_remove(lowered, "")
+def words_of(text: Column) -> Column:
+    """Runs of ASCII letters and non-ASCII characters, A-Z in lower case, in the order of the text; empty strings stand at breaks at its ends."""
+    return F.transform(F.split(text, BREAKS, -1), lambda w: F.when(F.length(w) == F.octet_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER)))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, df): occurrences and documents of each term in each source."""
-    rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.array_sort(terms_of(text_or_empty())).alias("all"))
-    marked = F.transform("all", lambda w, k: F.struct(w.alias("term"), F.when((k > 0) & (w == F.get("all", k - 1)), 0).otherwise(1).alias("fresh")))
-    each = rows.select("lang", "source", F.inline(marked))
-    return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("fresh").alias("df"))
+    rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.array_sort(words_of(text_or_empty())).alias("all"))
+    before = F.concat(F.array(F.lit("")), F.slice("all", F.lit(1), F.size("all") - 1))
+    each = rows.select("lang", "source", F.inline(F.arrays_zip("all", before))).toDF("lang", "source", "term", "last").filter("term <> ''")
+    return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("term") != F.col("last")).alias("df"))
 
 
 def share(count: Column, total: Column, kept: Column, scale: int) -> Column:
