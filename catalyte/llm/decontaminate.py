@@ -143,9 +143,13 @@ def contained(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item_ke
     tables.drop("sketches")
     passes = index.select("lane", "turn").distinct().collect()  # one row a pass
     sliced = index.filter("slices > 1").limit(1).count() > 0
-    for lane, turn in sorted(tuple(p) for p in passes):
+    for k, (lane, turn) in enumerate(sorted(tuple(p) for p in passes)):
         some = index.filter((F.col("lane") == lane) & (F.col("turn") == turn)).drop("lane", "turn").toArrow()  # less than 2 * ``part`` shingles
-        found = found.union(slim.mapInArrow(_probe(spark.sparkContext.broadcast(some), schema), schema))
+        shared = spark.sparkContext.broadcast(some)
+        del some
+        found = found.union(tables.write(slim.mapInArrow(_probe(shared, schema), schema), f"found-{k}"))
+        shared.destroy()  # its pass is written: one pass's shingles are held at a time, here and by the executors
+    tables.drop("index")
     if sliced:
         found = found.filter("slices = 1").select("__key", "item", "n_shingles", "n_found").union(_added_up(found.filter("slices > 1")))
     out = found.select(F.col("__key").alias(key), "item", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))

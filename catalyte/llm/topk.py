@@ -121,16 +121,16 @@ def top_k(
     ``is_query`` (a condition on ``id``) holds.
 
     Null vectors, vectors with null or non-finite components and null ids take no part.
-    Missing trailing components count as zero; exact repeats of a row count once. Several
-    vectors of one id are candidates each, and as queries share one ranking, in which a
-    candidate may stand with several scores; none of them is compared with another. Ties go
+    Missing trailing components count as zero. Every row is a candidate: repeats of a row and
+    several vectors of one id stand in a ranking as often as they occur. Query rows of one id
+    share one ranking, in which each of them scores every candidate; none of them is compared with another. Ties go
     to the smaller id. Components and scores are exact; it is an error if one that counts is
     beyond 64 bits. Other columns are ignored, whatever their names; no rows give no rows.
     ``sample`` rows (the first by hash of the id) are all that comes to the driver.
     """
     spark = vectors.sparkSession
     tables = Scratch(spark, "topk")
-    rows = tables.write(quantized(vectors, key, column, scale).dropDuplicates(["id", "vec"]), "vectors")
+    rows = tables.write(quantized(vectors, key, column, scale), "vectors")
     n, dim, least, most = rows.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.min(F.array_min("vec")), F.max(F.array_max("vec"))).first()
     dim = max(dim or 0, 1)
     kind = "<i4" if max(most or 0, -(least or 0)) < 1 << 31 else "<i8"

@@ -5,8 +5,10 @@ import json
 import math
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -220,7 +222,7 @@ def test_anchors_do_not_depend_on_parts(monkeypatch):
 
 
 def brute_topk(rows, k):
-    whole = sorted({(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows})
+    whole = sorted((i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows)
     out = {}
     for q, a in whole:
         if q % 100 == 0:
@@ -245,6 +247,21 @@ def test_topk(spark):
     assert topk.top_k(df, F.col("id") < 0).count() == 0
 
 
+def test_topk_counts_repeated_rows_as_its_sql(spark):
+    """Repeated rows and ids, as candidates and as queries, a hot one among them."""
+    rows = [(0, [1.0, 0.0]), (5, [0.5, 0.0]), (5, [0.5, 0.0]), (6, [0.5, 0.0]), (7, [0.25, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (100, [1.0, 1.0]), (9, [0.1, 0.9]), (9, [0.9, 0.1])]
+    rows += [(8, [0.3, 0.3])] * 400
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    few = topk.top_k(df.filter("vec_id < 8"), F.col("id") % 100 == 0, k=3)
+    assert [i for i, _ in ranked(few)[0]] == [5, 5, 6]
+    for k in (3, 10, 50):
+        assert ranked(topk.top_k(df, F.col("id") % 100 == 0, k=k, block=8, segment=64, group=2, sample=12, pivots=2)) == brute_topk(rows, k)
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [i for i, _ in rows], "embedding": [v for _, v in rows]}))
+    got = topk.top_k(df, F.col("id") % 100 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.sql(topk.ORACLE_SQL["op1_topk"]).fetchall())
+
+
 def test_topk_of_large_components_is_exact(spark):
     rows = [(0, [1.0, 2.0]), (1, [200000.0, 1.0]), (2, [300000.0, 0.0]), (3, [200000.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
