@@ -10,6 +10,17 @@ from catalyte.llm._shared import bounded_batches, materialize, table
 from catalyte.llm.components import components
 
 
+def _private(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with every column but ``doc_id`` and ``text`` under a name of ours, which no operator uses, and those names."""
+    names = {n: f"__own_{k}" for k, n in enumerate(docs.columns) if n not in ("doc_id", "text")}
+    return docs.select(*(F.col(f"`{n}`").alias(names.get(n, n)) for n in docs.columns)), names
+
+
+def _given_back(kept: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The rows of ``kept`` with the columns of ``docs``, in their order."""
+    return kept.select(*(F.col(names.get(n, n)).alias(n) for n in docs.columns))
+
+
 def _without(docs: DataFrame, gone: DataFrame, *, keep_uid: bool = False) -> DataFrame:
     """``docs`` (with ``uid``, never null) but for the ids in ``gone`` (uid)."""
     kept = docs.join(gone.select("uid").distinct(), "uid", "left_anti")
@@ -17,10 +28,14 @@ def _without(docs: DataFrame, gone: DataFrame, *, keep_uid: bool = False) -> Dat
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; null and empty texts are judged like any others, equal rows alike."""
+    """Documents that the quality classifier rejects go; null and empty texts are judged like any others, equal rows alike.
+
+    Other columns pass unchanged, whatever their names, here as in all stages but the last.
+    """
     bounded_batches(spark)
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return found.filter("predicted = 1").select(*docs.columns)
+    own, names = _private(docs)
+    found = quality.classify(own, table(spark, sf_dir, "labels"))
+    return _given_back(found.filter("predicted = 1"), docs, names)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +47,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts of any length are compared whole; no rows give no rows.
     """
     bounded_batches(spark)
-    named = suffix.with_uid(docs, "doc_id")
+    own, names = _private(docs)
+    named = suffix.with_uid(own, "doc_id")
     close = simhash.near_classes(named, key="uid").filter("uid <> component_id").select(F.col("uid").alias("u"), F.col("component_id").alias("v"))
     groups = components(close.union(similar_texts.links(named, key="uid")))
     kept = _without(named, groups.select(F.col("node").alias("uid")), keep_uid=True)
     if suffix.has_clash(docs, "doc_id"):  # equal rows share their uid
         kept = kept.dropDuplicates(["uid"])
-    return kept.select(*docs.columns)
+    return _given_back(kept, docs, names)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,21 +63,22 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts become empty; a text may be empty afterwards; ``n_chars`` is counted anew where bytes went.
     """
     bounded_batches(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = suffix.cut_repeats(docs, carry=others)
+    own, names = _private(docs)
+    cut = suffix.cut_repeats(own, carry=tuple(names.values()))
     changed = F.col("n_spans") > 0
     out = cut.withColumn("text", F.col("kept_text"))
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    if n_chars := names.get("n_chars"):
+        out = out.withColumn(n_chars, F.when(changed, F.length("text")).otherwise(F.col(n_chars)).cast(docs.schema["n_chars"].dataType))
+    return _given_back(out, docs, names)
 
 
 def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go; null, empty and wordless texts contain none, nor do null and empty items match."""
     bounded_batches(spark)
-    named = suffix.with_uid(docs, "doc_id")
+    own, names = _private(docs)
+    named = suffix.with_uid(own, "doc_id")
     found = decontaminate.contained(named, table(spark, sf_dir, "benchmark"), key="uid")
-    return _without(named, found).select(*docs.columns)
+    return _given_back(_without(named, found), docs, names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
