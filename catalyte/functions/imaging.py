@@ -13,12 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .colors import nearest_colour, vein_colour
+from .shapes import Shape, closed, distances, opened, ridge, shapes, smoothed
 
 # --- fixed values: margins, thresholds, weights ----------------------------------------
 MARGIN, INNER = 0.15, 0.10
 GLARE = {"value": 0.92, "saturation": 0.08}
 REFLECTION = {"offset": 12.0, "saturation": 0.12, "variance_pct": 70}
 VEIN = {"delta_e": 10.0, "l_weight": 0.35, "edge_pct": 85, "chroma": 8.0}
+PATTERN = {"area": 30, "long": 2.5, "round": 0.5, "compact": 2.0, "oblong": 1.5, "least": 50}
+#: L* in these distances is on a scale of 255, as a* and b* are in steps of one.
+L_SCALE = 2.55
 EXOTIC = {"second": 0.30, "delta_ab": 10.0, "cells": 6}
 NEUTRAL_CHROMA, NEUTRAL_LEAST, NEUTRAL_AT = 8.0, 4.0, 70.0
 #: Named colours in L*a*b*, and those a colour of low chroma may get.
@@ -39,7 +43,7 @@ NEUTRALS = ["white", "grey", "black", "beige"]
 HUES = {"gold": (25, 90), "green": (90, 165), "grey": (165, 250), "pink": (250, 385)}
 MEASURES = [
     "blur_score", "exposure_score", "glare_ratio", "reflection_ratio", "stone_area_ratio", "median_l", "median_a", "median_b",
-    "vein_coverage", "spot_coverage", "spot_count", "low_freq_energy", "dominant_angle", "coherence", "entropy", "rel_width", "spot_cv",
+    "vein_coverage", "spot_coverage", "spot_count", "low_freq_energy", "dominant_angle", "coherence", "entropy", "rel_width", "vein_width", "spot_cv", "base_l", "base_a", "base_b",
     "pixels", "vein_pixels", "hue_gold", "hue_green", "hue_grey", "hue_pink", "neutral_pixels", "neutral_l", "second_share", "delta_ab", "second_cells",
 ]
 
@@ -66,40 +70,21 @@ def gradients(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smooth_y[:, 2:] - smooth_y[:, :-2], smooth_x[2:] - smooth_x[:-2]
 
 
-def blobs(mask: np.ndarray) -> list[tuple[int, float, int]]:
-    """(area, bounding-box aspect, extent) of each 4-connected region, by merging row runs."""
-    parent: list[int] = []
-    stats: list[list[int]] = []
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    above: list[tuple[int, int, int]] = []
-    for y, row in enumerate(mask):
-        steps = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
-        here = []
-        for a, b in zip(steps[::2].tolist(), steps[1::2].tolist()):
-            me = len(parent)
-            parent.append(me)
-            stats.append([b - a, a, b, y, y + 1])
-            for pa_, pb, k in above:
-                if pa_ < b and a < pb:
-                    r, m = root(k), root(me)
-                    if r != m:
-                        x, z = stats[r], stats[m]
-                        stats[r] = [x[0] + z[0], min(x[1], z[1]), max(x[2], z[2]), min(x[3], z[3]), max(x[4], z[4])]
-                        parent[m] = r
-            here.append((a, b, me))
-        above = here
-    out = []
-    for k, (area, x1, x2, y1, y2) in enumerate(stats):
-        if parent[k] == k:
-            w, h = x2 - x1, y2 - y1
-            out.append((area, max(w, h) / min(w, h), w * h))
-    return out
+def vein_or_spot(shape: Shape) -> str:
+    """Long shapes are veins, round or compact ones spots."""
+    if shape.aspect > PATTERN["long"]:
+        return "vein"
+    if shape.circularity > PATTERN["round"] and shape.aspect < PATTERN["compact"]:
+        return "spot"
+    return "vein" if shape.aspect > PATTERN["oblong"] else "spot"
+
+
+def patterns(candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The masks of veins and of spots: gaps closed, specks opened away, then each outline by its shape, filled."""
+    found = {"vein": np.zeros(candidates.shape, bool), "spot": np.zeros(candidates.shape, bool)}
+    for shape in shapes(opened(closed(candidates)), PATTERN["area"]):
+        found[vein_or_spot(shape)][shape.rows, shape.columns] |= shape.filled
+    return found["vein"], found["spot"]
 
 
 def two_grounds(lab: np.ndarray, where: np.ndarray, most: int = 5000, rounds: int = 20) -> tuple[float, float, float]:
@@ -127,7 +112,11 @@ def two_grounds(lab: np.ndarray, where: np.ndarray, most: int = 5000, rounds: in
 
 
 def measure(rgb: np.ndarray) -> dict[str, float]:
-    """All measurements of one image; an image too small to have an inside gives zeros."""
+    """All measurements of one image; an image too small to have an inside gives zeros.
+
+    ``rel_width`` is twice the median distance of vein pixels from their edge, as a share of the
+    width; ``vein_width`` is the width in pixels along the middle lines of the veins.
+    """
     h, w = rgb.shape[:2]
     my, mx = int(h * MARGIN), int(w * MARGIN)
     rgb_in = rgb[my : h - my, mx : w - mx]
@@ -146,20 +135,25 @@ def measure(rgb: np.ndarray) -> dict[str, float]:
     reflection = (lab[..., 0] > middle + REFLECTION["offset"] * 100 / 255) & (saturation < REFLECTION["saturation"]) & (variance > np.percentile(variance, REFLECTION["variance_pct"])) & ~glare
     clean = inner & ~glare & ~reflection
     ground = np.median(lab[clean], 0) if clean.sum() >= 50 else np.median(lab.reshape(-1, 3), 0)
-    away = np.sqrt(VEIN["l_weight"] * (lab[..., 0] - ground[0]) ** 2 + (lab[..., 1] - ground[1]) ** 2 + (lab[..., 2] - ground[2]) ** 2)
+    away = np.sqrt(VEIN["l_weight"] * (L_SCALE * (lab[..., 0] - ground[0])) ** 2 + (lab[..., 1] - ground[1]) ** 2 + (lab[..., 2] - ground[2]) ** 2)
     gx, gy = gradients(gray)
     edges = np.hypot(gx, gy)
     marks = (away > VEIN["delta_e"]) & (edges > np.percentile(edges, VEIN["edge_pct"])) & clean
-    found = [b for b in blobs(marks) if b[0] >= 30]
-    long_ = [b for b in found if b[1] > 2.5 or b[1] > 1.5 and b[0] < 0.5 * b[2]]
-    angles = (np.degrees(np.arctan2(gy, gx)) % 180)[marks]
-    bins = np.histogram(angles, 18, (0, 180))[0].astype(float)
-    share = bins / bins.sum() if bins.sum() else np.zeros(18)
-    cells = [c.mean() for row in np.array_split(marks, 4, 0) for c in np.array_split(row, 4, 1)]
+    veins, spots = patterns(marks)
+    seen = veins & ~glare & ~reflection
+    bins = np.histogram((np.degrees(np.arctan2(gy, gx)) % 180)[seen], 18, (0, 180))[0].astype(float)
+    share = bins / bins.sum() if bins.sum() else bins
+    depth = distances(seen)
+    middle_line = depth[ridge(depth)]
+    plain_spots = spots & ~glare & ~reflection
+    ch, cw = gray.shape[0] // 4, gray.shape[1] // 4
+    cells = [plain_spots[i * ch : (i + 1) * ch, j * cw : (j + 1) * cw].mean() for i in range(4) for j in range(4)] if ch * cw > 100 else [0.0]
+    back = clean & ~veins & ~spots
+    base = np.median(lab[back if back.sum() >= PATTERN["least"] else clean], 0) if clean.any() else ground
     chroma, hue = np.hypot(lab[..., 1], lab[..., 2])[marks], np.degrees(np.arctan2(lab[..., 2], lab[..., 1]))[marks] % 360
     coloured = chroma >= VEIN["chroma"]
     counts = {n: float((coloured & ((hue >= a) & (hue < b) | (hue + 360 < b))).sum()) for n, (a, b) in HUES.items()}
-    second, apart, spread = two_grounds(lab, clean & ~marks)
+    second, apart, spread = two_grounds(lab, back)
     laplace = np.pad(gray, 1, mode="edge")
     laplace = laplace[:-2, 1:-1] + laplace[2:, 1:-1] + laplace[1:-1, :-2] + laplace[1:-1, 2:] - 4 * gray
     area = float(gray.size)
@@ -172,15 +166,19 @@ def measure(rgb: np.ndarray) -> dict[str, float]:
         "median_l": ground[0],
         "median_a": ground[1],
         "median_b": ground[2],
-        "vein_coverage": sum(b[0] for b in long_) / area,
-        "spot_coverage": sum(b[0] for b in found if b not in long_) / area,
-        "spot_count": float(sum(b not in long_ for b in found)),
-        "low_freq_energy": float(np.var(box_mean(gray, 51)[clean])) / 1000 if clean.any() else 0.0,
-        "dominant_angle": (share.argmax() + 0.5) * 10.0,
+        "vein_coverage": veins.sum() / area,
+        "spot_coverage": spots.sum() / area,
+        "spot_count": float(len(shapes(spots))),
+        "low_freq_energy": float(np.var(smoothed(gray, 51)[clean])) / 1000 if clean.any() else 0.0,
+        "dominant_angle": (share.argmax() + 0.5) * 10.0 if bins.sum() else 0.0,
         "coherence": float(share.max()),
         "entropy": float(-(share[share > 0] * np.log2(share[share > 0])).sum()) if bins.sum() else 4.0,
-        "rel_width": float(np.median([b[0] / max(np.sqrt(b[2]), 1) for b in long_])) / w if long_ else 0.0,
+        "rel_width": float(np.median(depth[seen])) * 2 / gray.shape[1] if seen.any() else 0.0,
+        "vein_width": float(np.median(middle_line)) * 2 - 1 if len(middle_line) else 0.0,
         "spot_cv": float(np.std(cells) / (np.mean(cells) + 1e-6)),
+        "base_l": base[0],
+        "base_a": base[1],
+        "base_b": base[2],
         "pixels": float(h * w),
         "vein_pixels": float(marks.sum()),
         **{f"hue_{n}": c for n, c in counts.items()},
@@ -255,8 +253,8 @@ def spot_distribution() -> Column:
 
 
 def base_colour() -> Column:
-    """struct(name, confidence) of the ground; colours of low chroma get neutral names only."""
-    l, a, b = F.col("median_l"), F.col("median_a"), F.col("median_b")
+    """struct(name, confidence) of the ground beside veins and spots; colours of low chroma get neutral names only."""
+    l, a, b = F.col("base_l"), F.col("base_a"), F.col("base_b")
     faint = F.sqrt(a * a + b * b) < F.greatest(F.lit(NEUTRAL_LEAST), NEUTRAL_CHROMA * l / NEUTRAL_AT)
     named = [nearest_colour(l, a, b, [(n, *c) for n, c in CENTRES.items() if n in only]) for only in (NEUTRALS, list(CENTRES))]
     return F.when(faint, named[0]).otherwise(named[1])

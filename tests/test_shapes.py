@@ -1,0 +1,135 @@
+"""Morphology, regions, borders and distances against hand-made masks and brute force."""
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from catalyte.functions import imaging
+from catalyte.functions.shapes import border, closed, dilated, distances, enclosed_area, eroded, filled, opened, path_length, regions, ridge, shapes, smoothed
+
+
+def masks(most=14):
+    return st.tuples(st.integers(1, most), st.integers(1, most), st.integers(0, 2**32 - 1), st.floats(0.1, 0.9)).map(lambda x: np.random.default_rng(x[2]).random((x[0], x[1])) < x[3])
+
+
+def disc(h, w, cy, cx, r):
+    y, x = np.mgrid[:h, :w]
+    return (y - cy) ** 2 + (x - cx) ** 2 <= r * r
+
+
+@settings(max_examples=150, deadline=None)
+@given(masks())
+def test_morphology_equals_windows(mask):
+    def window(y, x, outside):
+        return [mask[j, i] if 0 <= j < mask.shape[0] and 0 <= i < mask.shape[1] else outside for j in (y - 1, y, y + 1) for i in (x - 1, x, x + 1)]
+
+    wide, narrow = dilated(mask), eroded(mask)
+    for y, x in np.ndindex(mask.shape):
+        assert wide[y, x] == any(window(y, x, False)) and narrow[y, x] == all(window(y, x, True))
+    assert (closed(mask) >= mask).all() and (opened(mask) <= mask).all()
+    assert (closed(closed(mask)) == closed(mask)).all() and (opened(opened(mask)) == opened(mask)).all()
+
+
+@settings(max_examples=150, deadline=None)
+@given(masks(), st.booleans())
+def test_regions_equal_flooding(mask, diagonal):
+    labels, count = regions(mask, diagonal=diagonal)
+    want, n = np.zeros(mask.shape, int), 0
+    near = [(j, i) for j in (-1, 0, 1) for i in (-1, 0, 1) if (j or i) and (diagonal or not j * i)]
+    for y, x in np.ndindex(mask.shape):
+        if mask[y, x] and not want[y, x]:
+            n += 1
+            todo = [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not want[a, b]:
+                    want[a, b] = n
+                    todo += [(a + j, b + i) for j, i in near]
+    assert count == n and (labels == want).all()
+
+
+@settings(max_examples=200, deadline=None)
+@given(masks())
+def test_distances_equal_brute_force(mask):
+    got, away = distances(mask), np.argwhere(~mask)
+    for y, x in np.ndindex(mask.shape):
+        want = np.sqrt(((away - (y, x)) ** 2).sum(1).min()) if len(away) else sum(mask.shape)
+        assert got[y, x] == pytest.approx(want)
+
+
+@settings(max_examples=150, deadline=None)
+@given(masks(10))
+def test_borders_hold_their_regions(mask):
+    """A border is made of pixels of its region that touch the outside, steps to neighbours, and encloses no more than the filled region."""
+    labels, count = regions(mask)
+    for k in range(1, count + 1):
+        own = labels == k
+        path, whole = border(own), filled(own)
+        assert own[tuple(path.T)].all()
+        if len(path) > 1:
+            assert np.abs(np.roll(path, -1, 0) - path).max() == 1
+        p = np.pad(whole, 1)
+        inner = p[1:-1, 1:-1] & p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
+        assert {tuple(q) for q in path} == {tuple(q) for q in np.argwhere(own & ~inner)}
+        if len({tuple(q) for q in path}) == len(path) > 2:  # no pixel is passed twice: Pick's theorem gives the area
+            assert enclosed_area(path) == pytest.approx(whole.sum() - len(path) / 2 - 1)
+
+
+def test_hand_made_shapes():
+    bar = np.zeros((40, 60), bool)
+    bar[10:15, 5:45] = True
+    (s,) = shapes(bar)
+    assert (s.area, s.perimeter, s.aspect) == (4 * 39, 2 * (4 + 39), 8.0) and s.circularity < 0.3
+    (s,) = shapes(disc(80, 80, 40, 40, 20))
+    assert s.area == pytest.approx(np.pi * 20**2, rel=0.05) and s.aspect == 1 and s.circularity > 0.85
+    ring = disc(80, 80, 40, 40, 20) & ~disc(80, 80, 40, 40, 12)
+    inner = ring | disc(80, 80, 40, 40, 4)  # a spot inside the ring is within its outline
+    for mask in (ring, inner):
+        (r,) = shapes(mask)
+        assert r.area == s.area and r.filled.sum() == disc(80, 80, 40, 40, 20).sum()
+    assert path_length(border(np.eye(5, dtype=bool))) == pytest.approx(8 * np.sqrt(2)) and enclosed_area(border(np.eye(5, dtype=bool))) == 0
+    assert len(border(np.ones((1, 1), bool))) == 1 and len(border(np.zeros((3, 3), bool))) == 0
+    assert shapes(np.zeros((5, 5), bool)) == [] and len(shapes(bar, least=157)) == 0
+
+
+def test_veins_and_spots():
+    """A vein broken by gaps of two pixels is one vein; a disc is a spot; specks go; an oblong that is not round is a vein."""
+    mask = np.zeros((120, 200), bool)
+    mask[20:24, 10:190] = True
+    mask[20:24, 60:62] = mask[20:24, 120:122] = False
+    mask |= disc(120, 200, 70, 50, 9)
+    mask[100, 100] = mask[101, 150:152] = True
+    mask[60:100, 150:153] = mask[97:100, 128:153] = True  # an angle, 40 by 25
+    veins, spots = imaging.patterns(mask)
+    assert veins[20:24, 10:190].all() and not veins[30:56].any() and (spots == opened(disc(120, 200, 70, 50, 9))).all()
+    assert not (veins | spots)[100:102, 98:120].any() and veins[70, 151] and veins.sum() == 4 * 180 + mask[60:100, 128:153].sum()
+
+
+@pytest.mark.parametrize("width", [3, 4, 7, 10, 15])
+@pytest.mark.parametrize("slope", [0.0, 0.4, 1.0])
+def test_width_along_a_vein(width, slope):
+    y, x = np.mgrid[:160, :200]
+    across = np.abs((y - 80) - slope * (x - 100)) / np.hypot(1, slope)
+    depth = distances(across < width / 2)
+    assert np.median(depth[ridge(depth)]) * 2 - 1 == pytest.approx(width, abs=1.01)
+
+
+def test_smoothed():
+    x = np.zeros((101, 101))
+    x[50, 50] = 1
+    got = smoothed(x, 51)
+    assert got.sum() == pytest.approx(1) and got[50, 50] == got.max() and got[50, 58] / got[50, 50] == pytest.approx(np.exp(-0.5), rel=1e-6)
+    assert smoothed(np.full((7, 5), 3.0), 51) == pytest.approx(np.full((7, 5), 3.0))
+
+
+def test_measured_patterns():
+    """An image with soft dark spots is spotty, one with soft dark veins veiny; their ground's colour is read beside them."""
+    y, x = np.mgrid[:300, :400]
+    spot = np.min([np.hypot(y - cy, x - cx) for cy in range(70, 240, 30) for cx in range(90, 320, 30)], 0)
+    vein = np.min([np.abs(y - at) for at in (110, 190)], 0)
+    a, b = (imaging.measure((200 - 150 * np.clip(1 - away / 8, 0, 1)[..., None] * [1, 1, 0.9]).astype(np.uint8)) for away in (spot, vein))
+    assert a["spot_count"] > 20 and a["spot_coverage"] > 0.02 and a["vein_coverage"] < 0.2 * a["spot_coverage"]
+    assert b["vein_coverage"] > 0.02 and b["spot_coverage"] == 0 and 0 < b["rel_width"] < 0.06 and 5 <= b["vein_width"] <= 15
+    for m in (a, b):
+        assert m["base_l"] == pytest.approx(imaging.lab_of(np.array([[[200, 200, 200]]], np.uint8))[0, 0, 0], abs=2)
