@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import colors, fuzzy, text
 from .operators import incremental, ingest, ops, search, similar, tags, vectors, votes
+from .sources.scratch import scratch
 from .streaming import events as stream
+from .streaming import queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -909,6 +911,24 @@ def queue_reset(spark, d):
     return a.join(b, "task")
 
 
+_LOGGED = f"""(SELECT task, CASE WHEN ok THEN 'done' ELSE 'failed' END AS kind, ts FROM {ATT}
+    UNION ALL SELECT {ATTEMPTS['task']}, 'claim', ts + INTERVAL 30 SECONDS FROM events WHERE event_type = 'view')"""
+
+
+@query(f"""WITH l AS {_LOGGED}, t AS (SELECT task, bool_or(kind = 'done') AS done, count(CASE WHEN kind = 'failed' THEN 1 END) AS n_failed,
+        max(CASE WHEN kind <> 'claim' THEN ts END) AS last_at, max(CASE WHEN kind = 'claim' THEN ts END) AS claimed_at FROM l GROUP BY 1), w AS (SELECT max(ts) - INTERVAL 10 MINUTES AS seen FROM l)
+    SELECT task, CASE WHEN done THEN 'DONE' WHEN n_failed >= 3 THEN 'FAILED' WHEN claimed_at > last_at AND claimed_at + INTERVAL 5 MINUTES > seen THEN 'PROCESSING' ELSE 'PENDING' END AS status, n_failed, last_at, claimed_at FROM t, w""")
+def queue_replay(spark, d):
+    """STM1-STM3, DT2: all attempts, and claims half a minute after views, as a stream through the queue's state machine."""
+    kept = read(spark, d, "events").schema
+    log = spark.readStream.schema(kept).option("pathGlobFilter", "events.parquet").parquet(d)
+    outcome = F.struct(F.when(F.expr(ATTEMPTS["ok"]), "done").otherwise("failed").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    claim = F.struct(F.lit("claim").alias("kind"), (F.col("ts") + F.expr("INTERVAL 30 SECONDS")).cast("timestamp").alias("ts"))
+    both = F.when(F.col("event_type") == "view", F.array(outcome, claim)).otherwise(F.array(outcome))
+    found = queue.follow(log.select(F.expr(ATTEMPTS["task"]).alias("task"), F.inline(both)), "task", scratch(spark, "queue-replay"))
+    return found.withColumns({c: F.col(c).cast(kept["ts"].dataType) for c in ("last_at", "claimed_at")})
+
+
 _JOBS = {"job_id": "event_id", "kind": "event_type", "status": "CASE CAST(floor(value) AS BIGINT) % 3 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RUNNING' ELSE 'DONE' END", "total": "user_id", "done": "CAST(0 AS BIGINT)"}
 
 
