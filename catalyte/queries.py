@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import colors, fuzzy, text
 from .operators import incremental, ingest, ops, search, similar, tags, vectors, votes
+from .sources import keyed
 from .sources.scratch import scratch
 from .streaming import events as stream
 from .streaming import queue
@@ -862,6 +863,17 @@ def upsert_last_writer(spark, d):
     return ops.last_writer(read(spark, d, "part").select("p_brand", "p_partkey", "p_name", "p_size"), ["p_brand"], ["p_size", "p_partkey"]).drop("p_size")
 
 
+@query(f"""SELECT entity, arg_max(label, (shipped, image, vendor, price)) AS label, arg_max(vendor, (shipped, image, vendor, price)) AS vendor, max(shipped) AS shipped,
+    arg_min(label, (shipped, image, vendor, price)) AS first_label, min(shipped) AS first_at FROM {IMG} GROUP BY 1""")
+def bucketed_upsert(spark, d):
+    """SNK3, SNK4 as storage: line items up to a day are put by part, then those after it; the first label and time stay."""
+    rows = images(spark, d).select("entity", "label", "vendor", "shipped", "image", "price", F.col("label").alias("first_label"), F.col("shipped").alias("first_at"))
+    table = keyed.KeyedTable(spark, scratch(spark, "bucketed-upsert"), ["entity"], ["shipped", "image", "vendor", "price"], buckets=64)
+    for part in (f"shipped < {SPLIT}", f"shipped >= {SPLIT}"):
+        table.upsert(rows.filter(part), keep=("first_label", "first_at"))
+    return table.read().select("entity", "label", "vendor", "shipped", "first_label", "first_at")
+
+
 @query(f"""SELECT least(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) || '|' || greatest(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) AS pair_key, arg_max(vote, (ts, seq)) AS vote, min(ts) AS voted_at, max(ts) AS updated_at
     FROM {VOT} WHERE a <> b AND vote IN (1, -1) GROUP BY 1""")
 def partial_upsert(spark, d):
