@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import colors, fuzzy, text
+from .functions import colors, fuzzy, patches, text
 from .operators import incremental, ingest, ops, search, similar, tags, vectors, votes
 from .sources import keyed
 from .sources.scratch import scratch
@@ -857,6 +857,25 @@ def _attempts(spark, d):
     return derive(read(spark, d, "events"), ATTEMPTS)
 
 
+_PATCHES = {"entity": "l_partkey", "cell": "CAST((l_orderkey + l_linenumber) % 36 AS INT)", "weight": "CAST(l_quantity AS DOUBLE)", "l": "CAST(l_suppkey % 100 AS DOUBLE)", "label": "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END"} | {
+    f"{c}{k}": f"CAST((l_partkey * {7 + n + 5 * k}) % {m} AS DOUBLE)" for k in (0, 1) for n, (c, m) in enumerate((("l", 101), ("a", 61), ("b", 53)))
+}
+
+
+@query(f"""WITH p AS {derived('lineitem', _PATCHES)}, e AS (SELECT entity, count(*) AS patch_count, count(DISTINCT cell) AS total_cells, sum(weight * l) / sum(weight) AS light,
+        coalesce(sum(CASE WHEN label = 0 THEN weight END), 0) AS w0, coalesce(sum(CASE WHEN label = 1 THEN weight END), 0) AS w1, count(DISTINCT CASE WHEN label = 0 THEN cell END) AS c0, count(DISTINCT CASE WHEN label = 1 THEN cell END) AS c1,
+        max(l0) AS l0, max(a0) AS a0, max(b0) AS b0, max(l1) AS l1, max(a1) AS a1, max(b1) AS b1 FROM p GROUP BY 1),
+    x AS (SELECT *, w0 >= w1 AS f, least(w0, w1) / (w0 + w1) AS second, CASE WHEN w0 >= w1 THEN c1 ELSE c0 END AS spread FROM e),
+    y AS (SELECT *, second >= 0.25 AND spread >= greatest(6, floor(total_cells * 0.25)) AS has FROM x)
+    SELECT entity, CASE WHEN f THEN l0 ELSE l1 END AS main_l, CASE WHEN f THEN a0 ELSE a1 END AS main_a, CASE WHEN f THEN b0 ELSE b1 END AS main_b, round(greatest(w0, w1) / (w0 + w1), 3) AS main_share,
+        CASE WHEN f THEN l1 ELSE l0 END AS second_l, CASE WHEN f THEN a1 ELSE a0 END AS second_a, CASE WHEN f THEN b1 ELSE b0 END AS second_b, round(second, 3) AS second_share,
+        round(CASE WHEN has THEN sqrt((a0 - a1) * (a0 - a1) + (b0 - b1) * (b0 - b1)) ELSE 0 END, 2) AS delta_ab, spread AS second_cell_spread, total_cells, has AS has_second, round(light, 1) AS lightness_mean, patch_count,
+        CASE WHEN l0 >= l1 THEN l0 ELSE l1 END AS lighter_l, round(CASE WHEN l0 >= l1 THEN w0 ELSE w1 END / (w0 + w1), 3) AS lighter_share, round(CASE WHEN l0 >= l1 THEN sqrt(a0 * a0 + b0 * b0) ELSE sqrt(a1 * a1 + b1 * b1) END, 2) AS lighter_chroma FROM y""")
+def colour_agent_summary(spark, d):
+    """ML11: shares, spread and tests of two given clusters; line items stand for patches, their part for the item."""
+    return patches.colour_summary(derive(read(spark, d, "lineitem"), _PATCHES), "entity")
+
+
 @query("SELECT p_brand, arg_max(p_partkey, (p_size, p_partkey)) AS p_partkey, arg_max(p_name, (p_size, p_partkey)) AS p_name FROM part GROUP BY 1")
 def upsert_last_writer(spark, d):
     """SNK3."""
