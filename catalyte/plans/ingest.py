@@ -57,7 +57,7 @@ def import_csv(spark: SparkSession, path: str, root: str, *, baseline: DataFrame
     if not result.blocked:
         bad = ingest.bad_urls(df, "url").count()
         result.warnings += [f"{bad} addresses are not http"] if bad else []
-        data = csv_contract.to_dataset(df, result.dataset_id)
+        data = csv_contract.to_dataset(csv_contract.in_file_order(df), result.dataset_id)
         if baseline is not None:
             kinds = {"item": ("company_stone_id", False), "batch": ("batch_id", False), "vendor": ("vendor", True)}
             for r in ingest.continuity(baseline, data, kinds).collect():  # one row a kind

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ingest
@@ -26,10 +26,13 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return [] if not row else [(x or "").lstrip("﻿").strip() for x in row[0]]
 
 
-def read_csv(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """All columns as text, by position; ``names`` must be unique (vendor quirk: rename the first ``name``)."""
+def read_csv(spark: SparkSession, path: str, names: list[str] | None = None, *, multi_line: bool = True) -> DataFrame:
+    """All columns as text, by position; ``names`` must be unique (vendor quirk: rename the first ``name``).
+
+    Without ``multi_line`` no cell may hold a line end, and large files are read in splits.
+    """
     names = names or header(spark, path)
-    df = spark.read.option("multiLine", True).option("header", True).csv(path, inferSchema=False, enforceSchema=True, schema=", ".join(f"`c{k}` string" for k in range(len(names))))
+    df = spark.read.option("multiLine", multi_line).option("header", True).csv(path, inferSchema=False, enforceSchema=True, schema=", ".join(f"`c{k}` string" for k in range(len(names))))
     return df.toDF(*names)
 
 
@@ -43,12 +46,28 @@ def preview(df: DataFrame, rows: int = 20) -> tuple[DataFrame, int]:
     return df.limit(rows), df.count()
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Rows as ``read_csv`` gives them, with ``ingest_seq``: their number from 0, by file path and place in the file.
+
+    A task reads a split from its start on, so numbers within a split are exact; how many
+    rows the splits before it hold is counted, which takes a second scan of no column and a row a split.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"))
+    splits = placed.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("__file", "__split", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__start"))
+    return placed.join(starts, ["__file", "__split"]).withColumn("ingest_seq", F.col("__start") + F.col("__id")).select(*df.columns, "ingest_seq")
+
+
 def to_dataset(df: DataFrame, dataset_id: str) -> DataFrame:
-    """Contract columns under their dataset names, first row of each image, with ``ingest_seq`` in file order."""
+    """Contract columns under their dataset names, first row of each image, with ``ingest_seq`` in file order.
+
+    A column ``ingest_seq`` (``in_file_order``) is that order; without one it is that of the plan's partitions.
+    """
     from ..functions.text import normalize_stone_name
 
     cols = [F.nullif(F.trim(F.col(f"`{a}`")), F.lit("")).alias(b) if a in df.columns else F.lit(None).cast("string").alias(b) for a, b in MAPPING.items()]
-    rows = df.select(*cols).withColumn("ingest_seq", F.monotonically_increasing_id())
+    rows = df.select(*cols, (F.col("ingest_seq") if "ingest_seq" in df.columns else F.monotonically_increasing_id()).alias("ingest_seq"))
     one = ingest.first_wins(rows, ["image_asset_id"], ["ingest_seq"])
     return one.withColumns({"canonical_family": normalize_stone_name(F.col("stone_name_raw")), "dataset_id": F.lit(dataset_id)})
 
