@@ -216,10 +216,10 @@ def text_features(block: Block) -> np.ndarray:
     total = np.zeros(WORD_DIM)
     for at in range(0, len(ids), 1 << 16):  # a very long block needs no more memory than a part of it
         total += word_vectors()[ids[at : at + (1 << 16)]].sum(0)
-    out[:WORD_DIM] = total / np.sqrt(len(ids))
+    out[:WORD_DIM] = 2 * total / max(1.0, float(np.sqrt(total @ total)))  # of one length, also where one word is repeated
     n, text = len(block.text), block.text
     out[WORD_DIM:] = (
-        np.log1p(len(words)) / 4, np.log1p(n) / 6, block.linked / n, min(1.0, sum(map(text.count, ".!?")) / len(words)),
+        min(1.5, np.log1p(len(words)) / 4), min(1.5, np.log1p(n) / 6), block.linked / n, min(1.0, sum(map(text.count, ".!?")) / len(words)),
         min(1.0, sum(map(text.count, ",;:")) / len(words)), float(text[-1] in ".!?"), float(text[:1].isupper()), float("©" in text or "·" in text),
     )
     return out
