@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import incremental, ingest, tags, votes
+from ..operators import incremental, ingest, tags, vectors, votes
 from ..sources import csv_contract
+from ..sources.results import ResultStore
+from .staged import StagedRun
 
 
 @dataclass
@@ -100,10 +102,61 @@ def enrich(images: DataFrame, classes: DataFrame, analyse: Callable[[DataFrame],
     todo = incremental.not_done(incremental.work(classes, "cv", full=full).select("company_stone_id"), ledger, ["company_stone_id"])
     if dry_run:
         return None
-    found = analyse(images.join(todo, "company_stone_id", "left_semi"))
-    parts = {f: votes.vote(found, "company_stone_id", f, f"{f}_conf", "weight", "seq").select(F.col("company_stone_id"), F.col("label").alias(f), F.col("confidence").alias(f"{f}_conf")) for f in ("design", "base_color", "tonality")}
-    prints = parts["design"].join(parts["base_color"], "company_stone_id", "left").join(parts["tonality"], "company_stone_id", "left")
-    return tags.tag_rows(prints.withColumnRenamed("company_stone_id", "entity_id"), ["design", "base_color", "tonality"])
+    return print_tags(prints(analyse(images.join(todo, "company_stone_id", "left_semi"))))
+
+
+FIELDS = ("design", "base_color", "tonality")
+#: What the analysis of an image gives, and what its encoding gives.
+ANALYSIS = ", ".join(f"{f} string, {f}_conf double" for f in FIELDS) + ", weight double"
+VECTOR = "vec array<double>"
+
+
+def prints(found: DataFrame) -> DataFrame:
+    """(company_stone_id, design, design_conf, ...): the votes of an item's images."""
+    parts = {f: votes.vote(found, "company_stone_id", f, f"{f}_conf", "weight", "seq").select(F.col("company_stone_id"), F.col("label").alias(f), F.col("confidence").alias(f"{f}_conf")) for f in FIELDS}
+    return parts["design"].join(parts["base_color"], "company_stone_id", "left").join(parts["tonality"], "company_stone_id", "left")
+
+
+def print_tags(found: DataFrame) -> DataFrame:
+    return tags.tag_rows(found.withColumnRenamed("company_stone_id", "entity_id"), list(FIELDS))
+
+
+def enrich_run(run: StagedRun, images: DataFrame, classes: DataFrame, analyse: Callable, encode: Callable, analyses: ResultStore, encodings: ResultStore, *, slices: int = 1, most_attempts: int | None = None, full: bool = False) -> dict[str, dict]:
+    """The stages ``cv``, ``embeddings`` and ``metadata`` of a run that can be taken up again; their states.
+
+    ``images``: (company_stone_id, image_asset_id, seq, content_md5, content), the hash as a stored
+    column. ``analyse`` and ``encode`` map one row a content to (content_md5, ``ANALYSIS`` or
+    ``VECTOR``, error) and are called for contents that the stores lack. An item fails if none of its images
+    gives a result and is skipped if it has no images. ``hits`` and ``misses`` count its images by whether
+    their content was in the store when its slice began. ``metadata`` votes anew over what is stored for items
+    whose images are as they were. Read the outcome with ``run.results(stage)``.
+    """
+    slim = [c for c in images.columns if c != "content"]
+
+    def per_image(keys: DataFrame, store: ResultStore, compute: Callable) -> DataFrame:
+        own = images.join(keys, "company_stone_id", "left_semi")
+        part = store.fill(own, compute)["part"]
+        return store.joined(own.select(*slim), part).withColumn("good", F.col("content_md5").isNotNull() & F.col("error").isNull())
+
+    def per_item(found: DataFrame, outcome: DataFrame) -> DataFrame:
+        stored = F.coalesce("was_stored", F.lit(False))
+        counts = found.groupBy("company_stone_id").agg(F.count(F.lit(1)).alias("n_images"), F.count_if(stored).alias("hits"), F.count_if(~stored).alias("misses"), F.count_if("good").alias("n_good"), F.min("error").alias("problem"))
+        bad = F.col("n_good") == 0
+        labels = [F.when(bad, F.coalesce(F.substring_index("problem", ":", 1), F.lit("NoContent"))).alias("error_class"), F.when(bad, F.col("problem")).alias("error_message")]
+        return counts.join(outcome, "company_stone_id", "left").select("*", *labels).drop("problem", "n_good")
+
+    def cv(keys: DataFrame) -> DataFrame:
+        found = per_image(keys, analyses, analyse)
+        return per_item(found, prints(found.filter("good")))
+
+    def embeddings(keys: DataFrame) -> DataFrame:
+        found = per_image(keys, encodings, encode)
+        return per_item(found, vectors.mean_vectors(found.filter("good"), "company_stone_id", "vec"))
+
+    metadata = classes.filter("change_class = 'CHANGED_METADATA'") if not full else classes.limit(0)
+    work = {"cv": (incremental.work(classes, "cv", full=full), cv), "embeddings": (incremental.work(classes, "embeddings", full=full), embeddings), "metadata": (metadata, cv)}
+    counters = {c: F.sum(c) for c in ("n_images", "hits", "misses")}
+    return {name: run.stage(name, todo, how, slices=slices, most_attempts=most_attempts, counters=counters) for name, (todo, how) in work.items()}
 
 
 def failed(results: DataFrame, run_id: str, stage: str) -> DataFrame:

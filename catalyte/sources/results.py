@@ -87,14 +87,18 @@ class ResultStore:
         """(key, was_stored) that a ``fill`` looked up."""
         return self.spark.read.parquet(f"{self.root}/parts/{part}/work").drop("__n")
 
-    def through(self, rows: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict]:
-        """``rows`` with the value, ``error`` and ``was_stored`` of their keys, and the counts of ``fill``; rows without a key have nulls there."""
+    def joined(self, rows: DataFrame, part: str) -> DataFrame:
+        """``rows`` with the value, ``error`` and ``was_stored`` of their keys, as a ``fill`` left them; rows without a key have nulls there."""
         clash = {*self.values.names, "error", "was_stored"} & set(rows.columns)
         if clash:
             raise ValueError(f"rows have columns of the results: {sorted(clash)}")
+        got = self.work(part).join(self.entries(), self.key, "left")
+        return rows.withColumn(self.key, F.col(self.key).cast("string")).join(got, self.key, "left")
+
+    def through(self, rows: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict]:
+        """``joined`` after ``fill``, and the latter's counts."""
         counts = self.fill(rows, compute)
-        got = self.work(counts["part"]).join(self.entries(), self.key, "left")
-        return rows.withColumn(self.key, F.col(self.key).cast("string")).join(got, self.key, "left"), counts
+        return self.joined(rows, counts["part"]), counts
 
     def compact(self) -> int:
         """One part instead of many, without what failed; returns how many there were. To be run while nobody fills or reads."""

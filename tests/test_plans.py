@@ -52,6 +52,47 @@ def test_enrich(spark, shop):
     assert len(ingest.failed(bad, "r", "cv").first().error_class) == 200
 
 
+def test_enrichment_in_stages(spark, tmp_path):
+    from catalyte.plans.staged import StagedRun
+    from catalyte.sources.results import ResultStore
+
+    rows = [("s0", "k0", 1, b"red"), ("s0", "k1", 2, b"blue"), ("s1", "k2", 1, b"red"), ("s2", "k3", 1, b"bad"), ("s2", "k4", 2, None), ("s4", "k5", 1, b"red"), ("s5", "k6", 1, b"far")]
+    images = spark.createDataFrame(rows, "company_stone_id string, image_asset_id string, seq long, content binary").withColumn("content_md5", F.md5("content"))
+    changes = [("s0", "NEW"), ("s1", "CHANGED_IMAGE"), ("s2", "NEW"), ("s3", "NEW"), ("s4", "CHANGED_METADATA"), ("s5", "UNCHANGED")]
+    classes = spark.createDataFrame([(k, 1, c) for k, c in changes], "company_stone_id string, n_images long, change_class string")
+    seen, killed = [], [True]
+
+    def analyse(one):
+        seen.append(sorted(bytes(r.content) for r in one.select("content").collect()))
+        bad = F.when(F.col("content") == b"bad", F.lit("ValueError: no image"))
+        return one.select("content_md5", F.lit("veiny").alias("design"), F.lit(0.8).alias("design_conf"), F.col("content").cast("string").alias("base_color"), F.lit(0.7).alias("base_color_conf"), F.lit("dark").alias("tonality"), F.lit(0.6).alias("tonality_conf"), F.lit(1.0).alias("weight"), bad.alias("error"))
+
+    def encode(one):
+        if killed.pop() if killed else False:
+            raise RuntimeError("killed")
+        return one.filter("content <> 'bad'").select("content_md5", F.array(F.lit(3.0), F.length("content").cast("double")).alias("vec"))
+
+    def go():
+        run = StagedRun(spark, str(tmp_path / "runs"), "r1", "company_stone_id")
+        stores = [ResultStore(spark, str(tmp_path / n), "content_md5", v, {"version": 1, "max_pixels": 9}) for n, v in (("cv", ingest.ANALYSIS), ("emb", ingest.VECTOR))]
+        return run, ingest.enrich_run(run, images, classes, analyse, encode, *stores, most_attempts=1)
+
+    with pytest.raises(RuntimeError):
+        go()
+    assert seen == [[b"bad", b"blue", b"red"]]
+    run, states = go()
+    assert seen[1:] == []  # the first stage was over, the last one finds its contents stored
+    assert states["cv"]["counts"] == {"ok": 2, "failed": 1, "skipped": 1, "n_images": 5, "hits": 0, "misses": 5} and all(s["complete"] for s in states.values())
+    assert states["metadata"]["counts"] == {"ok": 1, "failed": 0, "skipped": 0, "n_images": 1, "hits": 1, "misses": 0}
+    assert {r.company_stone_id: r.status for r in run.ledger("embeddings").collect()} == {"s0": "ok", "s1": "ok", "s2": "failed", "s3": "skipped"}
+    (bad,) = run.failures("cv").collect()
+    assert (bad.company_stone_id, bad.error_class, bad.error_message, bad.attempts) == ("s2", "ValueError", "ValueError: no image", 1)
+    got = {r.company_stone_id: r for r in run.results("embeddings").collect()}
+    assert got["s1"].vec == pytest.approx([0.7071068, 0.7071068]) and set(got) == {"s0", "s1"}
+    tags = {(r.entity_id, r.field): r.value for r in ingest.print_tags(run.results("cv").unionByName(run.results("metadata"))).collect()}
+    assert tags[("s0", "pattern_family")] == "veined" and tags[("s4", "base_color")] == "red" and len(tags) == 9
+
+
 def test_catalogue(spark, shop):
     images = shop[3]
     ai = spark.createDataFrame([("s0", "base_color", "red", 0.9), ("s1", "base_color", "green", 0.8), ("s3", "base_color", "white", 0.9), ("s4", "main_color", "red", 0.5), ("s0", "busyness", "not a number", 0.5), ("s1", "accent_colors", '[{"color": "Gold", "strength": 0.5}]', 0.9)], "entity_id string, field string, value string, confidence double")
