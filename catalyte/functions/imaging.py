@@ -23,7 +23,16 @@ VEIN = {"delta_e": 10.0, "l_weight": 0.35, "edge_pct": 85, "chroma": 8.0}
 PATTERN = {"area": 30, "long": 2.5, "round": 0.5, "compact": 2.0, "oblong": 1.5, "least": 50}
 #: L* in these distances is on a scale of 255, as a* and b* are in steps of one.
 L_SCALE = 2.55
-EXOTIC = {"second": 0.30, "delta_ab": 10.0, "cells": 6}
+EXOTIC = {"second": 0.30, "delta_ab": 10.0, "cells": 6, "named": 0.15, "most": 0.90}
+COLOUR = {"least": 100, "few": 10, "clustered": 200, "dark": 50.0, "dark_share": 30}
+WHITE = {"lightness": 75.0, "saturation": 0.10, "confidence": 0.85, "least": 0.80}
+NEUTRAL = {"white": 75.0, "black": 42.0, "beige_b": 8.0, "light": 90.0, "dark": 30.0, "sure": 0.85, "usual": 0.75}
+PALE = {"saturation": 0.15, "confidence": 0.60, "sure": 0.75}
+MULTI = {"first": 0.60, "second": 0.30, "hue": 60.0, "sure": 0.75, "most": 0.90}
+SHADE = {"glare": 1.5, "glare_least": 0.2, "exposure_least": 0.3, "most": 0.95}
+TONE = {"dark": 40.0, "light": 70.0, "variance": 1000.0, "loss": 0.5}
+#: What red and green become where they are pale or unsure.
+PALE_NAMES = {"red": "brown", "green": "grey"}
 NEUTRAL_CHROMA, NEUTRAL_LEAST, NEUTRAL_AT = 8.0, 4.0, 70.0
 #: Named colours in L*a*b*, and those a colour of low chroma may get.
 CENTRES = {
@@ -43,8 +52,9 @@ NEUTRALS = ["white", "grey", "black", "beige"]
 HUES = {"gold": (25, 90), "green": (90, 165), "grey": (165, 250), "pink": (250, 385)}
 MEASURES = [
     "blur_score", "exposure_score", "glare_ratio", "reflection_ratio", "stone_area_ratio", "median_l", "median_a", "median_b",
-    "vein_coverage", "spot_coverage", "spot_count", "low_freq_energy", "dominant_angle", "coherence", "entropy", "rel_width", "vein_width", "spot_cv", "base_l", "base_a", "base_b",
-    "pixels", "vein_pixels", "hue_gold", "hue_green", "hue_grey", "hue_pink", "neutral_pixels", "neutral_l", "second_share", "delta_ab", "second_cells",
+    "vein_coverage", "spot_coverage", "spot_count", "low_freq_energy", "dominant_angle", "coherence", "entropy", "rel_width", "vein_width", "spot_cv",
+    "ground_pixels", "colour_l", "colour_a", "colour_b", "colour_sat", "light_mean", "light_var", "top_share", "top_a", "top_b", "next_share", "next_a", "next_b", "pixels", "vein_pixels", "hue_gold", "hue_green", "hue_grey", "hue_pink", "neutral_pixels", "neutral_l", "second_share", "delta_ab", "second_cells",
+    "part1_share", "part1_l", "part1_a", "part1_b", "part2_share", "part2_l", "part2_a", "part2_b", "part3_share", "part3_l", "part3_a", "part3_b",
 ]
 
 
@@ -87,28 +97,65 @@ def patterns(candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found["vein"], found["spot"]
 
 
-def two_grounds(lab: np.ndarray, where: np.ndarray, most: int = 5000, rounds: int = 20) -> tuple[float, float, float]:
-    """Share of the second of three clusters of the ground, its distance in a*b* from the first, and the cells of a 4 x 4 grid it is in.
+def clusters(points: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share, centre, own) of ``k`` clusters of L*a*b* points, the largest first; own is a point's cluster.
 
-    Every n-th pixel is taken and the first centres are lightness quantiles, so the same image gives the same numbers.
+    The first centres are lightness quantiles, so the same points give the same clusters.
     """
-    y, x = np.nonzero(where)
-    if len(y) < 200:
-        return 0.0, 0.0, 0.0
-    step = -(-len(y) // most)
-    y, x = y[::step], x[::step]
-    points = lab[y, x]
-    centre = points[np.argsort(points[:, 0], kind="stable")[[len(y) // 6, len(y) // 2, len(y) * 5 // 6]]].copy()
+    centre = points[np.argsort(points[:, 0], kind="stable")[[len(points) * (2 * j + 1) // (2 * k) for j in range(k)]]].copy()
     for _ in range(rounds):
         own = ((points[:, None] - centre[None]) ** 2).sum(-1).argmin(1)
-        fresh = np.array([points[own == k].mean(0) if (own == k).any() else centre[k] for k in range(3)])
+        fresh = np.array([points[own == j].mean(0) if (own == j).any() else centre[j] for j in range(k)])
         if np.allclose(fresh, centre):
             break
         centre = fresh
-    counts = np.bincount(own, minlength=3)
-    first, second = np.argsort(-counts, kind="stable")[:2]
-    cells = {(a * 4 // where.shape[0], b * 4 // where.shape[1]) for a, b in zip(y[own == second].tolist(), x[own == second].tolist())}
-    return float(counts[second] / len(y)), float(np.hypot(*(centre[first] - centre[second])[1:])), float(len(cells))
+    share = np.bincount(own, minlength=k) / len(points)
+    order = np.argsort(-share, kind="stable")
+    return share[order], centre[order], np.argsort(order)[own]
+
+
+def grounds(lab: np.ndarray, where: np.ndarray, most: int = 5000) -> dict[str, float]:
+    """Three clusters of the ground, the distance in a*b* of the first two, and the cells of a 4 x 4 grid that the second is in.
+
+    Every n-th pixel is taken, none by chance; a ground of few pixels is one part.
+    """
+    y, x = np.nonzero(where)
+    out = dict.fromkeys((m for m in MEASURES if m.startswith(("part", "second")) or m == "delta_ab"), 0.0)
+    if len(y) < COLOUR["clustered"]:
+        return out
+    step = -(-len(y) // most)
+    y, x = y[::step], x[::step]
+    share, centre, own = clusters(lab[y, x], 3)
+    cells = {(a * 4 // where.shape[0], b * 4 // where.shape[1]) for a, b in zip(y[own == 1].tolist(), x[own == 1].tolist())}
+    for j in range(3):
+        out |= {f"part{j + 1}_share": float(share[j])} | {f"part{j + 1}_{c}": float(v) for c, v in zip("lab", centre[j])}
+    return out | {"second_share": float(share[1]), "delta_ab": float(np.hypot(*(centre[0] - centre[1])[1:])), "second_cells": float(len(cells))}
+
+
+def ground_colour(lab: np.ndarray, saturation: np.ndarray, where: np.ndarray, most: int = 5000) -> dict[str, float]:
+    """Mean colour, saturation and lightness of the ground, and its two largest clusters.
+
+    Of a dark ground without colour the darkest pixels count alone, as haze lifts the rest; a dark
+    ground with colour keeps all, as its darkest pixels are shadows.
+    """
+    names = ("ground_pixels", "colour_l", "colour_a", "colour_b", "colour_sat", "light_mean", "light_var", "top_share", "top_a", "top_b", "next_share", "next_a", "next_b")
+    points = lab[where]
+    out = dict.fromkeys(names, 0.0) | {"ground_pixels": float(len(points)), "top_share": 1.0}
+    if len(points) < COLOUR["few"]:
+        return out
+    light = points[:, 0]
+    middle = np.median(points, 0)
+    out |= {"colour_sat": float(saturation[where].mean()), "light_mean": float(light.mean()), "light_var": float(light.var())}
+    if middle[0] < COLOUR["dark"] and np.hypot(*middle[1:]) < max(NEUTRAL_LEAST, NEUTRAL_CHROMA * middle[0] / NEUTRAL_AT):
+        dark = points[light <= np.percentile(light, COLOUR["dark_share"])]
+        points = dark if len(dark) >= COLOUR["few"] else points
+    out |= {f"colour_{c}": float(v) for c, v in zip("lab", points.mean(0))}
+    some = points[:: -(-len(points) // most)]
+    if out["ground_pixels"] >= COLOUR["clustered"] and len(some) >= 100:
+        share, centre, _ = clusters(some, max(2, min(3, len(some) // 50)))
+        for j, name in enumerate(("top", "next")):
+            out |= {f"{name}_share": float(share[j]), f"{name}_a": float(centre[j][1]), f"{name}_b": float(centre[j][2])}
+    return out
 
 
 def measure(rgb: np.ndarray) -> dict[str, float]:
@@ -149,11 +196,10 @@ def measure(rgb: np.ndarray) -> dict[str, float]:
     ch, cw = gray.shape[0] // 4, gray.shape[1] // 4
     cells = [plain_spots[i * ch : (i + 1) * ch, j * cw : (j + 1) * cw].mean() for i in range(4) for j in range(4)] if ch * cw > 100 else [0.0]
     back = clean & ~veins & ~spots
-    base = np.median(lab[back if back.sum() >= PATTERN["least"] else clean], 0) if clean.any() else ground
+    ground_at = back if back.sum() >= COLOUR["least"] else inner & ~glare
     chroma, hue = np.hypot(lab[..., 1], lab[..., 2])[marks], np.degrees(np.arctan2(lab[..., 2], lab[..., 1]))[marks] % 360
     coloured = chroma >= VEIN["chroma"]
     counts = {n: float((coloured & ((hue >= a) & (hue < b) | (hue + 360 < b))).sum()) for n, (a, b) in HUES.items()}
-    second, apart, spread = two_grounds(lab, back)
     laplace = np.pad(gray, 1, mode="edge")
     laplace = laplace[:-2, 1:-1] + laplace[2:, 1:-1] + laplace[1:-1, :-2] + laplace[1:-1, 2:] - 4 * gray
     area = float(gray.size)
@@ -176,17 +222,13 @@ def measure(rgb: np.ndarray) -> dict[str, float]:
         "rel_width": float(np.median(depth[seen])) * 2 / gray.shape[1] if seen.any() else 0.0,
         "vein_width": float(np.median(middle_line)) * 2 - 1 if len(middle_line) else 0.0,
         "spot_cv": float(np.std(cells) / (np.mean(cells) + 1e-6)),
-        "base_l": base[0],
-        "base_a": base[1],
-        "base_b": base[2],
+        **ground_colour(lab, saturation, ground_at),
         "pixels": float(h * w),
         "vein_pixels": float(marks.sum()),
         **{f"hue_{n}": c for n, c in counts.items()},
         "neutral_pixels": float((~coloured).sum()),
         "neutral_l": float(lab[..., 0][marks][~coloured].mean()) if (~coloured).any() else 0.0,
-        "second_share": second,
-        "delta_ab": apart,
-        "second_cells": spread,
+        **grounds(lab, ground_at),
     }
 
 
@@ -252,12 +294,80 @@ def spot_distribution() -> Column:
     return F.when(F.col("spot_cv") > 0.8, "condensed").otherwise(F.concat(level, F.lit("_homogeneous")))
 
 
+def named_colour(l: Column, a: Column, b: Column) -> Column:
+    """struct(name, confidence) of a colour; one of low chroma gets a neutral name."""
+    neutral, any_name = [nearest_colour(l, a, b, [(n, *c) for n, c in CENTRES.items() if n in only]) for only in (NEUTRALS, list(CENTRES))]
+    return F.when(faint(l, a, b), neutral).otherwise(any_name)
+
+
+def faint(l: Column, a: Column, b: Column) -> Column:
+    """Is the chroma too low for a colour? The darker, the lower is the limit."""
+    return F.sqrt(a * a + b * b) < F.greatest(F.lit(NEUTRAL_LEAST), NEUTRAL_CHROMA * l / NEUTRAL_AT)
+
+
+def _outcome(name, confidence, rule) -> Column:
+    parts = (x if isinstance(x, Column) else F.lit(x) for x in (name, confidence, rule))
+    return F.struct(*(p.alias(n) for p, n in zip(parts, ("name", "confidence", "rule"))))
+
+
 def base_colour() -> Column:
-    """struct(name, confidence) of the ground beside veins and spots; colours of low chroma get neutral names only."""
-    l, a, b = F.col("base_l"), F.col("base_a"), F.col("base_b")
-    faint = F.sqrt(a * a + b * b) < F.greatest(F.lit(NEUTRAL_LEAST), NEUTRAL_CHROMA * l / NEUTRAL_AT)
-    named = [nearest_colour(l, a, b, [(n, *c) for n, c in CENTRES.items() if n in only]) for only in (NEUTRALS, list(CENTRES))]
-    return F.when(faint, named[0]).otherwise(named[1])
+    """struct(name, confidence, rule) of the ground beside veins and spots.
+
+    In this order: too few pixels are grey; a light ground of low saturation is white whatever its
+    tint; what has low chroma gets a neutral name by lightness and warmth; the rest the nearest
+    named colour, where red and green that are pale or unsure give way. Two large clusters of clearly
+    different hue, or of which one is neutral, make it multi if one is not much larger than the other.
+    Glare and bad exposure lower the confidence, but not of such a white. An exotic ground is that before all.
+    """
+    l, a, b, sat = (F.col(f"colour_{c}") for c in ("l", "a", "b", "sat"))
+    few = F.col("ground_pixels") < COLOUR["few"]
+    white = (l >= WHITE["lightness"]) & (sat <= WHITE["saturation"])
+    neutral = F.when(l > NEUTRAL["white"], "white").when(l < NEUTRAL["black"], "black").when(b > NEUTRAL["beige_b"], "beige").otherwise("grey")
+    neutral_sure = F.when((l > NEUTRAL["light"]) | (l < NEUTRAL["dark"]), NEUTRAL["sure"]).otherwise(NEUTRAL["usual"])
+    near = named_colour(l, a, b)
+    gives_way = near["name"].isin(list(PALE_NAMES))
+    instead = F.element_at(F.create_map(*[F.lit(x) for pair in PALE_NAMES.items() for x in pair]), F.when(gives_way, near["name"]).otherwise(next(iter(PALE_NAMES))))
+    single = (
+        F.when(white, _outcome("white", WHITE["confidence"], "light_unsaturated"))
+        .when(faint(l, a, b), _outcome(neutral, neutral_sure, "neutral"))
+        .when(gives_way & (sat < PALE["saturation"]), _outcome(instead, PALE["confidence"], "pale"))
+        .when(gives_way & (near["confidence"] < PALE["sure"]), _outcome(instead, near["confidence"], "unsure"))
+        .otherwise(_outcome(near["name"], near["confidence"], "nearest"))
+    )
+    hues = [F.pmod(F.degrees(F.atan2(F.col(f"{p}_b"), F.col(f"{p}_a"))), F.lit(360.0)) for p in ("top", "next")]
+    around = F.abs(hues[0] - hues[1])
+    plain = [F.sqrt(F.col(f"{p}_a") ** 2 + F.col(f"{p}_b") ** 2) < NEUTRAL_CHROMA for p in ("top", "next")]
+    differ = (F.least(around, 360 - around) > MULTI["hue"]) | (plain[0] != plain[1])
+    even = (F.col("top_share") < MULTI["first"]) & (F.col("next_share") > MULTI["second"])
+    multi_sure = F.least(0.5 + (MULTI["first"] - F.col("top_share")) * 2, F.lit(MULTI["most"]))
+    found = F.when(even & differ & (multi_sure >= MULTI["sure"]), _outcome("multi", multi_sure, "multi")).otherwise(single)
+    shade = F.greatest(1 - F.col("glare_ratio") * SHADE["glare"], F.lit(SHADE["glare_least"])) * F.greatest("exposure_score", F.lit(SHADE["exposure_least"]))
+    sure = F.least(F.when(white, F.greatest(found["confidence"], F.lit(WHITE["least"]))).otherwise(found["confidence"] * shade), F.lit(SHADE["most"]))
+    return (
+        F.when(few, _outcome("grey", 0.30, "few_pixels"))
+        .when(exotic(), _outcome("exotic", exotic_confidence(), "exotic"))
+        .otherwise(_outcome(found["name"], sure, found["rule"]))
+    )
+
+
+def tonality() -> Column:
+    """struct(name, confidence): mean lightness of the ground; the more it varies the less sure."""
+    mean = F.col("light_mean")
+    name = F.when(mean < TONE["dark"], "dark").when(mean > TONE["light"], "light").otherwise("medium")
+    sure = 1 - F.least(F.col("light_var") / TONE["variance"], F.lit(TONE["loss"]))
+    few = F.col("ground_pixels") < COLOUR["few"]
+    return F.when(few, F.struct(F.lit("medium").alias("name"), F.lit(0.30).alias("confidence"))).otherwise(F.struct(name.alias("name"), sure.alias("confidence")))
+
+
+def colours_in_stone() -> Column:
+    """The names of an exotic image's large parts, the largest first; empty for others."""
+    parts = [F.struct(F.col(f"part{j}_share").alias("share"), named_colour(*(F.col(f"part{j}_{c}") for c in "lab"))["name"].alias("name")) for j in (1, 2, 3)]
+    large = F.filter(F.array(*parts), lambda p: p["share"] >= EXOTIC["named"])
+    return F.when(exotic(), F.array_distinct(F.transform(large, lambda p: p["name"]))).otherwise(F.array().cast("array<string>"))
+
+
+def exotic_confidence() -> Column:
+    return F.when(exotic(), F.least(F.col("second_share") * 2, F.lit(EXOTIC["most"]))).otherwise(0.0)
 
 
 def exotic() -> Column:

@@ -71,7 +71,7 @@ def test_families_and_vetoes(spark):
 def test_nearest_colour(spark):
     centres = [("white", 95.0, 0.0, 0.0), ("black", 10.0, 0.0, 0.0)]
     got = one(spark, colors.nearest_colour(F.lit(90.0), F.lit(0.0), F.lit(0.0), centres))
-    assert got.name == "white" and got.confidence == pytest.approx(0.95)
+    assert got.name == "white" and got.confidence == pytest.approx(1 - (0.5 * 25) ** 0.5 / 50)
 
 
 def test_scores(spark):

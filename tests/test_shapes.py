@@ -132,4 +132,4 @@ def test_measured_patterns():
     assert a["spot_count"] > 20 and a["spot_coverage"] > 0.02 and a["vein_coverage"] < 0.2 * a["spot_coverage"]
     assert b["vein_coverage"] > 0.02 and b["spot_coverage"] == 0 and 0 < b["rel_width"] < 0.06 and 5 <= b["vein_width"] <= 15
     for m in (a, b):
-        assert m["base_l"] == pytest.approx(imaging.lab_of(np.array([[[200, 200, 200]]], np.uint8))[0, 0, 0], abs=2)
+        assert m["colour_l"] == pytest.approx(imaging.lab_of(np.array([[[200, 200, 200]]], np.uint8))[0, 0, 0], abs=2)
