@@ -114,7 +114,12 @@ def vein_colour(vein: Column, total: Column, hues: dict[str, Column], neutral: C
     )
 
 
+def nearest_centre(lightness: Column, a: Column, b: Column, centres: list[tuple[str, float, float, float]]) -> Column:
+    """struct(d, name): the nearest named centre in LAB and its distance, lightness at half weight."""
+    return F.array_min(F.array(*[F.struct(F.sqrt(0.5 * (lightness - l) ** 2 + (a - x) ** 2 + (b - y) ** 2).alias("d"), F.lit(n).alias("name")) for n, l, x, y in centres]))
+
+
 def nearest_colour(lightness: Column, a: Column, b: Column, centres: list[tuple[str, float, float, float]]) -> Column:
-    """struct(name, confidence): the nearest named centre in LAB, lightness at half weight."""
-    found = F.array_min(F.array(*[F.struct(F.sqrt(0.5 * (lightness - l) ** 2 + (a - x) ** 2 + (b - y) ** 2).alias("d"), F.lit(n).alias("name")) for n, l, x, y in centres]))
+    """struct(name, confidence) of the nearest named centre."""
+    found = nearest_centre(lightness, a, b, centres)
     return F.struct(found["name"].alias("name"), (1 - F.least(found["d"] / 50, F.lit(0.5))).alias("confidence"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .colors import nearest_colour, vein_colour
+from .colors import nearest_centre, vein_colour
 from .shapes import Shape, closed, distances, opened, ridge, shapes, smoothed
 
 # --- fixed values: margins, thresholds, weights ----------------------------------------
@@ -294,15 +294,20 @@ def spot_distribution() -> Column:
     return F.when(F.col("spot_cv") > 0.8, "condensed").otherwise(F.concat(level, F.lit("_homogeneous")))
 
 
+def faint(l: Column, a: Column, b: Column) -> Column:
+    """Is the chroma too low for a colour? The darker, the lower is the limit."""
+    return F.sqrt(a * a + b * b) < F.greatest(F.lit(NEUTRAL_LEAST), NEUTRAL_CHROMA * l / NEUTRAL_AT)
+
+
 def named_colour(l: Column, a: Column, b: Column) -> Column:
-    """struct(name, confidence) of a colour; one of low chroma gets a neutral name."""
-    neutral, any_name = [nearest_colour(l, a, b, [(n, *c) for n, c in CENTRES.items() if n in only]) for only in (NEUTRALS, list(CENTRES))]
+    """struct(d, name) of the nearest named colour; one of low chroma gets a neutral name."""
+    neutral, any_name = [nearest_centre(l, a, b, [(n, *c) for n, c in CENTRES.items() if n in only]) for only in (NEUTRALS, list(CENTRES))]
     return F.when(faint(l, a, b), neutral).otherwise(any_name)
 
 
-def faint(l: Column, a: Column, b: Column) -> Column:
-    """Is the chroma too low for a colour? The darker, the lower is the limit."""
-    return F.sqrt(a * a + b * b) < F.greatest(F.lit(NEUTRAL_LEAST), NEUTRAL_CHROMA * l / NEUTRAL_AT)
+def exotic() -> Column:
+    """Two grounds of different colour that both cover much of the image."""
+    return (F.col("second_share") >= EXOTIC["second"]) & (F.col("delta_ab") >= EXOTIC["delta_ab"]) & (F.col("second_cells") >= EXOTIC["cells"])
 
 
 def _outcome(name, confidence, rule) -> Column:
@@ -310,69 +315,69 @@ def _outcome(name, confidence, rule) -> Column:
     return F.struct(*(p.alias(n) for p, n in zip(parts, ("name", "confidence", "rule"))))
 
 
-def base_colour() -> Column:
-    """struct(name, confidence, rule) of the ground beside veins and spots.
+def _many() -> Column:
+    """struct(multi, confidence): do the two largest clusters differ and is neither much larger?"""
+    hues = [F.pmod(F.degrees(F.atan2(F.col(f"{p}_b"), F.col(f"{p}_a"))), F.lit(360.0)) for p in ("top", "next")]
+    around = F.abs(hues[0] - hues[1])
+    plain = [F.sqrt(F.col(f"{p}_a") ** 2 + F.col(f"{p}_b") ** 2) < NEUTRAL_CHROMA for p in ("top", "next")]
+    differ = (F.least(around, 360 - around) > MULTI["hue"]) | (plain[0] != plain[1])
+    even = (F.col("top_share") < MULTI["first"]) & (F.col("next_share") > MULTI["second"])
+    sure = F.least(0.5 + (MULTI["first"] - F.col("top_share")) * 2, F.lit(MULTI["most"]))
+    return F.struct((even & differ & (sure >= MULTI["sure"])).alias("multi"), sure.alias("confidence"))
+
 
-    In this order: too few pixels are grey; a light ground of low saturation is white whatever its
-    tint; what has low chroma gets a neutral name by lightness and warmth; the rest the nearest
-    named colour, where red and green that are pale or unsure give way. Two large clusters of clearly
-    different hue, or of which one is neutral, make it multi if one is not much larger than the other.
-    Glare and bad exposure lower the confidence, but not of such a white. An exotic ground is that before all.
+def coloured(measures: DataFrame) -> DataFrame:
+    """``measures`` with base_color, base_color_conf, base_color_rule, is_exotic, colors_in_stone, colors_in_stone_conf, tonality, tonality_conf.
+
+    The base colour is that of the ground beside veins and spots, by the first rule that holds: too few
+    pixels are grey; a ground of two colours that both cover much is exotic; two large clusters of clearly
+    different hue, or of which one is neutral, are multi if the first is not much larger; a light ground of low saturation is
+    white whatever its tint; what has low chroma gets a neutral name by lightness and warmth; the rest
+    has the nearest named colour, where red and green that are pale or unsure give way. Glare and bad exposure lower the
+    confidence, except of a light ground of low saturation. The parts of an exotic ground are named, the largest first. The
+    tonality is the mean lightness, the surer the less it varies. Steps are columns of their own, so that none is worked out twice.
     """
     l, a, b, sat = (F.col(f"colour_{c}") for c in ("l", "a", "b", "sat"))
-    few = F.col("ground_pixels") < COLOUR["few"]
-    white = (l >= WHITE["lightness"]) & (sat <= WHITE["saturation"])
+    steps = measures.withColumns(
+        {
+            "__near": named_colour(l, a, b),
+            **{f"__part{j}": named_colour(*(F.col(f"part{j}_{c}") for c in "lab")) for j in (1, 2, 3)},
+            "__faint": faint(l, a, b),
+            "__white": (l >= WHITE["lightness"]) & (sat <= WHITE["saturation"]),
+            "__many": _many(),
+            "is_exotic": exotic(),
+        }
+    )
+    near, white, many, is_exotic = (F.col(c) for c in ("__near", "__white", "__many", "is_exotic"))
+    near_sure = 1 - F.least(near["d"] / 50, F.lit(0.5))
     neutral = F.when(l > NEUTRAL["white"], "white").when(l < NEUTRAL["black"], "black").when(b > NEUTRAL["beige_b"], "beige").otherwise("grey")
     neutral_sure = F.when((l > NEUTRAL["light"]) | (l < NEUTRAL["dark"]), NEUTRAL["sure"]).otherwise(NEUTRAL["usual"])
-    near = named_colour(l, a, b)
-    gives_way = near["name"].isin(list(PALE_NAMES))
-    instead = F.element_at(F.create_map(*[F.lit(x) for pair in PALE_NAMES.items() for x in pair]), F.when(gives_way, near["name"]).otherwise(next(iter(PALE_NAMES))))
+    gives_way, instead = near["name"].isin(list(PALE_NAMES)), F.lit(None).cast("string")
+    for name, other in PALE_NAMES.items():
+        instead = F.when(near["name"] == name, other).otherwise(instead)
     single = (
-        F.when(white, _outcome("white", WHITE["confidence"], "light_unsaturated"))
-        .when(faint(l, a, b), _outcome(neutral, neutral_sure, "neutral"))
+        F.when(many["multi"], _outcome("multi", many["confidence"], "multi"))
+        .when(white, _outcome("white", WHITE["confidence"], "light_unsaturated"))
+        .when(F.col("__faint"), _outcome(neutral, neutral_sure, "neutral"))
         .when(gives_way & (sat < PALE["saturation"]), _outcome(instead, PALE["confidence"], "pale"))
-        .when(gives_way & (near["confidence"] < PALE["sure"]), _outcome(instead, near["confidence"], "unsure"))
-        .otherwise(_outcome(near["name"], near["confidence"], "nearest"))
+        .when(gives_way & (near_sure < PALE["sure"]), _outcome(instead, near_sure, "unsure"))
+        .otherwise(_outcome(near["name"], near_sure, "nearest"))
     )
-    hues = [F.pmod(F.degrees(F.atan2(F.col(f"{p}_b"), F.col(f"{p}_a"))), F.lit(360.0)) for p in ("top", "next")]
-    around = F.abs(hues[0] - hues[1])
-    plain = [F.sqrt(F.col(f"{p}_a") ** 2 + F.col(f"{p}_b") ** 2) < NEUTRAL_CHROMA for p in ("top", "next")]
-    differ = (F.least(around, 360 - around) > MULTI["hue"]) | (plain[0] != plain[1])
-    even = (F.col("top_share") < MULTI["first"]) & (F.col("next_share") > MULTI["second"])
-    multi_sure = F.least(0.5 + (MULTI["first"] - F.col("top_share")) * 2, F.lit(MULTI["most"]))
-    found = F.when(even & differ & (multi_sure >= MULTI["sure"]), _outcome("multi", multi_sure, "multi")).otherwise(single)
+    steps = steps.withColumns({"__one": single, "colors_in_stone_conf": F.when(is_exotic, F.least(F.col("second_share") * 2, F.lit(EXOTIC["most"]))).otherwise(0.0)})
+    one, few = F.col("__one"), F.col("ground_pixels") < COLOUR["few"]
     shade = F.greatest(1 - F.col("glare_ratio") * SHADE["glare"], F.lit(SHADE["glare_least"])) * F.greatest("exposure_score", F.lit(SHADE["exposure_least"]))
-    sure = F.least(F.when(white, F.greatest(found["confidence"], F.lit(WHITE["least"]))).otherwise(found["confidence"] * shade), F.lit(SHADE["most"]))
-    return (
-        F.when(few, _outcome("grey", 0.30, "few_pixels"))
-        .when(exotic(), _outcome("exotic", exotic_confidence(), "exotic"))
-        .otherwise(_outcome(found["name"], sure, found["rule"]))
-    )
-
-
-def tonality() -> Column:
-    """struct(name, confidence): mean lightness of the ground; the more it varies the less sure."""
-    mean = F.col("light_mean")
-    name = F.when(mean < TONE["dark"], "dark").when(mean > TONE["light"], "light").otherwise("medium")
-    sure = 1 - F.least(F.col("light_var") / TONE["variance"], F.lit(TONE["loss"]))
-    few = F.col("ground_pixels") < COLOUR["few"]
-    return F.when(few, F.struct(F.lit("medium").alias("name"), F.lit(0.30).alias("confidence"))).otherwise(F.struct(name.alias("name"), sure.alias("confidence")))
-
-
-def colours_in_stone() -> Column:
-    """The names of an exotic image's large parts, the largest first; empty for others."""
-    parts = [F.struct(F.col(f"part{j}_share").alias("share"), named_colour(*(F.col(f"part{j}_{c}") for c in "lab"))["name"].alias("name")) for j in (1, 2, 3)]
-    large = F.filter(F.array(*parts), lambda p: p["share"] >= EXOTIC["named"])
-    return F.when(exotic(), F.array_distinct(F.transform(large, lambda p: p["name"]))).otherwise(F.array().cast("array<string>"))
-
-
-def exotic_confidence() -> Column:
-    return F.when(exotic(), F.least(F.col("second_share") * 2, F.lit(EXOTIC["most"]))).otherwise(0.0)
-
-
-def exotic() -> Column:
-    """Two grounds of different colour that both cover much of the image."""
-    return (F.col("second_share") >= EXOTIC["second"]) & (F.col("delta_ab") >= EXOTIC["delta_ab"]) & (F.col("second_cells") >= EXOTIC["cells"])
+    sure = F.least(F.when(white, F.greatest(one["confidence"], F.lit(WHITE["least"]))).otherwise(one["confidence"] * shade), F.lit(SHADE["most"]))
+    parts = F.array_compact(F.array(*(F.when(F.col(f"part{j}_share") >= EXOTIC["named"], F.col(f"__part{j}")["name"]) for j in (1, 2, 3))))
+    mean, tone_sure = F.col("light_mean"), 1 - F.least(F.col("light_var") / TONE["variance"], F.lit(TONE["loss"]))
+    out = {
+        "base_color": F.when(few, "grey").when(is_exotic, "exotic").otherwise(one["name"]),
+        "base_color_conf": F.when(few, 0.30).when(is_exotic, F.col("colors_in_stone_conf")).otherwise(sure),
+        "base_color_rule": F.when(few, "few_pixels").when(is_exotic, "exotic").otherwise(one["rule"]),
+        "colors_in_stone": F.when(is_exotic, F.array_distinct(parts)).otherwise(F.array().cast("array<string>")),
+        "tonality": F.when(few, "medium").when(mean < TONE["dark"], "dark").when(mean > TONE["light"], "light").otherwise("medium"),
+        "tonality_conf": F.when(few, 0.30).otherwise(tone_sure),
+    }
+    return steps.withColumns(out).drop("__near", "__part1", "__part2", "__part3", "__faint", "__white", "__many", "__one")
 
 
 def vein_colours(measures: DataFrame, entity: str, *, least: int = 200) -> DataFrame:

@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import colors, fuzzy, patches, text
+from .functions import colors, encoders, fuzzy, imaging, patches, text
 from .operators import incremental, ingest, ops, search, similar, tags, vectors, votes
-from .sources import keyed
+from .plans.staged import StagedRun
+from .sources import csv_contract, keyed
+from .sources.results import ResultStore
 from .sources.scratch import scratch
 from .streaming import events as stream
 from .streaming import queue
@@ -141,10 +143,34 @@ def all_tags(spark, d):
 
 @query(f"SELECT entity, count(*) AS n, max(image) AS image FROM {IMG} GROUP BY 1")
 def entity_scan(spark, d):
-    """SRC4-6, SRC16: a projected scan with its newest image."""
+    """A projected scan with its newest image."""
     return images(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.max("image").alias("image"))
 
 
+_VERSIONS = {
+    "dataset_id": "CAST(extract(year FROM o_orderdate) AS VARCHAR(4))",
+    "image_asset_id": "o_orderkey",
+    "company_stone_id": "o_custkey",
+    "image_url": "o_orderpriority",
+    "stone_name_raw": "o_orderstatus",
+    "vendor": "o_orderstatus",
+    "batch_id": "o_totalprice",
+    "created_at": "o_orderdate",
+}
+
+
+@query(f"""WITH v AS {derived('orders', _VERSIONS)}, a AS (SELECT * FROM v WHERE dataset_id = (SELECT max(dataset_id) FROM v))
+    SELECT company_stone_id, image_asset_id, image_url AS url, batch_id, vendor FROM a""")
+def active_manifest(spark, d):
+    """SRC4-6, SRC16: orders are written as versions by year; of the newest, as none is active, the manifest and the ordered scan are read."""
+    root, v = scratch(spark, "versions"), derive(read(spark, d, "orders"), _VERSIONS)
+    csv_contract.write_dataset(v, root)
+    datasets = v.groupBy("dataset_id").agg(F.max("created_at").alias("created_at")).withColumn("is_active", F.lit(False))
+    newest = csv_contract.active_dataset(datasets, newest=True)
+    rows = csv_contract.read_dataset(spark, root, newest) if newest else v.limit(0)
+    return csv_contract.manifest(rows).join(csv_contract.image_scan(rows).select("image_asset_id", "vendor"), "image_asset_id")
+
+
 @query(f"SELECT entity, image, vendor, price FROM {IMG} QUALIFY row_number() OVER (PARTITION BY entity ORDER BY image DESC, vendor DESC, price DESC) = 1")
 def latest_per_entity(spark, d):
     """WIN1."""
@@ -1092,10 +1118,10 @@ def asset_lists(spark, d):
     return ops.assets(images(spark, d), "vendor", "line")
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'signup'")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def dataset_listing(spark, d):
     """AGG29."""
-    e = read(spark, d, "events").filter("event_type = 'signup'").select("event_id", "props")
+    e = read(spark, d, "events").select("event_id", "props")
     return ops.dataset_listing(e, "props", "k bigint").drop("props")
 
 
@@ -1113,3 +1139,111 @@ def similar_chips(spark, d):
     """FLT14, ARR1."""
     anchor = {"main_color": "navy", "pattern": "webbed", "tone": "cool", "stone_lightness": "mid"}
     return similar.projection(search.effective(items(spark, d)), anchor).select("item", F.array_join("chips", "; ").alias("chips"))
+
+
+# --- runs, stores and image rules ------------------------------------------------------
+
+_CONTENT = "o_orderpriority || '|' || o_custkey"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderdate, {_CONTENT} AS content FROM orders), first AS (SELECT DISTINCT content FROM o WHERE o_orderdate < {SPLIT})
+    SELECT o_orderkey, content IN (SELECT content FROM first) AS was_stored, length(regexp_replace(content, '[^0-9]', '', 'g')) AS n_digits FROM o""")
+def stored_results(spark, d):
+    """SRC14, SRC15, ML16: orders up to a day fill a store of results by content, then all orders go through it."""
+
+    def count_digits(zero, contents):
+        return [zero + sum(c.isdigit() for c in content) for content in contents]
+
+    def compute(rows):
+        return encoders.encoded(rows, "content_md5", "content", "digits", int, count_digits, "n_digits bigint", batch=1024)
+
+    rows = read(spark, d, "orders").selectExpr("o_orderkey", "o_orderdate", f"{_CONTENT} AS content").withColumn("content_md5", F.md5("content"))
+    store = ResultStore(spark, scratch(spark, "results"), "content_md5", "n_digits bigint", {"version": 1, "mode": "digits"})
+    store.fill(rows.filter(f"o_orderdate < {SPLIT}"), compute)
+    return store.through(rows, compute)[0].select("o_orderkey", "was_stored", "n_digits")
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS n, count(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 1 END) AS f, count(CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 1 END) AS o FROM orders GROUP BY 1)
+    SELECT c_custkey AS item, CASE WHEN n IS NULL THEN 'skipped' WHEN f + o > 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN f > 0 THEN 1 ELSE 2 END AS attempts,
+        CASE WHEN n IS NOT NULL AND f + o = 0 THEN 'NoUrgentOrder' END AS error_class, CASE WHEN f + o > 0 THEN n END AS n_images FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def staged_run(spark, d):
+    """STM5, X8, X26: a stage over customers fails for those without a certain order, a second attempt takes more orders."""
+    orders = read(spark, d, "orders").withColumnRenamed("o_custkey", "item")
+
+    def how(good: list[str]):
+        def run(keys):
+            n_good = F.count_if(F.col("o_orderstatus").isin(good) & (F.col("o_orderpriority") == "1-URGENT"))
+            per = orders.join(keys, "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("n_images"), n_good.alias("n_good"))
+            return per.select("item", "n_images", F.when(F.col("n_good") == 0, "NoUrgentOrder").alias("error_class"))
+
+        return run
+
+    run = StagedRun(spark, scratch(spark, "staged"), "run", "item")
+    work = read(spark, d, "customer").select(F.col("c_custkey").alias("item"))
+    for good in (["F"], ["F", "O"]):
+        run.stage("cv", work, how(good), slices=2, counters={"n_images": F.sum("n_images")})
+    return run.ledger("cv").join(run.results("cv").select("item", "n_images"), "item", "left").select("item", "status", "attempts", "error_class", "n_images")
+
+
+#: Line items as measures of images.
+_MEASURES = {
+    "o": "l_orderkey",
+    "k": "l_linenumber",
+    "s": "l_suppkey",
+    "colour_l": "CAST(l_partkey % 101 AS DOUBLE)",
+    "colour_a": "CAST(l_suppkey % 61 - 20 AS DOUBLE)",
+    "colour_b": "CAST(l_orderkey % 71 - 20 AS DOUBLE)",
+    "colour_sat": "l_discount * 3",
+    "ground_pixels": "l_quantity * 5",
+    "glare_ratio": "l_tax * 5",
+    "exposure_score": "l_quantity / 50",
+    "top_share": "CAST(34 + l_partkey % 40 AS DOUBLE) / 100",
+    "next_share": "CAST(34 - l_suppkey % 10 AS DOUBLE) / 100",
+    "top_a": "CAST(l_linenumber * 7 - 20 AS DOUBLE)",
+    "top_b": "CAST(l_orderkey % 37 - 15 AS DOUBLE)",
+    "next_a": "CAST(l_partkey % 53 - 25 AS DOUBLE)",
+    "next_b": "CAST(l_suppkey % 47 - 20 AS DOUBLE)",
+    "second_share": "CAST(l_orderkey % 6 AS DOUBLE) / 10",
+    "delta_ab": "CAST(l_linenumber * 3 AS DOUBLE)",
+    "second_cells": "CAST(l_partkey % 13 AS DOUBLE)",
+    "light_mean": "CAST(l_partkey % 100 AS DOUBLE)",
+    "light_var": "l_quantity * 20",
+    **{f"part{j}_{c}": f"CAST((l_partkey * {j} + l_suppkey) % {m} AS DOUBLE) {more}" for j in (1, 2, 3) for c, m, more in (("share", 7, "/ 10"), ("l", 97, ""), ("a", 59, "- 20"), ("b", 67, "- 20"))},
+}
+
+
+def _faint(l: str, a: str, b: str) -> str:
+    return f"sqrt({a} * {a} + {b} * {b}) < greatest(4.0, 8.0 * {l} / 70.0)"
+
+
+def _near(l: str, a: str, b: str) -> str:
+    """The nearest named colour as a struct (d, n)."""
+
+    def of(names):
+        return "list_min([" + ", ".join(f"{{'d': sqrt(0.5 * ({l} - {x}) ** 2 + ({a} - {y}) ** 2 + ({b} - {z}) ** 2), 'n': '{n}'}}" for n, (x, y, z) in imaging.CENTRES.items() if n in names) + "])"
+
+    return f"CASE WHEN {_faint(l, a, b)} THEN {of(imaging.NEUTRALS)} ELSE {of(list(imaging.CENTRES))} END"
+
+
+_LARGE = " || ".join(f"CASE WHEN part{j}_share >= 0.15 THEN [({_near(f'part{j}_l', f'part{j}_a', f'part{j}_b')}).n] ELSE [] END" for j in (1, 2, 3))
+
+
+@query(f"""WITH m AS (SELECT *, {_near('colour_l', 'colour_a', 'colour_b')} AS near, {_faint('colour_l', 'colour_a', 'colour_b')} AS faint, colour_l >= 75 AND colour_sat <= 0.10 AS white,
+        second_share >= 0.30 AND delta_ab >= 10 AND second_cells >= 6 AS exotic, abs((degrees(atan2(top_b, top_a)) + 360) % 360 - (degrees(atan2(next_b, next_a)) + 360) % 360) AS apart,
+        (sqrt(top_a ** 2 + top_b ** 2) < 8) <> (sqrt(next_a ** 2 + next_b ** 2) < 8) AS one_neutral, least(0.5 + (0.60 - top_share) * 2, 0.90) AS multi_conf, {_LARGE} AS parts FROM {derived('lineitem', _MEASURES)}),
+    c AS (SELECT *, 1 - least(near.d / 50, 0.5) AS conf, top_share < 0.60 AND next_share > 0.30 AND (least(apart, 360 - apart) > 60 OR one_neutral) AND multi_conf >= 0.75 AS multi FROM m),
+    r AS (SELECT *, CASE WHEN multi THEN 'multi' WHEN white THEN 'light_unsaturated' WHEN faint THEN 'neutral' WHEN near.n IN ('red', 'green') AND colour_sat < 0.15 THEN 'pale' WHEN near.n IN ('red', 'green') AND conf < 0.75 THEN 'unsure' ELSE 'nearest' END AS rule FROM c),
+    f AS (SELECT *, CASE rule WHEN 'multi' THEN 'multi' WHEN 'light_unsaturated' THEN 'white' WHEN 'neutral' THEN CASE WHEN colour_l > 75 THEN 'white' WHEN colour_l < 42 THEN 'black' WHEN colour_b > 8 THEN 'beige' ELSE 'grey' END
+            WHEN 'nearest' THEN near.n ELSE CASE near.n WHEN 'red' THEN 'brown' ELSE 'grey' END END AS name,
+        CASE rule WHEN 'multi' THEN multi_conf WHEN 'light_unsaturated' THEN 0.85 WHEN 'neutral' THEN CASE WHEN colour_l > 90 OR colour_l < 30 THEN 0.85 ELSE 0.75 END WHEN 'pale' THEN 0.60 ELSE conf END AS sure FROM r)
+    SELECT o, k, s, CASE WHEN ground_pixels < 10 THEN 'grey' WHEN exotic THEN 'exotic' ELSE name END AS base_color, CASE WHEN ground_pixels < 10 THEN 'few_pixels' WHEN exotic THEN 'exotic' ELSE rule END AS rule,
+        round(CASE WHEN ground_pixels < 10 THEN 0.30 WHEN exotic THEN least(second_share * 2, 0.90) WHEN white THEN least(greatest(sure, 0.80), 0.95)
+            ELSE least(sure * greatest(1 - glare_ratio * 1.5, 0.2) * greatest(exposure_score, 0.3), 0.95) END, 6) AS conf,
+        CASE WHEN exotic THEN array_to_string(list_filter(parts, lambda x, i: list_position(parts, x) = i), ',') ELSE '' END AS colours,
+        CASE WHEN ground_pixels < 10 THEN 'medium' WHEN light_mean < 40 THEN 'dark' WHEN light_mean > 70 THEN 'light' ELSE 'medium' END AS tone,
+        round(CASE WHEN ground_pixels < 10 THEN 0.30 ELSE 1 - least(light_var / 1000, 0.5) END, 6) AS tone_conf FROM f""")
+def colour_gates(spark, d):
+    """ML8-10, COL10: base colour, colours in an exotic image, and tonality, of measures."""
+    m = imaging.coloured(derive(read(spark, d, "lineitem"), _MEASURES))
+    conf = [F.round(f"{c}_conf", 6).alias(n) for c, n in (("base_color", "conf"), ("tonality", "tone_conf"))]
+    return m.select("o", "k", "s", "base_color", F.col("base_color_rule").alias("rule"), *conf, F.array_join("colors_in_stone", ",").alias("colours"), F.col("tonality").alias("tone"))

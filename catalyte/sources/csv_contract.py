@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ingest
@@ -89,7 +91,18 @@ def active_dataset(datasets: DataFrame, *, newest: bool = False) -> str | None:
 
 
 def manifest(df: DataFrame) -> DataFrame:
-    return df.select("image_asset_id", "company_stone_id", F.col("image_url").alias("url"), "batch_id")
+    """The images of a version that enrichment reads, by item and address."""
+    return df.select("image_asset_id", "company_stone_id", F.col("image_url").alias("url"), "batch_id").orderBy("company_stone_id", "url")
+
+
+def image_scan(df: DataFrame) -> DataFrame:
+    """What change detection and exports read of a version, in a fixed order."""
+    return df.select("company_stone_id", "image_asset_id", "image_url", "stone_name_raw", "vendor", "batch_id").orderBy("company_stone_id", "image_asset_id", "image_url")
+
+
+def row_iterator(df: DataFrame) -> Iterator[Row]:
+    """All rows of a version by item, fetched a partition at a time."""
+    return df.orderBy("company_stone_id").toLocalIterator()
 
 
 def activate(datasets: DataFrame, images: DataFrame, dataset_id: str) -> DataFrame:

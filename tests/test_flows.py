@@ -64,6 +64,7 @@ def test_csv_contract(spark, tmp_path):
     csv_contract.write_dataset(data, root)
     csv_contract.write_dataset(data.withColumn("dataset_id", F.lit("d2")), root)
     assert csv_contract.read_dataset(spark, root, "d1").count() == 2 and csv_contract.manifest(data).columns[2] == "url"
+    assert [r.image_asset_id for r in csv_contract.image_scan(data).collect()] == [r.image_asset_id for r in csv_contract.row_iterator(data)] == ["k1", "k2"]
     meta = spark.createDataFrame([("d1", "2024", True, "validated", False), ("d2", "2025", False, "draft", False)], "dataset_id string, created_at string, is_active boolean, validation_status string, activation_blocked boolean")
     after = {r.dataset_id: r for r in csv_contract.activate(meta, spark.read.parquet(root), "d2").collect()}
     assert after["d2"].is_active and after["d1"].validation_status == "archived" and csv_contract.active_dataset(meta) == "d1"
