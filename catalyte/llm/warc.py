@@ -100,7 +100,8 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 100, roll_bytes: int
     """Write (page_id, url, html) as archives under ``path``; returns the manifest (file, bytes, records).
 
     Every task writes under a name of its attempt and renames when done, so lost or repeated
-    tasks leave no half archive. Null html is an empty payload, a null url leaves its header
+    tasks leave no half archive, and no late attempt replaces what the manifest has sized. What the manifest
+    names is the result; whole archives of attempts that lost may lie beside it. Null html is an empty payload, a null url leaves its header
     out, a null page_id is never referred to, equal rows each get a record (those of a repeated
     payload's smallest page_id are all responses). Other columns are ignored, whatever their
     names. A payload of any length is one record; no rows make no archive.
@@ -115,7 +116,7 @@ def write_warc(pages: DataFrame, path: str, *, least: int = 100, roll_bytes: int
         def close():
             nonlocal out
             out.close()
-            final = f"part-{task.partitionId():06d}-{len(made):04d}.warc.gz"
+            final = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):04d}.warc.gz"
             store.move(name, f"{root}/{final}")
             made.append((final, size, count))
             out = None
