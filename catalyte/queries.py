@@ -627,7 +627,7 @@ def normalize_query(spark, d):
 
 @query()
 def fuzzy_name_score(spark, d):
-    """STR4-8: the weighted ratio has no SQL; tests hold it against hand-made vectors."""
+    """STR4-8: the weighted ratio has no SQL; tests hold every name against a dynamic program."""
     wanted = text.parse_query("red hott brass")
     names = read(spark, d, "part").select(text.normalize_name(F.col("p_name")).alias("name")).distinct()
     return names.withColumn("f", fuzzy.name_scores(F.col("name"), wanted)).select("name", F.round("f.base", 6).alias("base"), F.round("f.weighted", 6).alias("weighted"))
