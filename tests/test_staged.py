@@ -115,6 +115,8 @@ def test_rerun_redoes_the_last_stage_only(spark, tmp_path):
     assert sorted(x.item for x in r.results("three").collect()) == list(range(40))
     assert r.sweep("three") == 1 and r.sweep("one") == 0
     assert StagedRun(spark, str(tmp_path), "run2", "item").state("one")["parts"] == []
+    r._log("two").change(lambda s: s | {"complete": False}, {})  # as if killed between the last slice and the mark
+    assert r.stage("two", work, stage("two"))["complete"] and ran[6:] == [] and r.state("two")["counts"]["ok"] == 40
     r.clear("three")
     assert not r.state("three")["complete"]
 
