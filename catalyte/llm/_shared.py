@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -22,6 +23,23 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: What this process remembers, and for whom.
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """What a Python worker remembers under ``name`` from task to task, at first ``make()``.
+
+    It remembers one such thing at a time. A worker serves all stages of a session: else each
+    operator's memo would stay until the session ends, and their sum would count.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()  # an encoder refers to itself
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, bounded_batches, table, text_or_empty
+from ._shared import Scratch, bounded_batches, kept, table, text_or_empty
 from .tokens import pieces_of
 
 #: Everything in ASCII that is neither letter nor digit separates words.
@@ -56,15 +56,12 @@ class _Hash(dict):
         return h
 
 
-_HASH = _Hash()
-
-
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     """A 64-bit hash at each position where ``width`` words follow."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("hashes", _Hash).__getitem__, words), np.uint64, len(words))
     out = np.zeros(n, np.uint64)
     for k in range(width):
         out = (out ^ (h[k : k + n] * ODD[k % len(ODD)] + np.uint64(k))) * ODD[(k + 1) % len(ODD)]
@@ -137,9 +134,11 @@ def contained(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item_ke
     tables = Scratch(spark, "decontaminate")
     index = tables.write(in_passes(tables.write(sketches(items, width=width, threshold=threshold, key=item_key, part=part), "sketches"), part), "index")
     doc_kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"__key {doc_kind}, text_hash long, item {item_kind}, number long, slices int, slice int, n_shingles int, n_found int"
+    kinds = {"__key": doc_kind, "text_hash": "long", "item": item_kind, "number": "long", "slices": "int", "slice": "int", "n_shingles": "int", "n_found": "int"}
+    schema = ", ".join(f"{n} {kind}" for n, kind in kinds.items())
     slim = docs.select(F.col(key).alias("__key"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    found = spark.createDataFrame([], schema)
+    # rows from the driver's Python, even none, would start a second set of Python workers on the executors
+    found = spark.range(0).select(*(F.lit(None).cast(kind).alias(n) for n, kind in kinds.items()))
     tables.drop("sketches")
     passes = index.select("lane", "turn").distinct().collect()  # one row a pass
     sliced = index.filter("slices > 1").limit(1).count() > 0

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_batches, materialize, table, text_or_empty
+from ._shared import bounded_batches, kept, materialize, table, text_or_empty
 from .tokens import pieces_of
 
 WORDS, MARKS = 1 << 15, 1 << 9
@@ -72,13 +72,10 @@ class _Units(dict):
         return unit
 
 
-_UNITS = _Units()
-
-
 def units(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Word buckets and mark buckets of a text."""
     words = text.split()
-    both = np.fromiter(map(_UNITS.__getitem__, words), np.int64, len(words))
+    both = np.fromiter(map(kept("units", _Units).__getitem__, words), np.int64, len(words))
     return both // MARKS, both % MARKS
 
 
@@ -187,7 +184,7 @@ def neighbour_sums(docs: DataFrame) -> np.ndarray:
                 for s in range(0, len(word), 1 << 20):
                     w, o = word[s : s + (1 << 20)], other[s : s + (1 << 20)]
                     for k in range(at.shape[1]):
-                        total += np.bincount(w * WORD_DIM + at[o, k], sign[o, k], len(total)).astype(np.int64)
+                        np.add(total, np.bincount(w * WORD_DIM + at[o, k], sign[o, k], len(total)), out=total, casting="unsafe")  # whole numbers
         yield from packed(dict(enumerate(total.reshape(CHUNKS, each))))
 
     def packed(some):

@@ -14,11 +14,12 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from ._shared import kept
+
 #: Characters for which white space, case and normal form are the same everywhere.
 PLAIN = "\t\n\r\x20-\x7e¡-¬®-įı-ɏ‐-‧€"
 ODD = re.compile(f"[^{PLAIN}]")
@@ -121,10 +122,9 @@ class Encoder:
         return self._cut(text)
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, memo: int = MEMO) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    return Encoder(path, memo)
+    return kept(("encoder", path, memo), lambda: Encoder(path, memo))
 
 
 def id_lists(chunks: list[bytes]) -> pa.Array:

@@ -86,7 +86,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, memo=300_000)  # its workers also hold what earlier stages keep
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, memo=300_000)  # its executors' heaps have grown in earlier stages
 
 
 STAGES = [
