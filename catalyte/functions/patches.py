@@ -167,16 +167,28 @@ def clustered(patches: DataFrame, entity: str, *, image: str = "image", seq: str
 def colour_summary(labelled: DataFrame, entity: str) -> DataFrame:
     """One row an entity: main and second colour with their shares, the second's spread over cells and whether it counts, mean lightness, the lighter cluster.
 
-    Without labels the shares are those of a single unknown colour.
+    Without labels the shares are those of a single unknown colour. Distinct cells (any integers) are bits of words
+    of 64 cells, a row for each word that an item has: the sums are made before the shuffle, which distinct counts would
+    fill with a row for each cell.
     """
 
     def of(k: int, value: Column) -> Column:
         return F.when(F.col("label") == k, value)
 
     weight = F.col("weight")
-    per = labelled.groupBy(entity).agg(
-        F.count("cell").alias("patch_count"), F.count_distinct("cell").alias("total_cells"), F.sum(weight).alias("w"), F.sum(weight * F.col("l")).alias("wl"),
-        *(F.coalesce(F.sum(of(k, weight)), F.lit(0.0)).alias(f"w{k}") for k in (0, 1)), *(F.count_distinct(of(k, F.col("cell"))).alias(f"cells{k}") for k in (0, 1)),
+    bit = F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")
+    words = labelled.groupBy(entity, F.expr("shiftright(CAST(cell AS BIGINT), 6)").alias("__word")).agg(
+        F.count("cell").alias("n"), F.bit_or(bit).alias("seen"), F.sum(weight).alias("w"), F.sum(weight * F.col("l")).alias("wl"),
+        *(F.sum(of(k, weight)).alias(f"w{k}") for k in (0, 1)), *(F.bit_or(of(k, bit)).alias(f"seen{k}") for k in (0, 1)),
+        *(F.max(f"{c}{k}").alias(f"{c}{k}") for k in (0, 1) for c in "lab"),
+    )
+
+    def cells(bits: str) -> Column:
+        return F.coalesce(F.sum(F.bit_count(bits)), F.lit(0))
+
+    per = words.groupBy(entity).agg(
+        F.sum("n").alias("patch_count"), cells("seen").alias("total_cells"), F.sum("w").alias("w"), F.sum("wl").alias("wl"),
+        *(F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"w{k}") for k in (0, 1)), *(cells(f"seen{k}").alias(f"cells{k}") for k in (0, 1)),
         *(F.max(f"{c}{k}").alias(f"{c}{k}") for k in (0, 1) for c in "lab"),
     )
     known, all_w = F.col("l0").isNotNull(), F.nullif(F.col("w0") + F.col("w1"), F.lit(0.0))

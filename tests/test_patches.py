@@ -59,3 +59,19 @@ def test_colours(spark):
     for k in ("white", "broken"):
         assert got[k].patch_count == 0 and got[k].main_share == 1 and got[k].lightness_mean is None and not got[k].has_second
     assert len(got) == 7 and patches.colours(df.limit(0), "item").collect() == []
+
+
+def test_summary_counts_any_cells_before_its_shuffle(spark):
+    rows = [(e, c, 1.0 + c % 3, 50.0, (c // 7) % 2, *[float(e)] * 6) for e in (1, 2) for c in [*range(-70, 200, 3 + e), 5, 5, 63, 64, None] if c is not None]
+    rows += [(3, None, None, None, None, *[None] * 6), (1, None, None, None, None, *[None] * 6)]
+    df = spark.createDataFrame(rows, "item long, cell int, weight double, l double, label int, " + ", ".join(f"{c}{k} double" for k in (0, 1) for c in "lab"))
+    got = patches.colour_summary(df, "item")
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()  # a distinct count would make a row for each cell
+    found = {r["item"]: r for r in got.collect()}
+    for e in (1, 2):
+        own = [r for r in rows if r[0] == e and r[1] is not None]
+        weights = [sum(r[2] for r in own if r[4] == k) for k in (0, 1)]
+        second = 1 if weights[0] >= weights[1] else 0
+        assert found[e].patch_count == len(own) and found[e].total_cells == len({r[1] for r in own})
+        assert found[e].second_cell_spread == len({r[1] for r in own if r[4] == second}) and found[e].second_share == pytest.approx(min(weights) / sum(weights), abs=6e-4)
+    assert (found[3].patch_count, found[3].total_cells, found[3].main_share) == (0, 0, 1.0)
