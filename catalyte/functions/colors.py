@@ -115,8 +115,21 @@ def vein_colour(vein: Column, total: Column, hues: dict[str, Column], neutral: C
 
 
 def nearest_centre(lightness: Column, a: Column, b: Column, centres: list[tuple[str, float, float, float]]) -> Column:
-    """struct(d, name): the nearest named centre in LAB and its distance, lightness at half weight."""
-    return F.array_min(F.array(*[F.struct(F.sqrt(0.5 * (lightness - l) ** 2 + (a - x) ** 2 + (b - y) ** 2).alias("d"), F.lit(n).alias("name")) for n, l, x, y in centres]))
+    """struct(d, name): the nearest named centre in LAB and its distance, lightness at half weight.
+
+    One lambda runs over the centres: written out for each of them, the generated method would be too large
+    (over 8,000 bytes) for the JVM to compile, and be interpreted for every row.
+    """
+    known = F.array(*[F.struct(F.lit(n).alias("name"), *(F.lit(float(v)).alias(c) for c, v in zip("lab", at))) for n, *at in centres])
+
+    def square(x: Column) -> Column:
+        return x * x
+
+    def away(c: Column) -> Column:
+        d = F.sqrt(0.5 * square(lightness - c["l"]) + square(a - c["a"]) + square(b - c["b"]))
+        return F.struct(d.alias("d"), c["name"].alias("name"))
+
+    return F.array_min(F.transform(known, away))
 
 
 def nearest_colour(lightness: Column, a: Column, b: Column, centres: list[tuple[str, float, float, float]]) -> Column:

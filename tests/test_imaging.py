@@ -1,5 +1,7 @@
 """Image measurements on synthetic arrays."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,11 @@ def test_multi_of_an_image(spark):
     r = imaging.coloured(df).first()
     assert r.is_exotic and r.base_color == "exotic" and set(r.colors_in_stone) >= {"red", "green"}
     assert imaging.coloured(df.withColumn("second_cells", F.lit(3.0))).first().base_color == "multi"
+
+
+def test_methods_generated_for_colours_can_be_compiled(spark, capsys):
+    from catalyte import queries
+
+    queries.QUERIES["colour_gates"](spark, "/root/testdata/sf0.001").explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:\s*(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM's limit for a method
